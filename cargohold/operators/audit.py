@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cargohold.storage import append_columns, digest_file, with_columns
+from cargohold.storage import append_columns, column_values, digest_file, file_size, with_columns
 
 
 def size_matches(length: str = "length", expected: str = "expected_size") -> Column:
@@ -27,15 +27,33 @@ def digest_paths(df: DataFrame, path: str, wanted: Column, algorithm: str = "MD5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths = batch.column(batch.schema.get_field_index(path)).to_pylist()
-            flags = batch.column(batch.schema.get_field_index("_wanted")).to_pylist()
-            sums = [digest_file(p, algorithm) if f else None for p, f in zip(paths, flags)]
-            kept = batch.drop_columns(["_wanted"])
+            pairs = zip(column_values(batch, path), column_values(batch, "_wanted"))
+            sums = [digest_file(p, algorithm) if wanted else None for p, wanted in pairs]
+            kept = batch.select([n for n in batch.schema.names if n != "_wanted"])
             yield append_columns(kept, {out: pa.array(sums, pa.string())})
 
     return df.withColumn("_wanted", F.coalesce(wanted, F.lit(False))).mapInArrow(run, schema)
 
 
+def stat_paths(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add the size of the file named by each path column, NULL where there is none.
+
+    One metadata request per path, made by the task that holds the row: no listing of the store, no
+    join and no shuffle, so many rows with one path or one directory do not matter.
+    """
+    schema = with_columns(df.schema, *[T.StructField(out, T.LongType()) for out in columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = {
+                out: pa.array([None if p is None else file_size(p) for p in column_values(batch, path)], pa.int64())
+                for out, path in columns.items()
+            }
+            yield append_columns(batch, sizes)
+
+    return df.mapInArrow(run, schema)
+
+
 def join_listing(df: DataFrame, listing: DataFrame, path: str) -> DataFrame:
     """Left join with a store listing; no hint, so Spark broadcasts it only when it is small enough."""
     stored = listing.select([F.col(c).alias(f"_{c}") for c in listing.columns])
@@ -44,20 +62,20 @@ def join_listing(df: DataFrame, listing: DataFrame, path: str) -> DataFrame:
 
 def plan_fetch(
     df: DataFrame,
-    listing: DataFrame,
+    listing: DataFrame | None = None,
     check_md5: bool = True,
     always: bool = False,
     path: str = "dest_path",
 ) -> DataFrame:
     """Add `need_fetch` and `reason`, cheap checks first: missing, size, then digest.
 
-    `listing` has `path`, `length` and optionally `md5`. Without `md5` the stored bytes are read, but
-    only for rows whose size already matches.
+    `listing` has `path`, `length` and optionally `md5`; without a listing the size is asked for row by
+    row. Without `md5` the stored bytes are read, but only for rows whose size already matches.
     """
-    joined = join_listing(df, listing, path)
+    joined = stat_paths(df, {"_length": path}) if listing is None else join_listing(df, listing, path)
     same_size = size_matches("_length")
-    if check_md5 and not always and "md5" not in listing.columns:
-        joined = digest_paths(joined, "_path", same_size, out="_md5")
+    if check_md5 and not always and (listing is None or "md5" not in listing.columns):
+        joined = digest_paths(joined, path, same_size, out="_md5")
     reason = F.when(F.lit(always), "always").when(F.col("_length").isNull(), "missing").when(~same_size, "size")
     if check_md5 and not always:
         reason = reason.when(~F.col("_md5").eqNullSafe(F.col("expected_md5")), "md5")
@@ -66,15 +84,22 @@ def plan_fetch(
     )
 
 
-def verify_artifacts(manifest: DataFrame, listing: DataFrame, check_md5: bool = True) -> DataFrame:
+def verify_artifacts(
+    manifest: DataFrame, listing: DataFrame | None = None, check_md5: bool = True, folder: str | None = None
+) -> DataFrame:
     """`state` of every expected artifact: ok, missing, size_mismatch or md5_mismatch.
 
-    The manifest has `name`, `size` and `md5_hex`; the listing as in `plan_fetch`, keyed by name.
+    The manifest has `name`, `size` and `md5_hex`. The store is a listing (`path` equal to the name,
+    `length`, `md5`) or a folder whose files are asked for one by one.
     """
-    joined = join_listing(manifest, listing, "name")
+    if listing is not None:
+        joined = join_listing(manifest, listing, "name")
+    else:
+        placed = manifest.withColumn("_path", F.concat(F.lit(f"{folder}/"), "name"))
+        joined = stat_paths(placed, {"_length": "_path"})
     same_size = size_matches("_length", "size")
-    if check_md5 and "md5" not in listing.columns:
-        joined = digest_paths(joined, "_file" if "file" in listing.columns else "_path", same_size, out="_md5")
+    if check_md5 and listing is None:
+        joined = digest_paths(joined, "_path", same_size, out="_md5")
     state = F.when(F.col("_length").isNull(), "missing").when(~same_size, "size_mismatch")
     if check_md5:
         state = state.when(~F.col("_md5").eqNullSafe(F.col("md5_hex")), "md5_mismatch")

@@ -17,6 +17,7 @@ IMAGE_LIST_COLUMNS = [
     "OriginalMD5",
     "Thumbnail300KURL",
 ]
+SUBSETS = ["train", "validation", "test"]
 FAILURE_DETAILS = "FailureDetails"
 FAILURE_COLUMNS = IMAGE_LIST_COLUMNS + [FAILURE_DETAILS]
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,19 @@ def build_session(app_name: str, master: str | None = None, **conf: str) -> Spar
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application; tasks import it by name."""
+    context = spark.sparkContext
+    if getattr(context, "_cargohold_shipped", False):
+        return
+    source = Path(__file__).resolve().parents[1]
+    archive = shutil.make_archive(
+        f"{tempfile.mkdtemp(prefix='cargohold-')}/cargohold", "zip", source, base_dir=Path(__file__).resolve().parent.name
+    )
+    context.addPyFile(archive)
+    context._cargohold_shipped = True
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder under the cluster's shared `spark.checkpoint.dir`, or a local one where that is unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -6,7 +6,7 @@ import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
-os.environ["PYTHONPATH"] = str(ROOT) + os.pathsep + os.environ.get("PYTHONPATH", "")
+os.environ["PYTHONPATH"] = str(ROOT) + os.pathsep + str(ROOT / "tests") + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 from cargohold.session import build_session  # noqa: E402
 
