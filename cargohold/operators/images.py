@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from cargohold.config import RESIZE_MODES
 from cargohold.operators.pipe import convert_command, pipe_through
 from cargohold.sources.files import plain_path
-from cargohold.storage import append_columns, column_values, resolve, with_columns
+from cargohold.storage import append_columns, column_values, payload_batches, resolve, with_columns
 
 GEOMETRY = ["scaled_w", "scaled_h", "crop_x", "crop_y", "out_w", "out_h"]
 EXIF_BYTES = 128 * 1024
@@ -195,28 +195,21 @@ def resize_images(
         x, y = row["crop_x"], row["crop_y"]
         return encode_png(scaled[y : y + row["out_h"], x : x + row["out_w"]], level)
 
+    def cells(row: dict) -> tuple:
+        if row["error"] is not None:
+            return None, None, None, row["error"]
+        try:
+            return row["out_w"], row["out_h"], one(row), None
+        except (ValueError, KeyError, IndexError) as exc:
+            return None, None, None, f"cannot resize image: {exc}"
+
+    fields = {"out_w": pa.int64(), "out_h": pa.int64(), "resized": pa.binary(), "error": pa.string()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # One image at a time: decoded pixels are many times larger than the stored file.
-            for i in range(batch.num_rows):
-                cell = batch.slice(i, 1)
-                row, data = cell.to_pylist()[0], None
-                error = row["error"]
-                if error is None:
-                    try:
-                        data = one(row)
-                    except (ValueError, KeyError, IndexError) as exc:
-                        error = f"cannot resize image: {exc}"
-                size = [row["out_w"], row["out_h"]] if data else [None, None]
-                yield append_columns(
-                    cell.select(kept),
-                    {
-                        "out_w": pa.array(size[:1], pa.int64()),
-                        "out_h": pa.array(size[1:], pa.int64()),
-                        "resized": pa.array([data], pa.binary()),
-                        "error": pa.array([error], pa.string()),
-                    },
-                )
+            # One row at a time: decoded pixels are many times larger than the stored file.
+            rows = (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows))
+            yield from payload_batches(batch.select(kept), fields, map(cells, rows))
 
     return planned.mapInArrow(run, schema)
 

@@ -25,8 +25,8 @@ from cargohold.operators.route import if_then_else
 from cargohold.schemas import IMAGE_LIST_COLUMNS, RESPONSE, SUBSETS
 from cargohold.sinks.files import spool, write_files
 from cargohold.sinks.results import write_results
-from cargohold.sources.fetch import Fetcher, fetch
-from cargohold.storage import column_values, resolve
+from cargohold.sources.fetch import RESPONSE_KINDS, Fetcher, fetch
+from cargohold.storage import column_values, payload_batches, resolve
 
 RESULT_COLUMNS = [
     *IMAGE_LIST_COLUMNS,
@@ -60,21 +60,18 @@ def _no_response(df: DataFrame) -> DataFrame:
 def read_stored(df: DataFrame, path: str = "dest_path") -> DataFrame:
     """The stored bytes as `body`, as if they had just arrived; a read error becomes `transport_error`."""
     schema = T.StructType(df.schema.fields + RESPONSE.fields)
-    kinds = [pa.int32(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int32(), pa.bool_()]
+
+    def read(item: str) -> tuple:
+        try:
+            filesystem, name = resolve(item)
+            with filesystem.open_input_stream(name, compression=None) as stream:
+                return None, None, None, None, stream.read(), None, 0, False
+        except OSError as exc:
+            return None, None, None, None, None, str(exc), 0, False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, item in enumerate(column_values(batch, path)):
-                body, error = None, None
-                try:
-                    filesystem, name = resolve(item)
-                    with filesystem.open_input_stream(name, compression=None) as stream:
-                        body = stream.read()
-                except OSError as exc:
-                    error = str(exc)
-                cells = [None, None, None, None, body, error, 0, False]
-                arrays = list(batch.slice(i, 1).columns) + [pa.array([v], k) for v, k in zip(cells, kinds)]
-                yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
+            yield from payload_batches(batch, RESPONSE_KINDS, (read(p) for p in column_values(batch, path)))
 
     return df.mapInArrow(run, schema)
 

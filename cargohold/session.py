@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Call sites of every column expression are for debugging; collecting them dominates small queries.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Payload rows are wide: bound an Arrow batch by bytes rather than by rows alone.
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),

@@ -14,13 +14,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cargohold.functions.paths import url_host
 from cargohold.schemas import RESPONSE
-from cargohold.storage import append_columns, blocks, column_values, new_hash, resolve, with_columns, write_atomic
+from cargohold.storage import (
+    append_columns,
+    blocks,
+    column_values,
+    new_hash,
+    payload_batches,
+    resolve,
+    with_columns,
+    write_atomic,
+)
 
 RETRY_BASE_SECONDS = 0.1
 RETRY_MAX_SECONDS = 30.0
+RESPONSE_KINDS = {f.name: to_arrow_type(f.dataType) for f in RESPONSE.fields}
 
 
 class TransportError(Exception):
@@ -168,16 +179,10 @@ def fetch(
         head = (response.status, response.content_type, response.content_length, response.location)
         return (*head, body, None, attempts, hit)
 
-    kinds = [pa.int32(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int32(), pa.bool_()]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            plain = batch.select(kept)
-            # One response per output batch: a task holds one body at a time.
-            for i, (target, limit) in enumerate(zip(column_values(batch, url), column_values(batch, "_limit"))):
-                cells = one(target, limit)
-                arrays = {f.name: pa.array([v], k) for f, v, k in zip(RESPONSE.fields, cells, kinds)}
-                yield append_columns(plain.slice(i, 1), arrays)
+            pairs = zip(column_values(batch, url), column_values(batch, "_limit"))
+            yield from payload_batches(batch.select(kept), RESPONSE_KINDS, (one(*pair) for pair in pairs))
 
     return prepared.mapInArrow(run, schema)
 

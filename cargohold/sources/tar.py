@@ -18,11 +18,13 @@ from pyspark.sql import types as T
 from cargohold.schemas import TAR_INDEX
 from cargohold.session import shuffle_partitions
 from cargohold.sources.files import listing
-from cargohold.storage import append_columns, column_values, resolve, with_columns
+from cargohold.storage import GROUP_BYTES, column_values, payload_batches, resolve, with_columns
 
 RECORD = 512
-RANGE_BYTES = 64 * 1024 * 1024
+RANGE_BYTES = 8 * 1024 * 1024
+ENTRY_BYTES = 64 * 1024 * 1024
 INDEX_ROWS = 4096
+INDEX_KINDS = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
 
 
 
@@ -115,9 +117,8 @@ def index_archives(archives: DataFrame, path: str = "path") -> DataFrame:
     return archives.select(path).mapInArrow(run, TAR_INDEX)
 
 
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
-    arrays = [pa.array(values, kind) for values, kind in zip(zip(*rows), types)]
+def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType] = INDEX_KINDS) -> pa.RecordBatch:
+    arrays = [pa.array(values, kind) for values, kind in zip(zip(*rows), kinds)]
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
@@ -187,7 +188,7 @@ def tar_chunks(index: DataFrame, chunk_size: int = RECORD, range_bytes: int = RA
             T.StructField("last", T.BooleanType()),
         ]
     )
-    per_batch = max(1, min(10_000, 16 * 1024 * 1024 // chunk_size))
+    per_batch = max(1, min(10_000, GROUP_BYTES // chunk_size))
 
     def read_range(archive: OpenArchive, row: dict) -> Iterator[tuple[int, bytes, bool, bool]]:
         size, start, length = row["entry_size"], row["_start"], row["_length"]
@@ -199,29 +200,24 @@ def tar_chunks(index: DataFrame, chunk_size: int = RECORD, range_bytes: int = RA
             data = stream.read(min(chunk_size, start + length - at))
             yield at // chunk_size, data, at == 0, at + len(data) == size
 
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+    kinds += [pa.int64(), pa.binary(), pa.bool_(), pa.bool_()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive = OpenArchive()
+        rows: list[tuple] = []
         for batch in batches:
-            for row in batch.to_pylist():
-                chunks: list[tuple] = []
-                for chunk in read_range(archive, row):
-                    chunks.append(chunk)
-                    if len(chunks) == per_batch:
-                        yield chunk_batch(row, chunks)
-                        chunks = []
-                if chunks:
-                    yield chunk_batch(row, chunks)
+            for entry in batch.to_pylist():
+                head = tuple(entry[c] for c in columns)
+                for chunk in read_range(archive, entry):
+                    rows.append(head + chunk)
+                    if len(rows) == per_batch:
+                        yield _batch(rows, schema.fieldNames(), kinds)
+                        rows = []
+        if rows:
+            yield _batch(rows, schema.fieldNames(), kinds)
         archive.close()
 
-    def chunk_batch(row: dict, chunks: list[tuple]) -> pa.RecordBatch:
-        pos, data, first, last = zip(*chunks)
-        count = len(chunks)
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
-        arrays = [pa.array([row[c]] * count, kind) for c, kind in zip(columns, kinds)]
-        arrays += [pa.array(pos, pa.int64()), pa.array(data, pa.binary())]
-        arrays += [pa.array(first, pa.bool_()), pa.array(last, pa.bool_())]
-        return pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
-
     return _ranges(index.filter("error IS NULL"), range_bytes).mapInArrow(run, schema)
 
 
@@ -232,19 +228,19 @@ def read_tar(
     return tar_chunks(tar_index(spark, path, mode), chunk_size)
 
 
-def tar_entries(index: DataFrame, max_bytes: int = RANGE_BYTES) -> DataFrame:
+def tar_entries(index: DataFrame, max_bytes: int = ENTRY_BYTES) -> DataFrame:
     """One row per entry with its bytes. Entries over `max_bytes` keep NULL bytes: read these as chunks."""
     schema = with_columns(index.schema, T.StructField("bytes", T.BinaryType()))
 
+    def read(archive: OpenArchive, row: dict) -> tuple[bytes | None]:
+        if row["entry_size"] > max_bytes:
+            return (None,)
+        return (archive.at(row["archive"], row["data_offset"]).read(row["entry_size"]),)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive = OpenArchive()
         for batch in batches:
-            # One entry per output batch keeps a task at one payload in memory.
-            for i, row in enumerate(batch.to_pylist()):
-                data = None
-                if row["entry_size"] <= max_bytes:
-                    data = archive.at(row["archive"], row["data_offset"]).read(row["entry_size"])
-                yield append_columns(batch.slice(i, 1), {"bytes": pa.array([data], pa.binary())})
+            yield from payload_batches(batch, {"bytes": pa.binary()}, (read(archive, r) for r in batch.to_pylist()))
         archive.close()
 
     return by_window(index.filter("error IS NULL"), F.col("data_offset")).mapInArrow(run, schema)

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from cargohold.functions.digest import check_algorithm
 
 BLOCK = 1024 * 1024
+GROUP_BYTES = 8 * 1024 * 1024
 
 
 def resolve(path: str) -> tuple[fs.FileSystem, str]:
@@ -89,3 +90,27 @@ def append_columns(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.Re
 
 def column_values(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
+
+
+def payload_batches(
+    batch: pa.RecordBatch, fields: dict[str, pa.DataType], cells: Iterator[tuple]
+) -> Iterator[pa.RecordBatch]:
+    """Append one tuple of cells per row, cutting the batch when its new payloads pass `GROUP_BYTES`.
+
+    `cells` is consumed lazily, so a task holds about one group of payloads at a time.
+    """
+    done: list[tuple] = []
+    start = held = 0
+    for row in cells:
+        done.append(row)
+        held += sum(len(v) for v in row if isinstance(v, bytes))
+        if held >= GROUP_BYTES:
+            yield _with_cells(batch.slice(start, len(done)), fields, done)
+            start, held, done = start + len(done), 0, []
+    if done:
+        yield _with_cells(batch.slice(start, len(done)), fields, done)
+
+
+def _with_cells(batch: pa.RecordBatch, fields: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(fields.items(), zip(*rows))
+    return append_columns(batch, {name: pa.array(values, kind) for (name, kind), values in columns})
