@@ -108,13 +108,14 @@ def verify_artifacts(
 
 def resize_needed(df: DataFrame, listing: DataFrame, path: str = "resized_path") -> DataFrame:
     """Rows whose resized copy is absent or empty."""
-    present = listing.filter("length > 0").select(F.col("path").alias(path))
+    # Distinct by the join key: merged before the shuffle that the join needs anyway.
+    present = listing.filter("length > 0").select(F.col("path").alias(path)).distinct()
     return df.join(present, path, "left_anti")
 
 
 def not_done(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Resume across runs: drop rows that an earlier success table already holds."""
-    return df.join(done.select(*keys), keys, "left_anti")
+    return df.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
 def join_results(saved: DataFrame, digested: DataFrame, keys: list[str]) -> DataFrame:

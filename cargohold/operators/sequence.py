@@ -70,13 +70,27 @@ def sliding(
     return kept.select(*partition_by, "window_start", F.transform("_cells", lambda c: c["v"]).alias("window"))
 
 
+def _pieces(payload: Column, first: Column, last: Column, offset: Column, n: int) -> Column:
+    """Array of (chunk_id, at, bytes): the payload at `offset` cut at multiples of `n`."""
+
+    def piece(i: Column) -> Column:
+        start = F.greatest(i * n, offset)
+        stop = F.least((i + 1) * n, offset + F.octet_length(payload))
+        cut = F.substring(payload, (start - offset + 1).cast("int"), (stop - start).cast("int"))
+        return F.struct(i.alias("chunk_id"), start.alias("at"), cut.alias("bytes"))
+
+    return F.transform(F.sequence(first, last), piece)
+
+
 def chunk_binary(df: DataFrame, col: str, n: int = CHUNK) -> DataFrame:
     """Split one binary value per row into pieces of `n` bytes: adds `chunk_id`, replaces the value."""
-    size = F.octet_length(col)
-    ids = F.sequence(F.lit(0), F.floor((size - 1) / n).cast("int"))
-    pieces = df.filter(size > 0).select(*df.columns, F.explode(ids).alias("chunk_id"))
-    piece = F.substring(F.col(col), F.col("chunk_id") * n + 1, F.lit(n))
-    return pieces.withColumn(col, piece)
+    zero = F.lit(0).cast("bigint")
+    last = F.expr(f"(octet_length({col}) - 1) div {n}")
+    # The pieces are cut before they are exploded, so the whole value is not copied for each of them.
+    cut = F.explode(_pieces(F.col(col), zero, last, zero, n)).alias("_piece")
+    rest = [c for c in df.columns if c != col]
+    pieces = df.filter(F.octet_length(col) > 0).select(*rest, cut)
+    return pieces.select(*rest, F.col("_piece.chunk_id").alias("chunk_id"), F.col("_piece.bytes").alias(col))
 
 
 def rechunk(
@@ -95,20 +109,12 @@ def rechunk(
     s = slice_hot_keys(df, keys, order_by, policy)
     sized = s.df.select(*s.keys, "_slice", "_hot", *order_by, F.col(col).alias("_b"))
     placed = running_sums(s, sized, {"_off": F.octet_length("_b").cast("bigint")}, inclusive=False)
-    size = F.octet_length("_b")
-    end = F.col("_off") + size
-    ids = F.sequence(F.expr(f"_off div {n}"), F.expr(f"(_off + octet_length(_b) - 1) div {n}"))
-    parts = placed.filter(size > 0).select(*s.keys, "_off", "_b", F.explode(ids).alias("chunk_id"))
-    start = F.greatest(F.col("chunk_id") * n, F.col("_off"))
-    stop = F.least((F.col("chunk_id") + 1) * n, end)
-    cut = parts.select(
-        *s.keys,
-        "chunk_id",
-        start.alias("_at"),
-        F.substring(F.col("_b"), (start - F.col("_off") + 1).cast("int"), (stop - start).cast("int")).alias("_p"),
-    )
+    first, last = F.expr(f"_off div {n}"), F.expr(f"(_off + octet_length(_b) - 1) div {n}")
+    cut = F.explode(_pieces(F.col("_b"), first, last, F.col("_off"), n)).alias("_piece")
+    parts = placed.filter(F.octet_length("_b") > 0).select(*s.keys, cut)
+    flat = parts.select(*s.keys, "_piece.chunk_id", F.col("_piece.at").alias("_at"), F.col("_piece.bytes").alias("_p"))
     joined = F.expr("listagg(_p) WITHIN GROUP (ORDER BY _at)").alias(col)
-    return cut.groupBy(*s.keys, "chunk_id").agg(joined).select(*keys, "chunk_id", col)
+    return flat.groupBy(*s.keys, "chunk_id").agg(joined).select(*keys, "chunk_id", col)
 
 
 def split_when(
@@ -168,14 +174,14 @@ def switch_source(
 ) -> DataFrame:
     """Rows of `primary` before position `at`, rows of `fallback` from there on.
 
-    `at` is one position, None for no switch, or a table (keys, at) with a position per key; keys
-    without a position stay on `primary`.
+    `at` is one position, None for no switch, or a table (keys, at) with a position per key, the first
+    one if there are several; keys without a position stay on `primary`.
     """
     if at is None:
         return primary
     if isinstance(at, int):
         return primary.filter(F.col(pos) < at).unionByName(fallback.filter(F.col(pos) >= at))
-    points = at.select(*keys, F.col("at").alias("_at"))
+    points = at.groupBy(*keys).agg(F.min("at").alias("_at"))
     before = primary.join(points, keys, "left").filter(F.col("_at").isNull() | (F.col(pos) < F.col("_at")))
     after = fallback.join(points, keys).filter(F.col(pos) >= F.col("_at"))
     return before.drop("_at").unionByName(after.drop("_at"))

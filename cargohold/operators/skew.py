@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Observation, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,10 +24,16 @@ SAMPLES_PER_SLICE = 100
 
 @dataclass(frozen=True)
 class SkewPolicy:
-    """`small_input`: plans below this estimate need no check. `max_rows`: largest group kept whole."""
+    """`small_input`: plans below this estimate need no check. `max_rows` and `max_bytes`: largest group
+    kept whole, the bytes by the average row of the plan."""
 
     small_input: int = 256 * 1024 * 1024
     max_rows: int = 2_000_000
+    max_bytes: int = 1024 * 1024 * 1024
+
+    def rows(self, total_bytes: int, total_rows: int) -> int:
+        average = max(1, total_bytes // max(1, total_rows))
+        return max(1, min(self.max_rows, self.max_bytes // average))
 
 
 DEFAULT_POLICY = SkewPolicy()
@@ -67,13 +73,18 @@ class Sliced:
         return joined.drop("_s", *[f"_k{i}" for i in range(len(self.keys))])
 
 
-def _hot_keys(df: DataFrame, keys: list[str], max_rows: int, partitions: int) -> list:
-    """Largest groups over `max_rows`, at most one per shuffle partition.
+def _hot_keys(df: DataFrame, keys: list[str], policy: SkewPolicy, partitions: int) -> tuple[list, int]:
+    """Largest groups over the limit, at most one per shuffle partition, and the limit in rows.
 
     The list is complete for balance: a group that is left out is no larger than total / partitions.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.filter(F.col("_n") > max_rows).orderBy(F.desc("_n")).limit(partitions).collect()
+    total = Observation()
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).observe(total, F.sum("_n").alias("rows"))
+    largest = counts.orderBy(F.desc("_n")).limit(partitions).collect()
+    if not largest:
+        return [], policy.max_rows
+    limit = policy.rows(plan_bytes(df), total.get["rows"])
+    return [row for row in largest if row["_n"] > limit], limit
 
 
 def _cut_points(df: DataFrame, keys: list[str], order_by: list[str], hot: list, max_rows: int, partitions: int):
@@ -96,6 +107,7 @@ def _cut_points(df: DataFrame, keys: list[str], order_by: list[str], hot: list,
     condition = same[0]
     for part in same[1:]:
         condition = condition & part
+    # About a hundred rows for every slice, whatever the size of the key.
     sample = narrow.join(F.broadcast(renamed), condition).filter(F.rand(7) < F.col("_fraction"))
     by_key = Window.partitionBy(*keys)
     ranked = sample.select(
@@ -137,10 +149,10 @@ def slice_hot_keys(
     if plan_bytes(df) <= policy.small_input:
         return Sliced(whole, keys, order_by, False)
     partitions = shuffle_partitions(df.sparkSession)
-    hot = _hot_keys(df, keys, policy.max_rows, partitions)
+    hot, limit = _hot_keys(df, keys, policy, partitions)
     if not hot:
         return Sliced(whole, keys, order_by, False)
-    cuts = _cut_points(df, keys, order_by, hot, policy.max_rows, partitions)
+    cuts = _cut_points(df, keys, order_by, hot, limit, partitions)
     longest = cuts.agg(F.max(F.size("_cuts"))).first()[0] or 1
     renamed = cuts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_cuts")
     condition = F.lit(True)

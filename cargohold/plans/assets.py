@@ -23,7 +23,8 @@ from cargohold.operators.classify import (
 from cargohold.operators.images import resize_payloads
 from cargohold.operators.route import if_then_else
 from cargohold.schemas import IMAGE_LIST_COLUMNS, RESPONSE, SUBSETS
-from cargohold.sinks.files import spool, write_files
+from cargohold.session import shuffle_partitions
+from cargohold.sinks.files import cached_stage, write_files
 from cargohold.sinks.results import write_results
 from cargohold.sources.fetch import RESPONSE_KINDS, Fetcher, fetch
 from cargohold.storage import column_values, payload_batches, resolve
@@ -159,14 +160,29 @@ def ingest_images(
     fetcher: Fetcher,
     resizer: Callable[[bytes], bytes] | None = None,
     results: str | None = None,
+    waves: int = 1,
 ) -> DataFrame:
-    """Run the image job; returns the stored result rows and writes the CSV tables beside them."""
+    """Run the image job; returns the stored result rows and writes the CSV tables beside them.
+
+    With several `waves` the rows are worked off in that many parts. Finished waves under `results` are
+    kept, so a broken run goes on where it stopped; a new run takes a new `results` folder.
+    """
+    spark = rows.sparkSession
     target = results or f"{cfg.root}/results/{top_dir}"
+    # Lists come in few files: spread the rows, however they repeat, before any per-row file access.
+    spread = rows.repartition(shuffle_partitions(spark))
     # Three branches read the plan: store it once, it is narrow.
-    planned = spool(plan_images(rows, cfg, top_dir), f"{target}/plan")
-    done = store_and_resize(acquire(planned, cfg, fetcher), cfg, resizer)
-    # The wide chain runs once; everything below reads the narrow table it leaves.
-    stored = spool(done, f"{target}/rows")
+    planned = cached_stage(spark, f"{target}/plan", lambda: plan_images(spread, cfg, top_dir))
+    for wave in range(waves):
+        mine = F.pmod(F.xxhash64("ImageID", "url"), F.lit(waves)) == wave
+        part = planned.filter(mine) if waves > 1 else planned
+        # The wide chain runs once; everything later reads the narrow table it leaves.
+        cached_stage(
+            spark,
+            f"{target}/rows/wave={wave}",
+            lambda part=part: store_and_resize(acquire(part, cfg, fetcher), cfg, resizer),
+        )
+    stored = spark.read.parquet(f"{target}/rows").drop("wave")
     write_results(stored, f"{target}/csv", SUBSETS)
     return stored
 

@@ -23,6 +23,7 @@ from cargohold.functions import text as X
 from cargohold.operators import aggregate as A
 from cargohold.operators import audit, classify, digests, images, pipe, route
 from cargohold.operators import sequence as Q
+from cargohold.operators.skew import SkewPolicy
 from cargohold.plans.assets import ingest_images, report
 from cargohold.plans.metadata import image_list_from_archive
 from cargohold.schemas import IMAGE_LIST_COLUMNS, SUBSETS
@@ -229,7 +230,7 @@ def plan_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = docs.select(
         "doc_id", path.alias("dest_path"), F.col("n_chars").alias("expected_size"), _expected_md5().alias("expected_md5")
     )
-    held = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    held = docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
     # The digest is taken where the payload is scanned; only names, sizes and digests are joined.
     stored = held.select(
         path.alias("path"), F.octet_length("text").cast("bigint").alias("length"), F.md5("text").alias("md5")
@@ -376,6 +377,57 @@ def ordered_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.ordered_concat(docs, items)
 
 
+# --- the same operators with their largest groups cut into slices --------------------------------
+
+# No input counts as small and few rows fit a group, so the slices are used at any scale.
+SLICED = SkewPolicy(small_input=0, max_rows=200)
+
+
+@query
+def sliced_unique_consecutive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few keys with many rows: runs of one user among the events of a type."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    return Q.unique_consecutive(events, ["user_id"], ["ts", "event_id"], ["event_type"], SLICED)
+
+
+@query
+def sliced_sliding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    return _cells(Q.sliding(events, "user_id", ["ts", "event_id"], ["event_type"], policy=SLICED), ["event_type"], ["a", "b"])
+
+
+@query
+def sliced_rechunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("bytes", F.col("text").cast("binary"))
+    return _piece(Q.rechunk(docs, ["lang"], ["doc_id"], "bytes", policy=SLICED), ["lang"], "bytes")
+
+
+@query
+def sliced_split_when(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
+    return Q.split_when(events, F.col("value") > 20, ["ts", "event_id"], ["event_type"], SLICED)
+
+
+@query
+def sliced_capped_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("bytes", F.col("text").cast("binary"))
+    out = Q.capped_concat(docs, ["lang"], ["doc_id"], "bytes", policy=SLICED)
+    return out.select("lang", F.md5("bytes").alias("digest"), "n_bytes")
+
+
+@query
+def sliced_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return digests.digest_chunks(docs, ["lang"], ["doc_id"], "text", policy=SLICED)
+
+
+@query
+def sliced_global_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One order over everything, no key at all."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    return Q.unique_consecutive(events, ["event_type"], ["ts", "event_id"], policy=SLICED)
+
+
 # --- routing ------------------------------------------------------------------------------------
 
 
@@ -437,6 +489,15 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).select("ImageID", "Subset", "Author", "Title", "outcome")
 
 
+@query
+def csv_split_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lists through the reader that splits files within quoted line breaks."""
+    folder = scratch_dir(spark, "csv")
+    write_results(_document_rows(spark, sf_dir).withColumn("failure_code", F.lit(None)), folder, SUBSETS)
+    rows = read_image_list(spark, f"{folder}/outcome=success", split_over=0)
+    return rows.select("ImageID", "Subset", "Author", "Title")
+
+
 @query
 def header_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every success file starts with the header line, no failure file with that of the success table."""

@@ -278,6 +278,40 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN lang <> 'de' AND n_chars > 1000 THEN md5(text) ELSE source END AS value FROM documents""",
         "tee_outputs": f"""{OUTCOMES} SELECT "ImageID", "Subset", CASE WHEN failure_code IS NULL THEN 'good' ELSE 'bad' END
             AS output FROM classified""",
+        "sliced_unique_consecutive": """
+            SELECT event_id, ts, user_id, event_type FROM (
+              SELECT *, lag(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS before FROM events)
+            WHERE before IS DISTINCT FROM user_id""",
+        "sliced_sliding_pairs": """
+            SELECT event_type, window_start, a, b FROM (
+              SELECT event_type, row_number() OVER w - 1 AS window_start, user_id AS a, lead(user_id) OVER w AS b,
+                count(*) OVER (PARTITION BY event_type) AS n
+              FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))
+            WHERE window_start + 2 <= n OR n = 1""",
+        "sliced_rechunk": _pieces(
+            "lang", "SELECT lang, encode(string_agg(text, '' ORDER BY doc_id)) AS b FROM documents GROUP BY lang", 8192
+        ),
+        "sliced_split_when": """
+            WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events)
+            SELECT event_id, ts, event_type, value,
+              CAST(sum(CASE WHEN rn > 1 AND value > 20 THEN 1 ELSE 0 END)
+                OVER (PARTITION BY event_type ORDER BY rn) AS BIGINT) AS group_id,
+              (rn = 1 OR value > 20) AS is_first FROM r""",
+        "sliced_capped_concat": """
+            WITH sized AS (SELECT lang, doc_id, text, octet_length(encode(text)) AS n,
+                sum(octet_length(encode(text))) OVER (PARTITION BY lang ORDER BY doc_id) AS total,
+                row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents)
+            SELECT lang, md5(string_agg(text, '' ORDER BY doc_id)) AS digest, CAST(sum(n) AS BIGINT) AS n_bytes
+            FROM sized WHERE total <= 1048576 OR rn = 1 GROUP BY lang""",
+        "sliced_digest": """SELECT lang, md5(string_agg(text, '' ORDER BY doc_id)) AS digest,
+            CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes FROM documents GROUP BY lang""",
+        "sliced_global_order": """
+            SELECT event_id, ts, event_type FROM (
+              SELECT *, lag(event_type) OVER (ORDER BY ts, event_id) AS before FROM events)
+            WHERE before IS DISTINCT FROM event_type""",
+        "csv_split_roundtrip": """SELECT CAST(doc_id AS VARCHAR) AS "ImageID",
+            CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'validation' ELSE 'test' END AS "Subset",
+            source AS "Author", text AS "Title" FROM documents""",
         "csv_quote": """SELECT doc_id, '"' || replace(text, '"', '""') || '"' AS quoted FROM documents""",
         "csv_roundtrip": """SELECT CAST(doc_id AS VARCHAR) AS "ImageID",
             CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'validation' ELSE 'test' END AS "Subset",

@@ -188,11 +188,15 @@ def fetch(
 
 
 def fetch_table(df: DataFrame, responses: DataFrame, url: str = "url") -> DataFrame:
-    """Responses from a table keyed by URL, for replays and tests; a missing URL is a transport error."""
-    canned = responses.withColumnRenamed(url, "_url").withColumn("_found", F.lit(True))
-    joined = df.join(canned, F.col(url) == F.col("_url"), "left")
-    error = F.when(F.col("_found").isNull(), "no response recorded").otherwise(F.col("transport_error"))
-    return joined.withColumn("transport_error", error).drop("_url", "_found")
+    """Responses from a table keyed by URL, for replays and tests; a missing URL is a transport error.
+
+    Of several responses to one URL the greatest row counts, so a request keeps exactly one.
+    """
+    fields = [c for c in responses.columns if c != url]
+    single = responses.groupBy(F.col(url).alias("_url")).agg(F.max(F.struct(*fields)).alias("_r"))
+    joined = df.join(single, F.col(url) == F.col("_url"), "left").select(df["*"], F.col("_url"), "_r.*")
+    error = F.when(F.col("_url").isNull(), "no response recorded").otherwise(F.col("transport_error"))
+    return joined.withColumn("transport_error", error).drop("_url")
 
 
 def fetch_to_store(

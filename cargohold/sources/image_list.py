@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cargohold.operators.skew import DEFAULT_POLICY, SkewPolicy, running_sums, slice_hot_keys
 from cargohold.schemas import IMAGE_LIST_COLUMNS
+from cargohold.session import plan_bytes
 from cargohold.sources.files import listing, plain_path
 from cargohold.storage import column_values, resolve
 
+SPLIT_BYTES = 256 * 1024 * 1024
 CSV_OPTIONS = {
-    "header": "true",
     "quote": '"',
     "escape": '"',
     "nullValue": "\u0000",
@@ -50,11 +52,44 @@ def header_ok(spark: SparkSession, path: str | list[str], header: list[str]) ->
     return first_lines(spark, path).select("path", (F.col("line") == expected).alias("header_ok"))
 
 
-def _read(spark: SparkSession, paths: list[str], columns: list[str], multi_line: bool) -> DataFrame:
+def _read(spark: SparkSession, paths: str | list[str], columns: list[str], multi_line: bool) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    reader = spark.read.options(**CSV_OPTIONS).option("multiLine", str(multi_line).lower())
-    raw = reader.option("enforceSchema", "true").schema(schema).csv(paths)
-    return raw.select("*", plain_path(F.col("_metadata.file_path")).alias("_csv_filename"))
+    reader = spark.read.options(**CSV_OPTIONS).option("header", "true").option("multiLine", str(multi_line).lower())
+    reader = reader.option("enforceSchema", "true").option("recursiveFileLookup", "true")
+    return reader.schema(schema).csv(paths).select("*", plain_path(F.col("_metadata.file_path")).alias("_csv_filename"))
+
+
+def _read_split(
+    spark: SparkSession, paths: str | list[str], columns: list[str], policy: SkewPolicy = DEFAULT_POLICY
+) -> DataFrame:
+    """Quoted line breaks in large files without one task per file.
+
+    Lines are read in parallel. A line starts inside a quoted field when the number of quotes before it
+    in its file is odd; running totals give that, and lines of one record are joined again. Needs what
+    any CSV writer ensures: a field that holds a quote is quoted.
+    """
+    lines = (
+        spark.read.option("lineSep", "\n")
+        .option("recursiveFileLookup", "true")
+        .text(paths)
+        .select(
+            plain_path(F.col("_metadata.file_path")).alias("_csv_filename"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_row"),
+            "value",
+        )
+    )
+    s = slice_hot_keys(lines, ["_csv_filename"], ["_block", "_row"], policy)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    before = running_sums(s, s.df, {"_quotes": quotes}, inclusive=False)
+    starts = F.when(F.col("_quotes") % 2 == 0, 1).otherwise(0)
+    numbered = running_sums(s, before, {"_record": starts, "_at": F.lit(1)})
+    text = F.expr("listagg(value, '\n') WITHIN GROUP (ORDER BY _at)")
+    records = numbered.groupBy("_csv_filename", "_record").agg(text.alias("_text"))
+    body = records.filter("_record > 1").withColumn("_text", F.regexp_replace("_text", "\r$", ""))
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    parsed = F.from_csv("_text", schema, CSV_OPTIONS).alias("_fields")
+    return body.filter("_text <> ''").select(parsed, "_csv_filename").select("_fields.*", "_csv_filename")
 
 
 def read_image_list(
@@ -63,28 +98,38 @@ def read_image_list(
     multi_line: bool = True,
     columns: list[str] | None = None,
     with_filename: bool = False,
+    split_over: int = SPLIT_BYTES,
 ) -> DataFrame:
     """Rows of all lists under `path`; missing fields are empty text, never NULL.
 
-    Columns are found by each file's own header line, so their order may differ between files.
-    `multi_line=False` lets Spark split large files whose fields hold no line breaks.
+    Columns are found by each file's own header line, so their order may differ between files. Spark
+    reads a file with line breaks in fields in one task: lists of more than `split_over` bytes take a
+    splitting reader instead. `multi_line=False` is the cheapest where no field holds a line break.
     """
     wanted = columns or IMAGE_LIST_COLUMNS
-    # One short row per file: metadata, as the file listing itself.
-    by_header: dict[str, list[str]] = defaultdict(list)
-    for row in first_lines(spark, path).collect():
-        by_header[row["line"]].append(row["path"])
+    heads = first_lines(spark, path)
+    # One row per distinct header line; paths are only collected where headers differ.
+    headers = sorted(row["line"] for row in heads.select("line").distinct().collect())
+    groups: dict[str, str | list[str]] = {line: path for line in headers}
+    if len(headers) > 1:
+        by_header: dict[str, list[str]] = defaultdict(list)
+        for row in heads.collect():
+            by_header[row["line"]].append(row["path"])
+        groups = dict(by_header)
     parts = []
-    for line, paths in sorted(by_header.items()):
-        names = [name.strip('"') for name in line.lstrip("﻿").split(",")]
+    for line in headers:
+        names = [name.strip('"') for name in line.lstrip("\ufeff").split(",")]
         missing = [c for c in wanted if c not in names]
         if missing:
-            raise ValueError(f"columns {missing} not in the header of {paths[0]}")
-        part = _read(spark, paths, names, multi_line)
+            raise ValueError(f"columns {missing} not in the header {line!r}")
+        part = _read(spark, groups[line], names, multi_line)
+        if multi_line and plan_bytes(part) > split_over:
+            part = _read_split(spark, groups[line], names)
         kept = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in wanted]
         parts.append(part.select(*kept, *(["_csv_filename"] if with_filename else [])))
     if not parts:
-        return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in wanted]))
+        fields = [*wanted, *(["_csv_filename"] if with_filename else [])]
+        return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in fields]))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
