@@ -93,6 +93,23 @@ SELECT {keys}, chunk_id, octet_length(p) AS n_bytes, md5(p) AS piece_md5 FROM cu
 """
 
 
+def _placed_pieces(key: str, order: str, source: str, n: int) -> str:
+    """The same for few long sequences: rows are cut by their offsets, no sequence is assembled."""
+    return f"""
+WITH placed AS (
+  SELECT {key}, encode(text) AS b, octet_length(encode(text)) AS len,
+    sum(octet_length(encode(text))) OVER (PARTITION BY {key} ORDER BY {order}) - octet_length(encode(text)) AS off
+  FROM {source}),
+parts AS (
+  SELECT {key}, b, len, CAST(off AS BIGINT) AS off,
+    unnest(range(CAST(off // {n} AS BIGINT), CAST((off + len - 1) // {n} + 1 AS BIGINT))) AS i FROM placed WHERE len > 0),
+cut AS (
+  SELECT {key}, i, off, hex(b[greatest(i * {n} - off, 0) + 1 : least((i + 1) * {n} - off, len)]) AS p FROM parts),
+pieces AS (SELECT {key}, i AS chunk_id, unhex(string_agg(p, '' ORDER BY off)) AS p FROM cut GROUP BY {key}, i)
+SELECT {key}, chunk_id, octet_length(p) AS n_bytes, md5(p) AS piece_md5 FROM pieces
+"""
+
+
 def _resize_plan(mode: str) -> str:
     scale = {"ShrinkToFit": "least(1.0, 224.0 / w, 224.0 / h)", "FillCrop": "greatest(224.0 / w, 224.0 / h)"}
     sized = "SELECT page_id, 64 + page_id * 37 % 1800 AS w, 64 + page_id * 53 % 1300 AS h FROM pages"
@@ -288,9 +305,7 @@ def oracle_sql() -> dict[str, str]:
                 count(*) OVER (PARTITION BY event_type) AS n
               FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))
             WHERE window_start + 2 <= n OR n = 1""",
-        "sliced_rechunk": _pieces(
-            "lang", "SELECT lang, encode(string_agg(text, '' ORDER BY doc_id)) AS b FROM documents GROUP BY lang", 8192
-        ),
+        "sliced_rechunk": _placed_pieces("lang", "doc_id", "documents", 8192),
         "sliced_split_when": """
             WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events)
             SELECT event_id, ts, event_type, value,
