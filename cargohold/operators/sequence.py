@@ -19,16 +19,23 @@ def unique_consecutive(
 ) -> DataFrame:
     """Drop a row when `cols` equal those of the row before it; the first row stays, NULL or not."""
     s = slice_hot_keys(df, partition_by or [], order_by, policy)
-    value = F.struct(*cols)
-    marked = s.df.withColumn("_before", F.lag(value).over(s.window()))
+    w = s.window()
+    before = [F.lag(c).over(w).alias(f"_before{i}") for i, c in enumerate(cols)]
+    # NULL only where there is no row before: tells a first row from one that follows NULLs.
+    marked = s.df.select("*", F.lag(F.lit(True)).over(w).alias("_follows"), *before)
+    previous = [F.col(f"_before{i}") for i in range(len(cols))]
+    follows = F.col("_follows")
     if s.sliced:
-        tails = s.summaries(F.max_by(value, s.position()).alias("_tail"))
+        tails = s.summaries(F.max_by(F.struct(*cols), s.position()).alias("_tail"))
         by_slice = Window.partitionBy(*s.keys).orderBy("_slice")
         carried = tails.select(*s.keys, "_slice", F.lag("_tail").over(by_slice).alias("_tail"))
-        marked = s.attach(marked, carried).withColumn("_before", F.coalesce("_before", "_tail"))
-    # The struct is NULL only where there is no row before, so a first row of NULLs is kept.
-    changed = F.col("_before").isNull() | ~F.col("_before").eqNullSafe(value)
-    return marked.filter(changed).select(*df.columns)
+        marked = s.attach(marked, carried)
+        previous = [F.when(follows, p).otherwise(F.col("_tail")[c]) for p, c in zip(previous, cols)]
+        follows = F.coalesce(follows, F.col("_tail").isNotNull())
+    same = F.coalesce(follows, F.lit(False))
+    for p, c in zip(previous, cols):
+        same = same & p.eqNullSafe(F.col(c))
+    return marked.filter(~same).select(*df.columns)
 
 
 def sliding(

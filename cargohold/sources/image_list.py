@@ -12,11 +12,9 @@ from pyspark.sql import types as T
 
 from cargohold.operators.skew import DEFAULT_POLICY, SkewPolicy, running_sums, slice_hot_keys
 from cargohold.schemas import IMAGE_LIST_COLUMNS
-from cargohold.session import plan_bytes
 from cargohold.sources.files import listing, plain_path
 from cargohold.storage import column_values, resolve
 
-SPLIT_BYTES = 256 * 1024 * 1024
 CSV_OPTIONS = {
     "quote": '"',
     "escape": '"',
@@ -52,17 +50,17 @@ def header_ok(spark: SparkSession, path: str | list[str], header: list[str]) ->
     return first_lines(spark, path).select("path", (F.col("line") == expected).alias("header_ok"))
 
 
-def _read(spark: SparkSession, paths: str | list[str], columns: list[str], multi_line: bool) -> DataFrame:
+def _read_plain(spark: SparkSession, paths: str | list[str], columns: list[str]) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    reader = spark.read.options(**CSV_OPTIONS).option("header", "true").option("multiLine", str(multi_line).lower())
-    reader = reader.option("enforceSchema", "true").option("recursiveFileLookup", "true")
-    return reader.schema(schema).csv(paths).select("*", plain_path(F.col("_metadata.file_path")).alias("_csv_filename"))
+    reader = spark.read.options(**CSV_OPTIONS).option("header", "true").option("enforceSchema", "true")
+    raw = reader.option("recursiveFileLookup", "true").schema(schema).csv(paths)
+    return raw.select("*", plain_path(F.col("_metadata.file_path")).alias("_csv_filename"))
 
 
-def _read_split(
-    spark: SparkSession, paths: str | list[str], columns: list[str], policy: SkewPolicy = DEFAULT_POLICY
+def _read_quoted(
+    spark: SparkSession, paths: str | list[str], columns: list[str], policy: SkewPolicy
 ) -> DataFrame:
-    """Quoted line breaks in large files without one task per file.
+    """Line breaks in quoted fields, without the one task per file that `multiLine` takes.
 
     Lines are read in parallel. A line starts inside a quoted field when the number of quotes before it
     in its file is odd; running totals give that, and lines of one record are joined again. Needs what
@@ -98,13 +96,12 @@ def read_image_list(
     multi_line: bool = True,
     columns: list[str] | None = None,
     with_filename: bool = False,
-    split_over: int = SPLIT_BYTES,
+    policy: SkewPolicy = DEFAULT_POLICY,
 ) -> DataFrame:
     """Rows of all lists under `path`; missing fields are empty text, never NULL.
 
-    Columns are found by each file's own header line, so their order may differ between files. Spark
-    reads a file with line breaks in fields in one task: lists of more than `split_over` bytes take a
-    splitting reader instead. `multi_line=False` is the cheapest where no field holds a line break.
+    Columns are found by each file's own header line, so their order may differ between files. Large
+    files are split either way; `multi_line=False` saves a shuffle where no field holds a line break.
     """
     wanted = columns or IMAGE_LIST_COLUMNS
     heads = first_lines(spark, path)
@@ -122,9 +119,8 @@ def read_image_list(
         missing = [c for c in wanted if c not in names]
         if missing:
             raise ValueError(f"columns {missing} not in the header {line!r}")
-        part = _read(spark, groups[line], names, multi_line)
-        if multi_line and plan_bytes(part) > split_over:
-            part = _read_split(spark, groups[line], names)
+        found = groups[line]
+        part = _read_quoted(spark, found, names, policy) if multi_line else _read_plain(spark, found, names)
         kept = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in wanted]
         parts.append(part.select(*kept, *(["_csv_filename"] if with_filename else [])))
     if not parts:

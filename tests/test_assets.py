@@ -218,6 +218,8 @@ def test_fetch(spark):
     assert saved["f1"].md5 == hashlib.md5(b"x" * 20).hexdigest() and saved["f1"].bytes_written == 20
     assert saved["f3"].error == "RequestFailed: status 404"
     canned = spark.createDataFrame([("https://h/f0", 200, None)], "url string, status int, transport_error string")
+    canned = canned.unionByName(canned)
+    assert FT.fetch_table(df, canned).count() == 4
     table = {r.url[-2:]: r.transport_error for r in FT.fetch_table(df, canned).collect()}
     assert table["f0"] is None and table["f1"] == "no response recorded"
 

@@ -16,6 +16,7 @@ from cargohold.operators.aggregate import JobFailed, observed
 from cargohold.plans.assets import ingest_images
 from cargohold.plans.metadata import ingest_metadata
 from cargohold.plans.run import run
+from cargohold.operators.skew import SkewPolicy
 from cargohold.schemas import FAILURE_COLUMNS, IMAGE_LIST_COLUMNS, SUBSETS
 from cargohold.session import scratch_dir
 from cargohold.sinks.results import write_results
@@ -254,6 +255,48 @@ def test_results_tables(spark, folder):
         read_image_list(spark, f"{folder}/odd.csv")
 
 
+@pytest.mark.parametrize("policy", [SkewPolicy(), SkewPolicy(small_input=0, max_rows=10)], ids=["whole", "sliced"])
+def test_list_reader(spark, folder, policy):
+    """Many small splits, so records and quoted fields cross their borders."""
+    rows = [list_row(i, b"x", subset="train") for i in range(200)]
+    with open(f"{folder}/unix.csv", "wb") as f:
+        f.write(csv_list(rows[:150], IMAGE_LIST_COLUMNS))
+    with open(f"{folder}/dos.csv", "wb") as f:
+        f.write(csv_list(rows[150:], IMAGE_LIST_COLUMNS).replace(b",\n", b",\r\n"))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1000")
+    try:
+        got = [tuple(r) for r in read_image_list(spark, folder, policy=policy).collect()]
+        assert len(got) == len(rows) and set(got) == set(rows)
+        simple = [r for r in rows if not any("\n" in v or v == "x\\" for v in r)]
+        os.makedirs(f"{folder}/simple")
+        with open(f"{folder}/simple/list.csv", "wb") as f:
+            f.write(csv_list(simple, IMAGE_LIST_COLUMNS))
+        plain = read_image_list(spark, f"{folder}/simple", multi_line=False)
+        assert sorted(tuple(r) for r in plain.collect()) == sorted(simple)
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_waves_resume(spark, folder):
+    rows, codes = mini(folder)
+    df = spark.createDataFrame(rows, LIST_SCHEMA)
+    fetcher = FileFetcher("https://h.example.com/", f"{folder}/host")
+    cfg = JobConfig(root=f"{folder}/root", resize_images=False, **SHORT)
+    first = ingest_images(df, cfg, "top", fetcher, results=f"{folder}/out", waves=3)
+    want = {i: codes.get(i) for i in range(12)}
+    assert {i: r.failure_code for i, r in results_by_id(first).items()} == want
+    assert sorted(os.listdir(f"{folder}/out/rows")) == ["wave=0", "wave=1", "wave=2"]
+    # An unfinished wave is done again, finished ones are not: their host is gone by now.
+    os.unlink(f"{folder}/out/rows/wave=1/_SUCCESS")
+    redone = {r.ImageID for r in spark.read.parquet(f"{folder}/out/rows/wave=1").collect()}
+    again = results_by_id(ingest_images(df, cfg, "top", FileFetcher("none", folder), results=f"{folder}/out", waves=3))
+    for i, r in again.items():
+        kept = str(i) not in redone or i in (6, 7, 8)
+        assert r.failure_code == (want[i] if kept else "RequestFailed")
+
+
 def test_observed(spark):
     df = spark.range(10).withColumn("failure_code", F.when(F.col("id") < 3, "Redirect"))
     watched, metrics = observed(df, "counts")
