@@ -29,13 +29,15 @@ class JobConfig:
     max_retries: int = 15
     max_host_connections: int = 5
     max_total_connections: int = 128
+    connections_per_task: int = 1
 
     def __post_init__(self) -> None:
         if self.dataset_version not in DATASET_VERSIONS:
             raise ValueError(f"dataset_version must be one of {DATASET_VERSIONS}")
         if self.resize_mode not in RESIZE_MODES:
             raise ValueError(f"resize_mode must be one of {RESIZE_MODES}")
-        for name in ("resize_box_size", "max_retries", "max_host_connections", "max_total_connections"):
+        names = ("resize_box_size", "max_retries", "max_host_connections", "max_total_connections", "connections_per_task")
+        for name in names:
             if getattr(self, name) <= 0:
                 raise ValueError(f"{name} must be positive")
         total = self.max_total_connections

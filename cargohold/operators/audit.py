@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cargohold.storage import append_columns, column_values, digest_file, file_size, with_columns
+from cargohold.storage import append_columns, column_values, digest_file, file_size, in_parallel, with_columns
 
 
 def size_matches(length: str = "length", expected: str = "expected_size") -> Column:
@@ -35,20 +35,24 @@ def digest_paths(df: DataFrame, path: str, wanted: Column, algorithm: str = "MD5
     return df.withColumn("_wanted", F.coalesce(wanted, F.lit(False))).mapInArrow(run, schema)
 
 
-def stat_paths(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+def stat_paths(df: DataFrame, columns: dict[str, str], threads: int = 8) -> DataFrame:
     """Add the size of the file named by each path column, NULL where there is none.
 
     One metadata request per path, made by the task that holds the row: no listing of the store, no
-    join and no shuffle, so many rows with one path or one directory do not matter.
+    join and no shuffle, so many rows with one path or one directory do not matter. The requests of a
+    task overlap, as they mostly wait.
     """
     schema = with_columns(df.schema, *[T.StructField(out, T.LongType()) for out in columns])
 
+    def size_or_none(path: str | None) -> int | None:
+        return None if path is None else file_size(path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = {
-                out: pa.array([None if p is None else file_size(p) for p in column_values(batch, path)], pa.int64())
-                for out, path in columns.items()
-            }
+            sizes = {}
+            for out, path in columns.items():
+                calls = ((p,) for p in column_values(batch, path))
+                sizes[out] = pa.array(in_parallel(size_or_none, calls, threads), pa.int64())
             yield append_columns(batch, sizes)
 
     return df.mapInArrow(run, schema)

@@ -92,6 +92,7 @@ def acquire(planned: DataFrame, cfg: JobConfig, fetcher: Fetcher) -> DataFrame:
             cfg.max_total_connections,
             # Failure pages may be longer than the image; they are read up to their own cap.
             F.greatest(limit, F.lit(1024 * 1024).cast("bigint")),
+            threads=cfg.connections_per_task,
         )
         oversize = F.when(F.coalesce("size_limit_hit", F.lit(False)) & (F.col("status") == 200), "ImageUnknown")
         code = F.coalesce(header_failure(small), oversize, body_failure(small))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import http.client
 import time
 import urllib.error
 import urllib.request
@@ -22,6 +23,7 @@ from cargohold.storage import (
     append_columns,
     blocks,
     column_values,
+    in_parallel,
     new_hash,
     payload_batches,
     resolve,
@@ -94,7 +96,7 @@ class HttpFetcher:
             reply = opener.open(request, timeout=self.timeout)
         except urllib.error.HTTPError as exc:
             reply = exc
-        except (OSError, ValueError) as exc:
+        except OSError as exc:
             raise TransportError(str(exc)) from exc
         length = reply.headers.get("Content-Length")
         kind = reply.headers.get("Content-Type")
@@ -103,7 +105,10 @@ class HttpFetcher:
 
 
 def with_retries(fetcher: Fetcher, url: str, retries: int, consume: Callable[[Response], Any]):
-    """(result, error, attempts). Only transport errors are tried again; a GET can be repeated."""
+    """(result, error, attempts). Only transport errors are tried again; a GET can be repeated.
+
+    Anything else that a fetcher raises, such as for a malformed URL, is final but stays with its row.
+    """
     delay = RETRY_BASE_SECONDS
     for attempt in range(1, retries + 2):
         try:
@@ -114,22 +119,25 @@ def with_retries(fetcher: Fetcher, url: str, retries: int, consume: Callable[[Re
                 if response.stream is not None:
                     with suppress(OSError):
                         response.stream.close()
-        except (TransportError, OSError) as exc:
+        except (TransportError, OSError, http.client.HTTPException) as exc:
             error = f"{type(exc).__name__}: {exc}"
             if attempt <= retries:
                 time.sleep(delay)
                 delay = min(delay * 2, RETRY_MAX_SECONDS)
+        except Exception as exc:  # noqa: BLE001 - a plugged function must not fail the job for one row
+            return None, f"{type(exc).__name__}: {exc}", attempt
     return None, error, retries + 1
 
 
-def spread_by_host(df: DataFrame, url: str, per_host: int, total: int) -> DataFrame:
-    """At most `total` partitions; the rows of one host lie in at most `per_host` of them.
+def spread_by_host(df: DataFrame, url: str, per_host: int, total: int, threads: int = 1) -> DataFrame:
+    """At most `total` requests under way; those of one host in at most `per_host` places.
 
-    A partition works one request at a time, so both connection limits hold however the hosts are
-    distributed. A host with many rows is split by a salt over its full allowance.
+    A task works `threads` requests at a time, so the rows lie in `total / threads` partitions and those
+    of a host in `per_host / threads` of them: both limits hold however the hosts are distributed. A
+    host with many rows is split by a salt over its full allowance.
     """
-    salt = F.pmod(F.xxhash64(url), F.lit(per_host))
-    return df.repartition(total, url_host(F.col(url)), salt)
+    salt = F.pmod(F.xxhash64(url), F.lit(max(1, per_host // threads)))
+    return df.repartition(max(1, total // threads), url_host(F.col(url)), salt)
 
 
 def limited(data: Iterator[bytes], limit: int | None) -> Iterator[bytes]:
@@ -150,14 +158,16 @@ def fetch(
     total: int = 128,
     max_bytes: Column | int | None = None,
     keep_body: Callable[[Response], bool] | None = None,
+    threads: int = 1,
 ) -> DataFrame:
     """Add the response columns (schema `RESPONSE`). One bad row never fails the job.
 
     A body over `max_bytes` is dropped with `size_limit_hit`; `keep_body` decides on the headers
-    whether the body is read at all.
+    whether the body is read at all. With `threads`, a task overlaps that many requests.
     """
+    threads = min(threads, per_host)
     limit = max_bytes if isinstance(max_bytes, Column) else F.lit(max_bytes)
-    prepared = spread_by_host(df, url, per_host, total).withColumn("_limit", limit.cast("bigint"))
+    prepared = spread_by_host(df, url, per_host, total, threads).withColumn("_limit", limit.cast("bigint"))
     schema = with_columns(df.schema, *RESPONSE.fields)
     kept = df.columns
 
@@ -182,7 +192,7 @@ def fetch(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = zip(column_values(batch, url), column_values(batch, "_limit"))
-            yield from payload_batches(batch.select(kept), RESPONSE_KINDS, (one(*pair) for pair in pairs))
+            yield from payload_batches(batch.select(kept), RESPONSE_KINDS, in_parallel(one, pairs, threads))
 
     return prepared.mapInArrow(run, schema)
 

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import suppress
+from functools import lru_cache
+from typing import Any
 
 import pyarrow as pa
 from pyarrow import fs
@@ -17,13 +21,39 @@ BLOCK = 1024 * 1024
 GROUP_BYTES = 8 * 1024 * 1024
 
 
+@lru_cache(maxsize=64)
+def _mounted(root: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(root)
+
+
+LOCAL = fs.LocalFileSystem()
+
+
 def resolve(path: str) -> tuple[fs.FileSystem, str]:
-    """File system and path for a plain path or a `file:`, `hdfs:`, `s3:`, ... URI."""
+    """File system and path for a plain path or a `file:`, `hdfs:`, `s3:`, ... URI; one connection per store."""
     if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    if "://" in path:
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path
+        return LOCAL, "/" + path[5:].lstrip("/")
+    if "://" not in path:
+        return LOCAL, path
+    scheme, _, rest = path.partition("://")
+    store, _, name = rest.partition("/")
+    filesystem, base = _mounted(f"{scheme}://{store}/")
+    return filesystem, f"{base.rstrip('/')}/{name}"
+
+
+def in_parallel(fn: Callable[..., Any], calls: Iterable[tuple], threads: int) -> Iterator[Any]:
+    """Results in order, with at most `threads` calls under way or waiting to be taken."""
+    if threads <= 1:
+        yield from (fn(*call) for call in calls)
+        return
+    with ThreadPoolExecutor(threads) as pool:
+        window: deque = deque()
+        for call in calls:
+            if len(window) == threads:
+                yield window.popleft().result()
+            window.append(pool.submit(fn, *call))
+        while window:
+            yield window.popleft().result()
 
 
 def blocks(stream, size: int = BLOCK) -> Iterator[bytes]:

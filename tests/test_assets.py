@@ -4,6 +4,7 @@ import base64
 import hashlib
 import os
 import tempfile
+import time
 import zlib
 
 import numpy as np
@@ -23,6 +24,7 @@ from cargohold.operators.skew import SkewPolicy
 from cargohold.schemas import IMAGE_LIST_COLUMNS
 from cargohold.sources import fetch as FT
 from cargohold.sources.manifest import manifest, top_dir
+from cargohold.storage import in_parallel, resolve
 
 
 def one(spark, expression):
@@ -211,6 +213,8 @@ def test_fetch(spark):
             f.write(b"x" * (10 * (i + 1)))
     df = spark.createDataFrame([(f"https://h/f{i}", f"{folder}/out/f{i}") for i in range(4)], "url string, dest string")
     files = FT.FileFetcher("https://h/", folder)
+    many = {r.url[-2:]: r.status for r in FT.fetch(df, "url", files, total=4, threads=3).collect()}
+    assert many == {"f0": 200, "f1": 200, "f2": 200, "f3": 404}
     got = {r.url[-2:]: r for r in FT.fetch(df, "url", files, total=4, max_bytes=20).collect()}
     assert got["f0"].status == 200 and len(got["f0"].body) == 10 and got["f0"].content_length == 10
     assert got["f2"].size_limit_hit and got["f2"].body is None and got["f3"].status == 404
@@ -248,6 +252,31 @@ def test_fetch_retries(spark, failures, retries, ok):
     assert (row.status == 204) if ok else ("connection reset" in row.transport_error)
 
 
+def test_http_fetcher_reports_a_refused_connection():
+    with pytest.raises(FT.TransportError):
+        FT.HttpFetcher(timeout=2)("http://127.0.0.1:9/x")
+    result, error, attempts = FT.with_retries(FT.HttpFetcher(), "no url", 5, lambda r: r)
+    assert result is None and "unknown url type" in error and attempts == 1
+
+
+def test_in_parallel_keeps_order_and_bounds():
+    running, most = [], []
+
+    def call(i):
+        running.append(i)
+        most.append(len(running))
+        time.sleep(0.001 * (i % 3))
+        running.remove(i)
+        return i
+
+    assert list(in_parallel(call, ((i,) for i in range(50)), 4)) == list(range(50))
+    assert max(most) <= 4
+
+
+def test_resolve():
+    assert resolve("file:/a/b")[1] == resolve("file:///a/b")[1] == resolve("/a/b")[1] == "/a/b"
+
+
 def test_host_limit(spark):
     df = spark.range(3000).select(F.concat(F.lit("https://h"), F.col("id") % 3, F.lit("/"), "id").alias("url"))
     spread = FT.spread_by_host(df, "url", 5, 16)
