@@ -47,9 +47,13 @@ def ship_package(spark: SparkSession) -> None:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder under the cluster's shared `spark.checkpoint.dir`, or a local one where that is unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared:
-        return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"{label}-")
+    if not shared:
+        return tempfile.mkdtemp(prefix=f"{label}-")
+    if "://" not in shared and not shared.startswith("file:"):
+        # Workers open these files as well: name the store that Spark would take by default.
+        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+        shared = shared if default.startswith("file:") else f"{default.rstrip('/')}/{shared.lstrip('/')}"
+    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def plan_bytes(df: DataFrame) -> int:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,8 @@ def write_results(
     """`outcome=success|failure/subset_dir=.../*.csv` with headers, without a shuffle.
 
     `subsets` get a header-only file where an outcome has no rows. `compat` writes `result_line` text
-    instead, whose unquoted fields cannot be read back when they hold a comma.
+    instead, whose unquoted fields cannot be read back when they hold a comma; the header is a file of
+    its own that sorts first, so the parts of a folder in order are the one file they stand for.
     """
     parts = {"success": (success_rows(df), IMAGE_LIST_COLUMNS), "failure": (failure_rows(df), FAILURE_COLUMNS)}
     for name, (rows, columns) in parts.items():
@@ -48,6 +50,7 @@ def write_results(
         if compat:
             lines = rows.select(result_line(columns).alias("value"), F.col("Subset").alias("subset_dir"))
             lines.write.mode(mode).partitionBy("subset_dir").text(target)
+            _write_headers(target, columns)
         else:
             writer = rows.withColumn("subset_dir", F.col("Subset")).write.mode(mode).options(**CSV_WRITE_OPTIONS)
             writer.partitionBy("subset_dir").csv(target)
@@ -55,6 +58,14 @@ def write_results(
             _ensure_header(f"{target}/subset_dir={subset}", columns)
 
 
+def _write_headers(target: str, columns: list[str]) -> None:
+    filesystem, name = resolve(target)
+    for folder in filesystem.get_file_info(fs.FileSelector(name)):
+        if folder.type == fs.FileType.Directory:
+            with filesystem.open_output_stream(f"{folder.path}/part-00000-0-header.txt") as stream:
+                stream.write((",".join(columns) + "\n").encode())
+
+
 def _ensure_header(folder: str, columns: list[str]) -> None:
     filesystem, name = resolve(folder)
     if filesystem.get_file_info(name).type.name == "NotFound":

@@ -247,8 +247,18 @@ def test_results_tables(spark, folder):
             assert open(path).read() == ",".join(columns) + "\n"
         assert header_ok(spark, f"{folder}/csv/outcome={outcome}", columns).filter("NOT header_ok").count() == 0
     write_results(df, f"{folder}/text", compat=True)
-    lines = spark.read.text(f"{folder}/text/outcome=failure", lineSep="\0").count()
-    assert lines > 0
+    want = {0: set(), 1: set()}
+    for r in rows:
+        bad = int(r[0]) > 5
+        quoted = [('"' + v.replace('"', '""') + '"') if i in (6, 7) else v for i, v in enumerate(r)]
+        want[bad].add(",".join(quoted + (['"' + r[6].replace('"', '""') + '"'] if bad else [])))
+    for bad, (outcome, columns) in enumerate((("success", IMAGE_LIST_COLUMNS), ("failure", FAILURE_COLUMNS))):
+        place = f"{folder}/text/outcome={outcome}/subset_dir=train"
+        names = sorted(n for n in os.listdir(place) if n.startswith("part-"))
+        text = "".join(open(f"{place}/{n}", newline="").read() for n in names)
+        assert text.startswith(",".join(columns) + "\n")
+        rest = text[len(",".join(columns)) + 1 :]
+        assert len(rest) == sum(len(line) + 1 for line in want[bad]) and all(line + "\n" in rest for line in want[bad])
     with open(f"{folder}/odd.csv", "w") as f:
         f.write("a,b\n1,2\n")
     with pytest.raises(ValueError, match="not in the header"):
