@@ -52,7 +52,8 @@ def resize_plan(df: DataFrame, width: str, height: str, mode: str, box: int) ->
 def decode_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """`path`, pixel size and raw pixels of the stored images, decoded in the JVM on the executors.
 
-    A file that cannot be decoded stays as a row with `error`.
+    A file that cannot be decoded stays as a row with `error`. Spark lists the files on the driver: go
+    through a very large store by subset or shard directory, or resize payloads as they arrive.
     """
     raw = spark.read.format("image").option("recursiveFileLookup", "true").load(path)
     broken = F.col("image.width") < 1

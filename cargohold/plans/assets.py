@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -165,11 +167,12 @@ def ingest_images(
 ) -> DataFrame:
     """Run the image job; returns the stored result rows and writes the CSV tables beside them.
 
-    With several `waves` the rows are worked off in that many parts. Finished waves under `results` are
-    kept, so a broken run goes on where it stopped; a new run takes a new `results` folder.
+    With several `waves` the rows are worked off in that many parts. A run that is given the `results`
+    folder of a broken one goes on where that stopped: its plan and finished waves are kept. Without
+    `results` every run has a folder of its own and looks at every stored file again.
     """
     spark = rows.sparkSession
-    target = results or f"{cfg.root}/results/{top_dir}"
+    target = results or f"{cfg.root}/results/{top_dir}/{time.strftime('%Y%m%dT%H%M%S')}-{uuid.uuid4().hex[:8]}"
     # Lists come in few files: spread the rows, however they repeat, before any per-row file access.
     spread = rows.repartition(shuffle_partitions(spark))
     # Three branches read the plan: store it once, it is narrow.

@@ -11,7 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cargohold.sources.tar import OpenArchive, by_window
-from cargohold.storage import BLOCK, append_columns, blocks, column_values, file_size, resolve, with_columns, write_atomic
+from cargohold.storage import (
+    BLOCK,
+    append_columns,
+    blocks,
+    column_values,
+    file_size,
+    payload_batches,
+    resolve,
+    with_columns,
+    write_atomic,
+)
 
 
 def write_files(
@@ -41,13 +51,10 @@ def write_files(
             return None, f"{type(exc).__name__}: {exc}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = {size_name: pa.int64(), error_name: pa.string()}
         for batch in batches:
             pairs = zip(column_values(batch, path), column_values(batch, col))
-            sizes, errors = zip(*[save(*pair) for pair in pairs])
-            yield append_columns(
-                batch.select(kept),
-                {size_name: pa.array(sizes, pa.int64()), error_name: pa.array(errors, pa.string())},
-            )
+            yield from payload_batches(batch.select(kept), fields, (save(*pair) for pair in pairs))
 
     return df.select(*dict.fromkeys([*kept, path, col])).mapInArrow(run, schema)
 
@@ -102,17 +109,10 @@ def extract_tar(index: DataFrame, root: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive = OpenArchive()
+        fields = {"path": pa.string(), "bytes_written": pa.int64(), "skipped": pa.bool_(), "error": pa.string()}
         for batch in batches:
-            paths, written, skipped, errors = zip(*[copy(archive, row) for row in batch.to_pylist()])
-            yield append_columns(
-                batch.select(kept),
-                {
-                    "path": pa.array(paths, pa.string()),
-                    "bytes_written": pa.array(written, pa.int64()),
-                    "skipped": pa.array(skipped, pa.bool_()),
-                    "error": pa.array(errors, pa.string()),
-                },
-            )
+            yield from payload_batches(batch.select(kept), fields, (copy(archive, row) for row in batch.to_pylist()))
+        archive.close()
 
     return by_window(index, F.col("data_offset")).mapInArrow(run, schema)
 

@@ -16,6 +16,7 @@ from cargohold.operators.aggregate import JobFailed, observed
 from cargohold.plans.assets import ingest_images
 from cargohold.plans.metadata import ingest_metadata
 from cargohold.plans.run import run
+from cargohold.operators.audit import plan_fetch
 from cargohold.operators.skew import SkewPolicy
 from cargohold.schemas import FAILURE_COLUMNS, IMAGE_LIST_COLUMNS, SUBSETS
 from cargohold.session import scratch_dir
@@ -224,6 +225,7 @@ def test_run_end_to_end(spark, folder):
     cfg = JobConfig(root=f"{folder}/root", resize_images=False, **SHORT)
     out = run(spark, cfg, FileFetcher("https://h.example.com/", f"{folder}/host"), manifest_rows)
     assert out["metadata"].count() == 1
+    assert len(os.listdir(f"{folder}/root/results/2017_11")) == 1
     assert {int(r.ImageID): r.failure_code for r in out["images"].collect()} == {i: codes.get(i) for i in range(12)}
     assert sum(r.n_rows for r in out["report"].collect()) == 12
     got = {tuple(r) for r in out["images"].select(*IMAGE_LIST_COLUMNS).collect()}
@@ -324,6 +326,20 @@ def test_scratch_dir_uses_the_shared_folder(spark):
     assert first.startswith("hdfs://cluster/shared/x-") and first != second
 
 
+def test_stream_plan_equals_batch(spark, folder):
+    schema = "dest_path string, expected_size bigint, expected_md5 string"
+    rows = [(f"/s/{i}", 10 + i % 2, "ab" if i % 3 else "cd") for i in range(20)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/in")
+    stored = spark.createDataFrame([(f"/s/{i}", 10, "ab") for i in range(15)], "path string, length bigint, md5 string")
+    want = plan_fetch(spark.createDataFrame(rows, schema), stored)
+    for name, static in (("plan_listed", stored), ("plan_asked", None)):
+        planned = plan_fetch(spark.readStream.schema(schema).parquet(f"{folder}/in"), static)
+        query = planned.writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert sorted(map(tuple, spark.table("plan_listed").collect())) == sorted(map(tuple, want.collect()))
+    assert {r.reason for r in spark.table("plan_asked").collect()} == {"missing"}
+
+
 def test_stream_unique_and_counts(spark, folder):
     values = [("a", None), ("a", "x"), ("b", "x"), ("a", "x"), ("a", None), ("a", None), ("b", "y"), ("b", "y")]
     schema = "k string, v string, pos int"
