@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,7 +152,7 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose text column holds about `limit` bytes, one row at least."""
-    sizes = np.array([0 if x is None else x for x in pa.compute.binary_length(batch.column(column)).to_pylist()], np.int64)
+    sizes = np.array([0 if x is None else x for x in pc.binary_length(batch.column(column)).to_pylist()], np.int64)
     begin, total = 0, 0
     for i, size in enumerate(sizes):
         if i > begin and total + size > limit:
