@@ -1,10 +1,77 @@
-"""A training corpus from `documents`: the stages, each written as Parquet and read again by the next."""
+"""A training corpus from `documents`: each stage works on what the one before kept, written as Parquet and read again.
+
+Languages that can't be told go, one document of each near-duplicate group (five-word shingles, similarity 0.8) stays,
+documents that hold benchmark items go, sources are mixed to their target weights (a document may come twice), and
+what remains is written as token ids in ORC, of which the last stage returns the index.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cargohold.llm import decontaminate, language_id, mixing, near_dedup, orc_tokens
+from cargohold.llm.common import read_table, staged
+from cargohold.llm.queries import TOKENIZER
+from cargohold.session import scratch_dir, ship_package
+
+#: No SQL: the classifier, MinHash and the tokenizer have none. tests/llm holds the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known (1). Texts without a letter and ambiguous ones go."""
+    ship_package(spark)
+    return language_id.keep_identified(docs, language_id.train(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group (2), the one with the least id. Repeated rows of it leave one; null ids stay."""
+    ship_package(spark)
+    kept = near_dedup.near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    alone = docs.filter(F.col("doc_id").isNull())
+    single = docs.filter(F.col("doc_id").isNotNull())
+    repeated = staged(single.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_repeated")), "repeated")
+    stays = single.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    if repeated.isEmpty():
+        return stays.union(alone)
+    twice = stays.join(repeated, F.col("doc_id") == F.col("_repeated"), "left_semi").dropDuplicates(["doc_id"])
+    return stays.join(repeated, F.col("doc_id") == F.col("_repeated"), "left_anti").union(twice).union(alone)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of `benchmark` (5)."""
+    ship_package(spark)
+    return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as the mix takes them (10), once for each copy. A null id has no place in the mix."""
+    ship_package(spark)
+    docs = docs.filter(F.col("doc_id").isNotNull())
+    return mixing.sequence(docs, mixing.mixed(docs))
+
+
+def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of the documents in the ORC files (6)."""
+    ship_package(spark)
+    path = scratch_dir(spark, "corpus")
+    orc_tokens.write_tokens(docs, path, TOKENIZER)
+    return orc_tokens.token_index(spark, path)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontaminate", drop_contaminated),
+    ("mix", mix_sources),
+    ("tokens", write_token_ids),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; the result of the last."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
