@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401 - pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +20,8 @@ RADIUS = 2 * CHUNKS - 1
 BLOCK_ROWS = 1024
 #: Ids of documents to confirm that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Rounds that test documents against one random member of their bucket's largest component before the full comparison.
-RANDOM_ROUNDS = 2
+#: Members of a bucket's largest component, chosen at random, that others are tested against before the full comparison.
+RANDOM_MEMBERS = 3
 
 _A = (mix(np.arange(1, PLACES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = mix(np.arange(1001, PLACES + 1001, dtype=np.uint64)).astype(np.uint32)
@@ -157,29 +156,35 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percen
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of `edges` (a, b): each node hooks to its least neighbour in a random order, edges contract, until none is left."""
-    e, maps, nth = edges.select("a", "b"), [], 0
-    while True:
-        e = staged(e, "edges")
-        if e.isEmpty():
-            break
-        order = lambda c, n=nth: F.struct(F.xxhash64(c, F.lit(n)).alias("h"), F.col(c).alias("v"))
-        both = e.union(e.select("b", "a"))
-        hook = both.groupBy("a").agg(F.min(order("b")).alias("m")).select("a", F.least(F.col("m"), order("a"))["v"].alias("p"))
-        hook = staged(hook, "hooks")
-        up = hook.select(F.col("a").alias("p"), F.col("p").alias("pp"))
-        hook = staged(hook.join(up, "p").select("a", F.col("pp").alias("p")), "hooks")
-        maps.append(hook)
-        e = e.join(hook.withColumnRenamed("p", "pa"), "a").join(hook.select(F.col("a").alias("b"), F.col("p").alias("pb")), "b")
-        e = e.filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
+    """(node, root) for every node of `edges` (a, b).
+
+    In each round every node moves to the least node within two steps, in an order that is random for the round, and
+    from there once more; edges between different places are the next round's. Stars and dense groups end at once,
+    long chains shrink by a factor.
+    """
+    e, maps, nth = staged(edges.select("a", "b"), "edges"), [], 0
+    while not e.isEmpty():
+        rank = lambda c, n=nth: F.struct(F.xxhash64(c, F.lit(n)).alias("h"), F.col(c).alias("v"))
+        both = e.union(e.select("b", "a")).select("a", "b")
+        one = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("x"), F.least("m", rank("a")).alias("m"))
+        two = both.join(one, F.col("b") == F.col("x")).select("a", "m").union(one.select("x", "m"))
+        move = two.groupBy("a").agg(F.min("m").alias("m")).select("a", F.col("m.v").alias("p"))
+        if nth:
+            move = staged(move, "moves")
+            onward = move.select(F.col("a").alias("p"), F.col("p").alias("q"))
+            move = move.join(onward, "p").select("a", F.col("q").alias("p"))
+        move = staged(move, "moves")
+        maps.append(move)
+        e = e.join(move.withColumnRenamed("p", "pa"), "a").join(move.select(F.col("a").alias("b"), F.col("p").alias("pb")), "b")
+        e = staged(e.filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
         nth += 1
     if not maps:
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     found = maps[0].select(F.col("a").alias("node"), F.col("p").alias("root"))
-    for hook in maps[1:]:
-        up = hook.select(F.col("a").alias("root"), F.col("p").alias("next"))
-        found = found.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-    return staged(found, "roots")
+    for move in maps[1:]:
+        onward = move.select(F.col("a").alias("root"), F.col("p").alias("next"))
+        found = found.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return staged(found, "roots") if len(maps) > 1 else found
 
 
 def _members(star: DataFrame, roots: DataFrame) -> DataFrame:
@@ -192,54 +197,112 @@ def _members(star: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(mixed, "key", "left_semi")
 
 
-def _majority(members: DataFrame, nth: int) -> DataFrame:
-    """(key, top, rep, rows) of each bucket: its largest component, a random member of it, and its size."""
-    by_comp = members.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("doc_id", "key", F.lit(nth)), "doc_id", "n")).alias("pick"))
-    return by_comp.groupBy("key").agg(F.max(F.struct("c", "comp", "pick")).alias("m"), F.sum("c").alias("rows")).select(
-        "key", F.col("m.comp").alias("top"), F.col("m.pick.doc_id").alias("rep"), F.col("m.pick.n").alias("rep_n"), "rows"
-    )
+def _majority(members: DataFrame) -> DataFrame:
+    """(key, top, reps, rows) of each bucket: its largest component, some random members of it, and its size."""
+    picks = [F.min(F.struct(F.xxhash64("doc_id", "key", F.lit(j)).alias("h"), "doc_id", "n")).alias(f"m{j}") for j in range(RANDOM_MEMBERS)]
+    by_comp = members.groupBy("key", "comp").agg(F.count("*").alias("c"), *picks)
+    top = F.max(F.struct("c", "comp", F.array(*[f"m{j}" for j in range(RANDOM_MEMBERS)]).alias("reps"))).alias("m")
+    return by_comp.groupBy("key").agg(top).select("key", F.col("m.comp").alias("top"), F.col("m.reps").alias("reps"))
+
+
+_PLACE = ["top", "hb", "pb"]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by _PLACE, one table for each place."""
+    held: list[pa.RecordBatch] = []
+    group = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        place = np.stack([batch.column(c).to_numpy() for c in _PLACE], axis=1)
+        cuts = np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(place)], strict=True):
+            if group != tuple(place[a]):
+                if held:
+                    yield pa.Table.from_batches(held).combine_chunks()
+                held, group = [], tuple(place[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _blocks(percent: int):
-    """Rows sorted by key and block: all probes of a block against its home rows; each pair leaves from its first common bucket only."""
-
-    def compare(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(rows).combine_chunks()
-        doc, comp, n, probe = (t.column(c).to_numpy() for c in ("doc_id", "comp", "n", "probe"))
-        key, sigs = t.column("key")[0].as_py(), _matrix(t.column("sig"))
-        home, out = np.flatnonzero(probe == 0), []
-        for p in np.flatnonzero(probe == 1):
-            fits = home[(comp[home] != comp[p]) & (100 * np.minimum(n[home], n[p]) >= percent * np.maximum(n[home], n[p]))]
-            fits = fits[_close(sigs[fits], sigs[p])] if len(fits) else fits
-            if len(fits):
-                own = bucket_keys(sigs[p : p + 1]).view(np.int64)[0]
-                first = np.argmax(bucket_keys(sigs[fits]).view(np.int64) == own, axis=1)
-                fits = fits[first == np.argmax(own == key)]
-                out.append(np.stack([np.minimum(doc[fits], doc[p]), np.maximum(doc[fits], doc[p])], axis=1))
-        if out:
-            found = np.unique(np.concatenate(out), axis=0)
-            yield pa.record_batch({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+def _near_in_block(percent: int):
+    """For each probe of a block its near home rows as one list, and a row for each home row that is in one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        group = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, block = batch.column("key").to_numpy(), batch.column("block").to_numpy()
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True):
-                if group != (key[a], block[a]):
-                    if held:
-                        yield from compare(held)
-                    held, group = [], (key[a], block[a])
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from compare(held)
+        for t in _groups(batches):
+            doc, comp, n, probe = (t.column(c).to_numpy() for c in ("doc_id", "comp", "n", "probe"))
+            sigs, top = _matrix(t.column("sig")), t.column("top")[0].as_py()
+            home, lists, used = np.flatnonzero(probe == 0), [], np.zeros(len(doc), bool)
+            probes = np.flatnonzero(probe == 1)
+            for p in probes:
+                once = (comp[home] == top) | (doc[home] > doc[p])
+                fits = home[once & (comp[home] != comp[p]) & (100 * np.minimum(n[home], n[p]) >= percent * np.maximum(n[home], n[p]))]
+                fits = fits[_close(sigs[fits], sigs[p])] if len(fits) else fits
+                used[fits] = True
+                lists.append(doc[fits].tolist())
+            rows = [(d, x) for d, x in zip(doc[probes].tolist(), lists, strict=True) if x] + [(d, None) for d in doc[used].tolist()]
+            if rows:
+                place = {c: pa.array([t.column(c)[0].as_py()] * len(rows), t.schema.field(c).type) for c in _PLACE}
+                yield pa.record_batch({**place, "doc_id": pa.array([r[0] for r in rows], pa.int64()), "near": pa.array([r[1] for r in rows], pa.list_(pa.int64()))})
 
     return run
 
 
+def _links_in_block(k: int, percent: int):
+    """The pairs of a block's lists whose full sets reach the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            sets, docs, lists, sizes = [], t.column("doc_id").to_pylist(), t.column("near").to_pylist(), []
+            for batch in t.select(["text"]).to_batches():
+                for part in slices(batch, "text"):
+                    sets += list(shingle_sets(part.column("text"), k))
+            home = [i for i, x in enumerate(lists) if x is None]
+            sizes = np.array([len(sets[i]) for i in home], np.int64)
+            all_of, begin = np.concatenate([sets[i] for i in home]), np.cumsum(sizes) - sizes
+            known, number = np.unique(all_of, return_inverse=True)
+            at, found = {docs[i]: j for j, i in enumerate(home)}, []
+            for i, near in enumerate(lists):
+                if near is None:
+                    continue
+                mine, mark = sets[i], np.zeros(len(known), np.int64)
+                place = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+                mark[place[known[place] == mine]] = 1
+                both = np.add.reduceat(mark[number], begin)
+                where = np.array([at[d] for d in near])
+                alike = 100 * both[where] >= percent * (len(mine) + sizes[where] - both[where])
+                found += [(min(docs[i], d), max(docs[i], d)) for d, ok in zip(near, alike, strict=True) if ok]
+            yield pa.record_batch({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+    return run
+
+
+def _remaining(rest: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between members of mixed buckets in different components, found by comparing blocks.
+
+    Buckets with the same largest component form one group. Its members are dealt over blocks of about BLOCK_ROWS
+    home rows; those outside of the largest component are probes, in blocks as well. Each pair of a home and a
+    probe block is one comparison: by signatures first, then by the sets of the documents that are near another.
+    """
+    members = staged(rest.select("top", "doc_id", "comp", "n").distinct(), "members")
+    sizes = members.groupBy("top").agg(F.count("*").alias("h"), F.count_if(F.col("comp") != F.col("top")).alias("p"))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK_ROWS).cast("int")
+    sizes = staged(sizes.select("top", blocks("h").alias("nh"), blocks("p").alias("np")), "sizes")
+    rows = members.join(sizes, "top")
+    own = lambda c: F.pmod(F.xxhash64("doc_id"), F.col(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    homes = rows.select("top", own("nh").alias("hb"), each("np").alias("pb"), "doc_id", "comp", "n", F.lit(0).alias("probe"))
+    probes = rows.filter("comp <> top").select("top", each("nh").alias("hb"), own("np").alias("pb"), "doc_id", "comp", "n", F.lit(1).alias("probe"))
+    signed = homes.union(probes).join(reps.select("doc_id", "sig"), "doc_id").select(*_PLACE, "doc_id", "comp", "n", "probe", "sig")
+    near = signed.repartition(*_PLACE).sortWithinPartitions(*_PLACE).mapInArrow(_near_in_block(percent), "top long, hb int, pb int, doc_id long, near array<long>")
+    near = staged(near, "near-lists")
+    text = docs.join(broadcast_if(near.select("doc_id").distinct(), BROADCAST_IDS), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
+    full = near.join(text, "doc_id").select(*_PLACE, "doc_id", "near", "text")
+    return staged(full.repartition(*_PLACE).sortWithinPartitions(*_PLACE).mapInArrow(_links_in_block(k, percent), "a long, b long"), "links").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -249,8 +312,8 @@ def near_duplicates(
     if there are fewer words) have a Jaccard similarity of `percent` or more. Equal sets are one node. Every pair of
     nodes whose signatures differ in at most RADIUS of PLACES places shares a bucket. Links are confirmed on the
     full sets. Within a bucket each member is first confirmed against the bucket's first member, then against random
-    members of the largest component there; what then still lies in another component is compared with the whole
-    bucket, in blocks. Pairs inside one component need no test, so groups of copies cost rows, not pairs.
+    members of the largest component there; what then still lies in another component is compared with the rest in
+    blocks. Pairs inside one component need no test, so groups of copies cost rows, not pairs.
 
     Null or empty texts, and texts without a word, have no shingles and stand alone. A null id gives a null
     component and kept = true. Rows that repeat an id count as one document and each give a row. Other columns
@@ -278,29 +341,19 @@ def near_duplicates(
     tried = staged(tidy("leader", "leader_n", star), "pairs")
     links = confirmed(tried, reps, texts, shingle_words, percent)
     roots = components(links)
-    members = staged(_members(star, roots), "mixed")
-    for nth in range(RANDOM_ROUNDS + 1):
+    for full in (False, True):
+        members = staged(_members(star, roots), "mixed")
         if members.isEmpty():
             break
-        top = staged(_majority(members, nth), "tops")
-        rest = members.join(top, "key")
-        if nth < RANDOM_ROUNDS:
-            pairs = tidy("rep", "rep_n", rest.filter("comp <> top"))
+        rest = members.join(staged(_majority(members), "tops"), "key")
+        if full:
+            links = links.union(_remaining(rest, reps, texts, shingle_words, percent))
         else:
-            count = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
-            own = F.pmod(F.xxhash64("doc_id"), count).cast("int")
-            homes = rest.select("key", own.alias("block"), "doc_id", "comp", "n", F.lit(0).alias("probe"))
-            probes = rest.filter("comp <> top").select("key", F.explode(F.sequence(F.lit(0), count - 1)).alias("block"), "doc_id", "comp", "n", F.lit(1).alias("probe"))
-            rows = homes.union(probes).join(reps.select("doc_id", "sig"), "doc_id")
-            pairs = rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_blocks(percent), "a long, b long")
-        pairs = staged(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        links = links.union(confirmed(pairs, reps, texts, shingle_words, percent))
-        tried = tried.union(pairs)
+            tests = rest.filter("comp <> top").select("doc_id", "n", F.explode("reps").alias("r"))
+            pairs = tidy("rep", "rep_n", tests.select("doc_id", "n", F.col("r.doc_id").alias("rep"), F.col("r.n").alias("rep_n")))
+            pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+            links = links.union(confirmed(pairs, reps, texts, shingle_words, percent))
         roots = components(links)
-        if nth < RANDOM_ROUNDS:
-            members = staged(_members(star, roots), "mixed")
 
     least = roots.groupBy("root").agg(F.min("node").alias("component_id"))
     named = staged(roots.join(least, "root").select(F.col("node").alias("doc_id"), "component_id"), "components")
