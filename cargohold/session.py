@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
@@ -44,21 +45,41 @@ def ship_package(spark: SparkSession) -> None:
     context._cargohold_shipped = True
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new folder under the cluster's shared `spark.checkpoint.dir`, or a local one where that is unset."""
+    """A new folder under the cluster's shared `spark.checkpoint.dir`.
+
+    Where that is unset, a local session gets a temporary folder; on a cluster executors would each write their own,
+    so there it is an error. `clear_scratch` deletes what a job has left.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        return tempfile.mkdtemp(prefix=f"{label}-")
-    if "://" not in shared and not shared.startswith("file:"):
-        # Workers open these files as well: name the store that Spark would take by default.
-        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
-        shared = shared if default.startswith("file:") else f"{default.rstrip('/')}/{shared.lstrip('/')}"
-    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan, the one its own broadcast decision uses."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if shared:
+        path = f"{qualify(spark, shared).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    elif spark.sparkContext.master.split("[")[0] == "local":
+        path = tempfile.mkdtemp(prefix=f"{label}-")
+    else:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    _SCRATCH.append(path)
+    return path
+
+
+def qualify(spark: SparkSession, path: str) -> str:
+    """The path with the scheme and store that Spark takes by default, so that workers open the same place; local files stay plain."""
+    if not re.match("[A-Za-z][A-Za-z0-9+.-]*:/", path):
+        context = spark.sparkContext
+        jpath = context._jvm.org.apache.hadoop.fs.Path(path)
+        path = jpath.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(jpath).toString()
+    return re.sub("^file:/+", "/", path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the scratch folders of this driver; nothing that reads them may be used afterwards."""
+    context = spark.sparkContext
+    while _SCRATCH:
+        jpath = context._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        jpath.getFileSystem(context._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

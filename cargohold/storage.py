@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
@@ -29,15 +30,26 @@ def _mounted(root: str) -> tuple[fs.FileSystem, str]:
 LOCAL = fs.LocalFileSystem()
 
 
+#: Schemes that workers can open; what Spark's connector calls s3a (or s3n) is s3 here.
+SCHEMES = {"hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "gcs": "gs", "abfs": "abfs", "abfss": "abfss"}
+_SCHEME = re.compile(r"^([A-Za-z][A-Za-z0-9+.-]*):(/.*)$", re.S)
+
+
 def resolve(path: str) -> tuple[fs.FileSystem, str]:
-    """File system and path for a plain path or a `file:`, `hdfs:`, `s3:`, ... URI; one connection per store."""
-    if path.startswith("file:"):
-        return LOCAL, "/" + path[5:].lstrip("/")
-    if "://" not in path:
+    """File system and path for a plain path or a `file:`, `hdfs:`, `s3a:`, ... URI; one connection per store.
+
+    A plain path is a local one: qualify paths on the driver (`session.qualify`) where the default store isn't.
+    """
+    parts = _SCHEME.match(path)
+    if not parts:
         return LOCAL, path
-    scheme, _, rest = path.partition("://")
-    store, _, name = rest.partition("/")
-    filesystem, base = _mounted(f"{scheme}://{store}/")
+    scheme, rest = parts[1].lower(), parts[2]
+    if scheme == "file":
+        return LOCAL, "/" + rest.lstrip("/")
+    if scheme not in SCHEMES:
+        raise ValueError(f"cannot open {scheme}: paths on workers: {path}")
+    store, _, name = rest[2:].partition("/") if rest.startswith("//") else ("", "", rest.lstrip("/"))
+    filesystem, base = _mounted(f"{SCHEMES[scheme]}://{store}/")
     return filesystem, f"{base.rstrip('/')}/{name}"
 
 
