@@ -1,4 +1,4 @@
-"""Job options, with the defaults and the checks of the command line they replace."""
+"""Job options, their defaults and their checks."""
 
 from __future__ import annotations
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cargohold.functions.text import utf8
 
-# Limits of the original downloader.
+# Limits, and below the failure messages, that result tables are compared by.
 SMALL_IMAGE_LIMIT = 1_200_000
 FAILURE_BODY_LIMIT = 1024 * 1024
 UNAVAILABLE_PATH = "/photo_unavailable(_l)?\\.png$"

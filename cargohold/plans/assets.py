@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,21 +18,23 @@ from cargohold.config import JobConfig
 from cargohold.functions.paths import download_params, resized_path
 from cargohold.operators.audit import plan_fetch, stat_paths
 from cargohold.operators.classify import (
+    FAILURE_BODY_LIMIT,
     body_failure,
     failure_message,
     header_failure,
     input_failure,
     outcome,
+    size_limit,
     verify_digest,
 )
 from cargohold.operators.images import resize_payloads
 from cargohold.operators.route import if_then_else
 from cargohold.schemas import IMAGE_LIST_COLUMNS, RESPONSE, SUBSETS
-from cargohold.session import shuffle_partitions
-from cargohold.sinks.files import cached_stage, write_files
+from cargohold.session import qualify, scratch_dir, shuffle_partitions
+from cargohold.sinks.files import spool, write_files
 from cargohold.sinks.results import write_results
-from cargohold.sources.fetch import RESPONSE_KINDS, Fetcher, fetch
-from cargohold.storage import column_values, payload_batches, resolve
+from cargohold.sources.fetch import RESPONSE_KINDS, Fetcher, Response, fetch
+from cargohold.storage import column_values, file_size, payload_batches, resolve, write_atomic
 
 RESULT_COLUMNS = [
     *IMAGE_LIST_COLUMNS,
@@ -46,10 +51,13 @@ RESULT_COLUMNS = [
 
 def plan_images(rows: DataFrame, cfg: JobConfig, top_dir: str) -> DataFrame:
     """Image-list rows with URL, paths, expected size and digest, `need_fetch` and `need_resize`."""
-    params = download_params(rows.select(*IMAGE_LIST_COLUMNS), cfg, top_dir)
+    extra = [c for c in ("row_key",) if c in rows.columns]
+    params = download_params(rows.select(*IMAGE_LIST_COLUMNS, *extra), cfg, top_dir)
     target = resized_path(F.col("dest_path"), cfg.resized_images_subdirectory, cfg.resize_output_format)
     params = params.withColumn("resized_path", target)
     planned = plan_fetch(params, None, cfg.check_md5_if_exists, cfg.always_download)
+    # A valid copy has the expected size.
+    planned = planned.withColumn("stored_size", F.when(~F.col("need_fetch"), F.col("expected_size")))
     if not cfg.resize_images:
         return planned.withColumn("need_resize", F.lit(False))
     sized = stat_paths(planned, {"_resized": "resized_path"})
@@ -82,7 +90,12 @@ def read_stored(df: DataFrame, path: str = "dest_path") -> DataFrame:
 def acquire(planned: DataFrame, cfg: JobConfig, fetcher: Fetcher) -> DataFrame:
     """Bytes and verdict of every row: fetched, read from the store, or refused before any request."""
     small = cfg.download_300k
-    limit = F.greatest(F.lit(1_200_000), F.col("expected_size")) if small else F.col("expected_size")
+
+    def keep_body(response: Response) -> bool:
+        """Bodies of images, and of failures whose text goes into the message; the rest is refused on its headers."""
+        if response.status != 200:
+            return not 300 <= (response.status or 0) < 400
+        return (response.content_type or "").strip().lower() == "image/jpeg" and response.content_length is not None
 
     def fetched(df: DataFrame) -> DataFrame:
         got = fetch(
@@ -93,7 +106,8 @@ def acquire(planned: DataFrame, cfg: JobConfig, fetcher: Fetcher) -> DataFrame:
             cfg.max_host_connections,
             cfg.max_total_connections,
             # Failure pages may be longer than the image; they are read up to their own cap.
-            F.greatest(limit, F.lit(1024 * 1024).cast("bigint")),
+            F.greatest(size_limit(small), F.lit(FAILURE_BODY_LIMIT).cast("bigint")),
+            keep_body=keep_body,
             threads=cfg.connections_per_task,
         )
         oversize = F.when(F.coalesce("size_limit_hit", F.lit(False)) & (F.col("status") == 200), "ImageUnknown")
@@ -106,15 +120,22 @@ def acquire(planned: DataFrame, cfg: JobConfig, fetcher: Fetcher) -> DataFrame:
         code = F.when(F.col("transport_error").isNotNull(), "ImageIO")
         return got.withColumn("failure_code", code).withColumn("failure_details", F.col("transport_error"))
 
+    def unread(df: DataFrame) -> DataFrame:
+        return _no_response(df).select("*", *[F.lit(None).cast("string").alias(c) for c in ("failure_code", "failure_details")])
+
     def refused(df: DataFrame) -> DataFrame:
         coded = _no_response(df).withColumn("failure_code", input_failure(small))
         return coded.withColumn("failure_details", failure_message(small))
 
     def usable(df: DataFrame) -> DataFrame:
-        return if_then_else(df, F.col("need_fetch"), fetched, stored)
+        arrived = if_then_else(df, F.col("need_fetch"), fetched, stored)
+        return verify_digest(arrived, F.md5("body"), small)
 
-    routed = if_then_else(planned, input_failure(small).isNotNull(), refused, usable)
-    return verify_digest(routed, F.md5("body"), small)
+    def accepted(df: DataFrame) -> DataFrame:
+        # The plan has checked a valid stored copy already: it is opened again only to be resized.
+        return if_then_else(df, F.col("need_fetch") | F.col("need_resize"), usable, unread)
+
+    return if_then_else(planned, input_failure(small).isNotNull(), refused, accepted)
 
 
 def store_and_resize(
@@ -131,7 +152,7 @@ def store_and_resize(
     save = ok & F.col("need_fetch") & F.lit(cfg.save_original_images)
     out = out.withColumn("_save_to", F.when(save, F.col("dest_path")))
     out = write_files(out, "_save_to", "body", out.columns, "_saved", "_save_error")
-    have = F.when(ok & ~F.col("need_fetch"), F.octet_length("body"))
+    have = F.when(ok & ~F.col("need_fetch"), F.coalesce(F.octet_length("body").cast("long"), F.col("stored_size")))
     out = out.withColumn("bytes_written", F.coalesce("_saved", have, F.lit(0)))
     out = out.withColumn("_image", F.when(ok & F.col("need_resize"), F.col("body"))).drop("body", "_save_to")
     if cfg.resize_images:
@@ -153,7 +174,29 @@ def store_and_resize(
     final = out.withColumn("_late_code", code).withColumn("_late", F.coalesce("_save_error", late))
     return final.withColumn("failure_details", F.coalesce("failure_details", F.when(ok, F.col("_late")))).withColumn(
         "failure_code", F.coalesce("failure_code", "_late_code")
-    ).select(*RESULT_COLUMNS)
+    ).select(*RESULT_COLUMNS, *[c for c in ("row_key",) if c in rows.columns])
+
+
+def _finished(spark: SparkSession, folder: str) -> DataFrame | None:
+    """Result rows of the parts that were written to their end."""
+    filesystem, name = resolve(folder)
+    if filesystem.get_file_info(name).type != fs.FileType.Directory:
+        return None
+    parts = sorted(i.base_name for i in filesystem.get_file_info(fs.FileSelector(name)) if i.type == fs.FileType.Directory)
+    done = [p for p in (f"{folder}/{n}" for n in parts) if file_size(f"{p}/_SUCCESS") is not None]
+    return spark.read.parquet(*done) if done else None
+
+
+def _claim(folder: str, job: dict) -> None:
+    """Write the record of a job, or raise if the folder belongs to another one."""
+    place, text = f"{folder}/job.json", json.dumps(job, sort_keys=True)
+    if file_size(place) is None:
+        write_atomic(place, [text.encode()])
+        return
+    filesystem, name = resolve(place)
+    with filesystem.open_input_stream(name) as stream:
+        if stream.read().decode() != text:
+            raise ValueError(f"{folder} holds results of another configuration")
 
 
 def ingest_images(
@@ -167,26 +210,44 @@ def ingest_images(
 ) -> DataFrame:
     """Run the image job; returns the stored result rows and writes the CSV tables beside them.
 
-    With several `waves` the rows are worked off in that many parts. A run that is given the `results`
-    folder of a broken one goes on where that stopped: its plan and finished waves are kept. Without
-    `results` every run has a folder of its own and looks at every stored file again.
+    With several `waves` the rows are worked off in that many parts. A run that is given the `results` folder of an
+    earlier one works off what is missing there, whatever its number of waves: the rows of this list without a
+    result row, by all their fields. A longer list is thus continued. Another configuration, a list that lacks rows
+    of the stored results, or one that repeats a row more often than they do, is an error. Without `results` every
+    run has a folder of its own and looks at every stored file again.
     """
     spark = rows.sparkSession
     target = results or f"{cfg.root}/results/{top_dir}/{time.strftime('%Y%m%dT%H%M%S')}-{uuid.uuid4().hex[:8]}"
+    target = qualify(spark, target).rstrip("/")
+    _claim(target, {"config": hashlib.sha256(repr((cfg, top_dir)).encode()).hexdigest()})
+    # Equal rows share a key, so they are in one wave.
+    key = F.sha2(F.to_json(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in IMAGE_LIST_COLUMNS])), 256)
+    keyed = spool(rows.select(*IMAGE_LIST_COLUMNS, key.alias("row_key")), scratch_dir(spark, "list"))
+    done = _finished(spark, f"{target}/rows")
+    pending = keyed
+    if done is not None:
+        counts = [d.groupBy("row_key").agg(F.count(F.lit(1)).alias(n)) for d, n in ((keyed, "listed"), (done, "stored"))]
+        # Rows without a result are fine; any other difference is not.
+        odd = counts[0].join(counts[1], "row_key", "right").filter(F.coalesce("listed", F.lit(0)) != F.col("stored"))
+        if not odd.isEmpty():
+            raise ValueError(f"{target} holds results of rows that this list lacks or counts otherwise")
+        pending = keyed.join(done.select("row_key").distinct(), "row_key", "left_anti")
     # Lists come in few files: spread the rows, however they repeat, before any per-row file access.
-    spread = rows.repartition(shuffle_partitions(spark))
-    # Three branches read the plan: store it once, it is narrow.
-    planned = cached_stage(spark, f"{target}/plan", lambda: plan_images(spread, cfg, top_dir))
+    spread = pending.repartition(shuffle_partitions(spark))
     for wave in range(waves):
-        mine = F.pmod(F.xxhash64("ImageID", "url"), F.lit(waves)) == wave
-        part = planned.filter(mine) if waves > 1 else planned
+        mine = F.pmod(F.xxhash64("row_key"), F.lit(waves)) == wave
+        part = spread.filter(mine) if waves > 1 else spread
+        # Four branches read the plan: store it once, it is narrow.
+        planned = spool(plan_images(part, cfg, top_dir), scratch_dir(spark, "plan"))
+        if planned.isEmpty():
+            continue
         # The wide chain runs once; everything later reads the narrow table it leaves.
-        cached_stage(
-            spark,
-            f"{target}/rows/wave={wave}",
-            lambda part=part: store_and_resize(acquire(part, cfg, fetcher), cfg, resizer),
-        )
-    stored = spark.read.parquet(f"{target}/rows").drop("wave")
+        spool(store_and_resize(acquire(planned, cfg, fetcher), cfg, resizer), f"{target}/rows/part={uuid.uuid4().hex}")
+    stored = _finished(spark, f"{target}/rows")
+    if stored is None:
+        planned = plan_images(keyed, cfg, top_dir)
+        stored = spool(store_and_resize(acquire(planned, cfg, fetcher), cfg, resizer), f"{target}/rows/part=none")
+    stored = stored.drop("row_key", "part")
     write_results(stored, f"{target}/csv", SUBSETS)
     return stored
 

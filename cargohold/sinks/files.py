@@ -67,7 +67,8 @@ def extract_tar(index: DataFrame, root: str) -> DataFrame:
     """Copy indexed entries to files under `root`: adds `path, bytes_written, skipped, error`.
 
     Each task copies the byte range of an entry straight from the archive, so no payload is shuffled.
-    Files that already have the right size are skipped; absolute names and `..` are refused.
+    Files that already have the right size are skipped; absolute names and `..` are refused. Of entries with one
+    name the last counts, as in unpacking one after another; links and devices are errors.
     """
     schema = with_columns(
         T.StructType([f for f in index.schema.fields if f.name != "error"]),
@@ -97,7 +98,7 @@ def extract_tar(index: DataFrame, root: str) -> DataFrame:
                 filesystem.create_dir(folder, recursive=True)
                 return target, 0, False, None
             if row["entry_type"] != "file":
-                return target, 0, True, None
+                return target, None, False, f"Unsupported: {name} is neither file nor directory"
             if file_size(target) == row["entry_size"]:
                 return target, row["entry_size"], True, None
             written = write_atomic(target, entry_blocks(archive, row))
@@ -114,7 +115,11 @@ def extract_tar(index: DataFrame, root: str) -> DataFrame:
             yield from payload_batches(batch.select(kept), fields, (copy(archive, row) for row in batch.to_pylist()))
         archive.close()
 
-    return by_window(index, F.col("data_offset")).mapInArrow(run, schema)
+    last = index.groupBy("archive", "entry_name").agg(F.max("entry_ord").alias("_last"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    same = [index[c].eqNullSafe(F.col(f"_{c}")) for c in ("archive", "entry_name")]
+    older = last.select(F.col("archive").alias("_archive"), F.col("entry_name").alias("_entry_name"), "_last")
+    kept_rows = index.join(older, same[0] & same[1] & (F.col("entry_ord") < F.col("_last")) & F.col("error").isNull(), "left_anti")
+    return by_window(kept_rows, F.col("data_offset")).mapInArrow(run, schema)
 
 
 def copy_files(df: DataFrame, source: str, target: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from cargohold.functions.text import csv_quote
 from cargohold.schemas import FAILURE_COLUMNS, FAILURE_DETAILS, IMAGE_LIST_COLUMNS
+from cargohold.session import scratch_dir
+from cargohold.sinks.files import spool
 from cargohold.storage import resolve
 
 CSV_WRITE_OPTIONS = {
@@ -40,10 +42,15 @@ def write_results(
 ) -> None:
     """`outcome=success|failure/subset_dir=.../*.csv` with headers, without a shuffle.
 
+    The rows are evaluated once: they are stored first, and both tables are written from there, so a row can't end
+    in both or in none when its source answers differently the second time.
+
     `subsets` get a header-only file where an outcome has no rows. `compat` writes `result_line` text
     instead, whose unquoted fields cannot be read back when they hold a comma; the header is a file of
     its own that sorts first, so the parts of a folder in order are the one file they stand for.
     """
+    needed = [*IMAGE_LIST_COLUMNS, "failure_code", "failure_details"]
+    df = spool(df.select(*[F.col(c).cast("string").alias(c) for c in needed]), scratch_dir(df.sparkSession, "results"))
     parts = {"success": (success_rows(df), IMAGE_LIST_COLUMNS), "failure": (failure_rows(df), FAILURE_COLUMNS)}
     for name, (rows, columns) in parts.items():
         target = f"{out}/outcome={name}"
@@ -67,8 +74,10 @@ def _write_headers(target: str, columns: list[str]) -> None:
 
 
 def _ensure_header(folder: str, columns: list[str]) -> None:
+    """A header-only file where an outcome has no rows for the subset."""
     filesystem, name = resolve(folder)
+    header = (",".join(columns) + "\n").encode()
     if filesystem.get_file_info(name).type.name == "NotFound":
         filesystem.create_dir(name, recursive=True)
         with filesystem.open_output_stream(f"{name}/part-header.csv") as stream:
-            stream.write((",".join(columns) + "\n").encode())
+            stream.write(header)
