@@ -197,14 +197,23 @@ def fetch(
     return prepared.mapInArrow(run, schema)
 
 
-def fetch_table(df: DataFrame, responses: DataFrame, url: str = "url") -> DataFrame:
+def fetch_table(df: DataFrame, responses: DataFrame, url: str = "url", order_by: str | None = None) -> DataFrame:
     """Responses from a table keyed by URL, for replays and tests; a missing URL is a transport error.
 
-    Of several responses to one URL the greatest row counts, so a request keeps exactly one.
+    Of several responses to one URL the one that is greatest in `order_by` (a time or attempt number) counts. Without
+    it, a success comes before other answers and these before transport errors; among equals the one with the least
+    hash counts. The choice is made on narrow columns, so bodies of other answers are not shuffled twice.
     """
-    fields = [c for c in responses.columns if c != url]
-    single = responses.groupBy(F.col(url).alias("_url")).agg(F.max(F.struct(*fields)).alias("_r"))
-    joined = df.join(single, F.col(url) == F.col("_url"), "left").select(df["*"], F.col("_url"), "_r.*")
+    fields = [c for c in responses.columns if c not in (url, order_by)]
+    mark = F.xxhash64(*[F.col(c) for c in fields])
+    answered = F.when(F.col("status") == 200, 2).when(F.col("status").isNotNull(), 1).otherwise(0)
+    rank = F.struct((F.col(order_by) if order_by else answered).alias("o"), (-F.abs(mark % 2**62)).alias("h"))
+    ranked = responses.select(F.col(url).alias("_url"), *fields, rank.alias("_rank"))
+    best = ranked.groupBy("_url").agg(F.max("_rank").alias("_best"), F.count(F.lit(1)).alias("_n"))
+    many = best.filter("_n > 1").select(F.col("_url").alias("_u"), "_best")
+    single = ranked.join(many, (F.col("_url") == F.col("_u")) & (F.col("_rank") != F.col("_best")), "left_anti").drop("_rank")
+    single = single.dropDuplicates(["_url"]) if not many.isEmpty() else single
+    joined = df.join(single, F.col(url) == F.col("_url"), "left").select(df["*"], F.col("_url"), *fields)
     error = F.when(F.col("_url").isNull(), "no response recorded").otherwise(F.col("transport_error"))
     return joined.withColumn("transport_error", error).drop("_url")
 

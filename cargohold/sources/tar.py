@@ -7,6 +7,7 @@ large archive, and one large entry in it, is read by many tasks.
 
 from __future__ import annotations
 
+import re
 import tarfile
 from collections.abc import Iterator
 
@@ -22,15 +23,14 @@ from cargohold.storage import GROUP_BYTES, column_values, payload_batches, resol
 
 RECORD = 512
 RANGE_BYTES = 8 * 1024 * 1024
-ENTRY_BYTES = 64 * 1024 * 1024
+#: What one cell of a binary column can hold.
+CELL_BYTES = (1 << 31) - (1 << 16)
+#: Extension headers hold a name and a few numbers; a longer one is damage.
+EXTENSION_BYTES = 1024 * 1024
 INDEX_ROWS = 4096
 INDEX_KINDS = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
 
 
-
-
-
-
 def _kind(info: tarfile.TarInfo) -> str:
     if info.isdir():
         return "directory"
@@ -60,16 +60,29 @@ def walk_headers(stream, size: int) -> Iterator[tuple]:
             return
         data = at + RECORD
         if info.type in (tarfile.GNUTYPE_LONGNAME, tarfile.XHDTYPE, tarfile.XGLTYPE, tarfile.GNUTYPE_LONGLINK):
+            if not 0 <= info.size <= EXTENSION_BYTES:
+                yield ordinal, None, None, None, at, "InvalidHeader"
+                return
             stream.seek(data)
             extra = stream.read(info.size)
+            if len(extra) < info.size:
+                yield ordinal, None, info.size, None, data, "Truncated"
+                return
             if info.type == tarfile.GNUTYPE_LONGNAME:
                 long_name = extra.rstrip(b"\0").decode("utf-8", "replace")
             elif info.type == tarfile.XHDTYPE:
                 extended = pax_fields(extra)
+                if extended is None:
+                    yield ordinal, None, None, None, at, "InvalidHeader"
+                    return
             at = data + -(-info.size // RECORD) * RECORD
             continue
         name = extended.get("path") or long_name or info.name
-        length = int(extended.get("size", info.size)) if info.isreg() else 0
+        stated = extended.get("size", str(info.size))
+        length = (int(stated) if re.fullmatch("[0-9]+", stated) else -1) if info.isreg() else 0
+        if length < 0:
+            yield ordinal, None, None, _kind(info), at, "InvalidHeader"
+            return
         long_name, extended = None, {}
         closed = False
         name = name.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
@@ -83,13 +96,13 @@ def walk_headers(stream, size: int) -> Iterator[tuple]:
         yield ordinal, None, None, None, at, "NoEOF"
 
 
-def pax_fields(data: bytes) -> dict[str, str]:
-    """`length key=value` records of an extended header."""
+def pax_fields(data: bytes) -> dict[str, str] | None:
+    """`length key=value` records of an extended header; None if one is damaged."""
     fields = {}
-    while data:
+    while data.strip(b"\0"):
         head, _, _ = data.partition(b" ")
-        if not head.isdigit():
-            break
+        if not re.fullmatch(rb"[0-9]{1,9}", head) or not len(head) + 2 < int(head) <= len(data):
+            return None
         record, data = data[len(head) + 1 : int(head) - 1], data[int(head) :]
         key, _, value = record.partition(b"=")
         fields[key.decode("utf-8", "replace")] = value.decode("utf-8", "replace")
@@ -173,7 +186,7 @@ def tar_chunks(index: DataFrame, chunk_size: int = RECORD, range_bytes: int = RA
     """Data rows of indexed entries: `chunk_pos, bytes, first, last` added to entry columns.
 
     Empty entries and directories give one empty chunk with both flags set, as the last one of an
-    entry is trimmed to the entry's size.
+    entry is trimmed to the entry's size. A damaged entry gives one row with NULL bytes and its `error`.
     """
     if chunk_size % RECORD:
         raise ValueError("chunk_size must be a multiple of 512")
@@ -186,6 +199,7 @@ def tar_chunks(index: DataFrame, chunk_size: int = RECORD, range_bytes: int = RA
             T.StructField("bytes", T.BinaryType()),
             T.StructField("first", T.BooleanType()),
             T.StructField("last", T.BooleanType()),
+            T.StructField("error", T.StringType()),
         ]
     )
     per_batch = max(1, min(10_000, GROUP_BYTES // chunk_size))
@@ -201,7 +215,7 @@ def tar_chunks(index: DataFrame, chunk_size: int = RECORD, range_bytes: int = RA
             yield at // chunk_size, data, at == 0, at + len(data) == size
 
     kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
-    kinds += [pa.int64(), pa.binary(), pa.bool_(), pa.bool_()]
+    kinds += [pa.int64(), pa.binary(), pa.bool_(), pa.bool_(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive = OpenArchive()
@@ -210,7 +224,7 @@ def tar_chunks(index: DataFrame, chunk_size: int = RECORD, range_bytes: int = RA
             for entry in batch.to_pylist():
                 head = tuple(entry[c] for c in columns)
                 for chunk in read_range(archive, entry):
-                    rows.append(head + chunk)
+                    rows.append((*head, *chunk, None))
                     if len(rows) == per_batch:
                         yield _batch(rows, schema.fieldNames(), kinds)
                         rows = []
@@ -218,7 +232,9 @@ def tar_chunks(index: DataFrame, chunk_size: int = RECORD, range_bytes: int = RA
             yield _batch(rows, schema.fieldNames(), kinds)
         archive.close()
 
-    return _ranges(index.filter("error IS NULL"), range_bytes).mapInArrow(run, schema)
+    good = _ranges(index.filter("error IS NULL"), range_bytes).mapInArrow(run, schema)
+    bad = index.filter("error IS NOT NULL")
+    return good.unionByName(bad.select(*columns, "error"), allowMissingColumns=True)
 
 
 def read_tar(
@@ -228,12 +244,18 @@ def read_tar(
     return tar_chunks(tar_index(spark, path, mode), chunk_size)
 
 
-def tar_entries(index: DataFrame, max_bytes: int = ENTRY_BYTES) -> DataFrame:
-    """One row per entry with its bytes. Entries over `max_bytes` keep NULL bytes: read these as chunks."""
+def tar_entries(index: DataFrame, max_bytes: int = CELL_BYTES) -> DataFrame:
+    """One row per entry with its bytes.
+
+    Damaged entries, and with `error` EntryTooLarge those over `max_bytes` (by default what a cell can hold), have
+    NULL bytes: read large ones as chunks.
+    """
     schema = with_columns(index.schema, T.StructField("bytes", T.BinaryType()))
+    large = F.col("error").isNull() & (F.col("entry_size") > max_bytes)
+    marked = index.withColumn("error", F.when(large, "EntryTooLarge").otherwise(F.col("error"))).select(*index.columns)
 
     def read(archive: OpenArchive, row: dict) -> tuple[bytes | None]:
-        if row["entry_size"] > max_bytes:
+        if row["error"]:
             return (None,)
         return (archive.at(row["archive"], row["data_offset"]).read(row["entry_size"]),)
 
@@ -243,7 +265,7 @@ def tar_entries(index: DataFrame, max_bytes: int = ENTRY_BYTES) -> DataFrame:
             yield from payload_batches(batch, {"bytes": pa.binary()}, (read(archive, r) for r in batch.to_pylist()))
         archive.close()
 
-    return by_window(index.filter("error IS NULL"), F.col("data_offset")).mapInArrow(run, schema)
+    return by_window(marked, F.col("data_offset")).mapInArrow(run, schema)
 
 
 def keep_files(index: DataFrame) -> DataFrame:
