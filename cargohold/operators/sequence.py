@@ -168,12 +168,19 @@ def capped_concat(
 
     The first row is taken even when it is longer. The cap is the operator: it bounds the group.
     """
-    s = slice_hot_keys(df, keys, order_by, policy)
-    sized = s.df.select(*s.keys, "_slice", "_hot", *order_by, F.col(col).alias("_b"))
-    counted = running_sums(s, sized, {"_rn": F.lit(1), "_total": F.octet_length("_b").cast("bigint")})
-    kept = counted.filter((F.col("_total") <= cap) | (F.col("_rn") == 1))
+    # Only lengths are sorted; the payload of the kept rows alone is shuffled.
+    narrow = df.select(*keys, *[c for c in order_by if c not in keys], F.octet_length(col).cast("bigint").alias("_size"))
+    s = slice_hot_keys(narrow, keys, order_by, policy)
+    counted = running_sums(s, s.df, {"_rn": F.lit(1), "_total": F.col("_size")})
+    at = list(dict.fromkeys([*keys, *order_by]))
+    kept = counted.filter((F.col("_total") <= cap) | (F.col("_rn") == 1)).select("_rn", *[F.col(c).alias(f"_at_{c}") for c in at])
+    same = F.lit(True)
+    for c in at:
+        same = same & F.col(c).eqNullSafe(F.col(f"_at_{c}"))
+    rows = df.select(*at, F.col(col).alias("_b")).join(kept, same)
     joined = F.expr("listagg(_b) WITHIN GROUP (ORDER BY _rn)").alias(col)
-    return kept.groupBy(*s.keys).agg(joined, F.sum(F.octet_length("_b")).alias("n_bytes")).select(*keys, col, "n_bytes")
+    grouped = rows.groupBy(*keys) if keys else rows.groupBy()
+    return grouped.agg(joined, F.sum(F.octet_length("_b")).alias("n_bytes")).select(*keys, col, "n_bytes")
 
 
 def switch_source(

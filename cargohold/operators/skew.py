@@ -3,7 +3,7 @@
 A window over a key puts all rows of the key into one task. `slice_hot_keys` finds the few keys that
 are too large for that and gives their rows a slice number that rises with the order columns, so a
 window over (key, slice) stays bounded. What has to cross a slice border (a running total, the row
-before) is carried by one summary row a slice, a table with at most a few rows per shuffle partition.
+before) is carried by one summary row a slice, a table with about a row for every `max_rows` rows.
 
 Cut points are computed once and become literals of the plan, so every branch of a query sees the
 same slices. They only decide balance; any cut points give the same result.
@@ -13,27 +13,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cargohold.session import plan_bytes, shuffle_partitions
-
 SAMPLES_PER_SLICE = 100
 
 
 @dataclass(frozen=True)
 class SkewPolicy:
-    """`small_input`: plans below this estimate need no check. `max_rows` and `max_bytes`: largest group
-    kept whole, the bytes by the average row of the plan."""
+    """`max_rows`: the largest group kept whole, and about the size of a slice of a larger one."""
 
-    small_input: int = 256 * 1024 * 1024
     max_rows: int = 2_000_000
-    max_bytes: int = 1024 * 1024 * 1024
-
-    def rows(self, total_bytes: int, total_rows: int) -> int:
-        average = max(1, total_bytes // max(1, total_rows))
-        return max(1, min(self.max_rows, self.max_bytes // average))
 
 
 DEFAULT_POLICY = SkewPolicy()
@@ -60,7 +51,7 @@ class Sliced:
         return self.df.filter("_hot").groupBy(*self.keys, "_slice").agg(*aggregates)
 
     def attach(self, df: DataFrame, summary: DataFrame) -> DataFrame:
-        """Left join with a summary. Broadcast: it has at most 3 rows per shuffle partition, see `_hot_keys`."""
+        """Left join with a summary of about one row for every `max_rows` rows; Spark broadcasts it only if it is small."""
         renamed = summary.select(
             *[F.col(k).alias(f"_k{i}") for i, k in enumerate(self.keys)],
             F.col("_slice").alias("_s"),
@@ -69,34 +60,24 @@ class Sliced:
         same = F.col("_slice") == F.col("_s")
         for i, k in enumerate(self.keys):
             same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-        joined = df.join(F.broadcast(renamed), same, "left")
+        joined = df.join(renamed, same, "left")
         return joined.drop("_s", *[f"_k{i}" for i in range(len(self.keys))])
 
 
-def _hot_keys(df: DataFrame, keys: list[str], policy: SkewPolicy, partitions: int) -> tuple[list, int]:
-    """Largest groups over the limit, at most one per shuffle partition, and the limit in rows.
+def _hot_keys(df: DataFrame, keys: list[str], policy: SkewPolicy) -> list:
+    """All groups over the limit: at most rows / max_rows of them."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.filter(F.col("_n") > policy.max_rows).collect()
 
-    The list is complete for balance: a group that is left out is no larger than total / partitions.
-    """
-    total = Observation()
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).observe(total, F.sum("_n").alias("rows"))
-    largest = counts.orderBy(F.desc("_n")).limit(partitions).collect()
-    if not largest:
-        return [], policy.max_rows
-    limit = policy.rows(plan_bytes(df), total.get["rows"])
-    return [row for row in largest if row["_n"] > limit], limit
 
-
-def _cut_points(df: DataFrame, keys: list[str], order_by: list[str], hot: list, max_rows: int, partitions: int):
-    """Sampled, evenly spaced order positions for every hot key: at most 3 per shuffle partition in all."""
+def _cut_points(df: DataFrame, keys: list[str], order_by: list[str], hot: list, max_rows: int):
+    """Sampled, evenly spaced order positions for every hot key: about rows / max_rows in all."""
     spark = df.sparkSession
-    total = sum(row["_n"] for row in hot)
-    per_slice = max(max_rows, total // (2 * partitions))
     fields = [df.schema[k] for k in keys]
     fields += [T.StructField("_pieces", T.LongType()), T.StructField("_fraction", T.DoubleType())]
     rows = []
     for row in hot:
-        pieces = max(2, -(-row["_n"] // per_slice))
+        pieces = max(2, -(-row["_n"] // max_rows))
         rows.append((*[row[k] for k in keys], pieces, min(1.0, SAMPLES_PER_SLICE * pieces / row["_n"])))
     wanted = spark.createDataFrame(rows, T.StructType(fields))
     narrow = df.select(*keys, F.struct(*order_by).alias("_at"))
@@ -141,18 +122,15 @@ def slice_hot_keys(
 ) -> Sliced:
     """Add `_slice` and `_hot`. Without keys the whole input is one ordered group.
 
-    Looks at the data only when the plan may be large; then it counts rows per key on the key columns.
+    Counts rows per key first, on the key columns; groups over `policy.max_rows` are cut, whatever the input's size.
     """
     if not keys:
         df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
     whole = df.withColumn("_slice", F.lit(0)).withColumn("_hot", F.lit(False))
-    if plan_bytes(df) <= policy.small_input:
-        return Sliced(whole, keys, order_by, False)
-    partitions = shuffle_partitions(df.sparkSession)
-    hot, limit = _hot_keys(df, keys, policy, partitions)
+    hot = _hot_keys(df, keys, policy)
     if not hot:
         return Sliced(whole, keys, order_by, False)
-    cuts = _cut_points(df, keys, order_by, hot, limit, partitions)
+    cuts = _cut_points(df, keys, order_by, hot, policy.max_rows)
     longest = cuts.agg(F.max(F.size("_cuts"))).first()[0] or 1
     renamed = cuts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_cuts")
     condition = F.lit(True)
