@@ -26,7 +26,7 @@ from cargohold.operators import sequence as Q
 from cargohold.operators.skew import SkewPolicy
 from cargohold.plans.assets import ingest_images, report
 from cargohold.plans.metadata import image_list_from_archive
-from cargohold.schemas import IMAGE_LIST_COLUMNS, SUBSETS
+from cargohold.schemas import FAILURE_COLUMNS, FAILURE_DETAILS, IMAGE_LIST_COLUMNS, SUBSETS
 from cargohold.session import scratch_dir
 from cargohold.sinks.files import cached_stage, extract_tar, spool, write_files
 from cargohold.sinks.results import failure_rows, result_line, success_rows, write_results
@@ -115,10 +115,9 @@ def failure_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixed text form of both result tables."""
-    rows = _classified(spark, sf_dir)
-    good, bad = success_rows(rows), failure_rows(rows)
-    lines = [part.select("ImageID", result_line(part.columns).alias("line")) for part in (good, bad)]
-    return lines[0].unionByName(lines[1])
+    rows = _classified(spark, sf_dir).withColumn(FAILURE_DETAILS, F.coalesce("failure_details", F.lit("")))
+    good, bad = result_line(IMAGE_LIST_COLUMNS), result_line(FAILURE_COLUMNS)
+    return rows.select("ImageID", F.when(F.col("failure_code").isNull(), good).otherwise(bad).alias("line"))
 
 
 @query
@@ -211,8 +210,9 @@ def digest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def digest_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Few keys with many chunks each."""
-    return digests.digest_chunks(table(spark, sf_dir, "documents"), ["source"], ["doc_id"], "text", "SHA-256")
+    """Documents as chunks of 512 bytes, digested by source and document."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.col("text").cast("binary").alias("bytes"))
+    return digests.digest_chunks(Q.chunk_binary(docs, "bytes", 512), ["source", "doc_id"], ["chunk_id"], "bytes", "SHA-256")
 
 
 # --- audit of a store ---------------------------------------------------------------------------
@@ -380,7 +380,7 @@ def ordered_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- the same operators with their largest groups cut into slices --------------------------------
 
 # No input counts as small and few rows fit a group, so the slices are used at any scale.
-SLICED = SkewPolicy(small_input=0, max_rows=200)
+SLICED = SkewPolicy(max_rows=200)
 
 
 @query
@@ -417,8 +417,9 @@ def sliced_capped_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sliced_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return digests.digest_chunks(docs, ["lang"], ["doc_id"], "text", policy=SLICED)
+    """Documents as chunks of 16 bytes; those with many chunks are sorted in slices."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("bytes"))
+    return digests.digest_chunks(Q.chunk_binary(docs, "bytes", 16), ["doc_id"], ["chunk_id"], "bytes", policy=SkewPolicy(max_rows=1000))
 
 
 @query
@@ -494,7 +495,7 @@ def csv_split_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same lists, with the lines of every larger file cut into slices."""
     folder = scratch_dir(spark, "csv")
     write_results(_document_rows(spark, sf_dir).withColumn("failure_code", F.lit(None)), folder, SUBSETS)
-    rows = read_image_list(spark, f"{folder}/outcome=success", policy=SkewPolicy(small_input=0, max_rows=50))
+    rows = read_image_list(spark, f"{folder}/outcome=success", policy=SkewPolicy(max_rows=50))
     return rows.select("ImageID", "Subset", "Author", "Title")
 
 
@@ -677,7 +678,7 @@ def stream_unique_consecutive(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     first, last = events.agg(F.min("ts"), F.max("ts")).first()
     cuts = [first + (last - first) * i / 3 for i in (1, 2)]
-    slices = [F.col("ts") < cuts[0], F.col("ts").between(*cuts), F.col("ts") > cuts[1]]
+    slices = [F.col("ts") < cuts[0], F.col("ts").between(*cuts), ~F.coalesce(F.col("ts") <= cuts[1], F.lit(False))]
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, ROCKSDB)

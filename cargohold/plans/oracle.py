@@ -225,8 +225,8 @@ def oracle_sql() -> dict[str, str]:
             lower(hex(unhex(md5(text)))) AS again FROM documents""",
         "digest_chunks": """SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS digest,
             CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes FROM conversations GROUP BY conv_id""",
-        "digest_sources": """SELECT source, sha256(string_agg(text, '' ORDER BY doc_id)) AS digest,
-            CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes FROM documents GROUP BY source""",
+        "digest_sources": """SELECT source, doc_id, sha256(text) AS digest,
+            CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes FROM documents WHERE text <> ''""",
         "plan_fetch": f"""
             WITH w AS (SELECT *, lang || '/' || doc_id AS dest_path, octet_length(encode(text)) AS length,
                 doc_id IN (SELECT doc_id FROM labels) AS held FROM documents),
@@ -318,8 +318,8 @@ def oracle_sql() -> dict[str, str]:
                 row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents)
             SELECT lang, md5(string_agg(text, '' ORDER BY doc_id)) AS digest, CAST(sum(n) AS BIGINT) AS n_bytes
             FROM sized WHERE total <= 1048576 OR rn = 1 GROUP BY lang""",
-        "sliced_digest": """SELECT lang, md5(string_agg(text, '' ORDER BY doc_id)) AS digest,
-            CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes FROM documents GROUP BY lang""",
+        "sliced_digest": """SELECT doc_id, md5(text) AS digest,
+            CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes FROM documents WHERE text <> ''""",
         "sliced_global_order": """
             SELECT event_id, ts, event_type FROM (
               SELECT *, lag(event_type) OVER (ORDER BY ts, event_id) AS before FROM events)
