@@ -57,7 +57,7 @@ def test_tar_chunks_and_entries(spark, folder, fmt):
             assert [(bytes(r.bytes), r.first, r.last) for r in folders] == [(b"", True, True)]
     whole = {(r.archive[-5:], r.entry_name): r for r in TAR.tar_entries(index, 1024).collect()}
     assert bytes(whole["a.tar", "data/f4.bin"].bytes) == content(4, 513)
-    assert whole["b.tar", "data/f6.bin"].bytes is None
+    assert (whole["b.tar", "data/f6.bin"].bytes, whole["b.tar", "data/f6.bin"].error) == (None, "EntryTooLarge")
     chunks = TAR.tar_chunks(index)
     assert entry_size_errors(chunks, ["archive", "entry_name"], "entry_size", "bytes").count() == 0
 
@@ -125,7 +125,7 @@ def test_write_scan_copy(spark, folder):
     rows = [(i, f"{folder}/p/{i % 2}/f{i}", bytearray(content(i, 100 * i))) for i in range(5)]
     df = spark.createDataFrame(rows, "k int, path string, b binary")
     assert {r.k: r.bytes_written for r in write_files(df, "path", "b", ["k"]).collect()} == {i: 100 * i for i in range(5)}
-    assert {r.path: r.length for r in listing(spark, f"{folder}/p").collect()} == {r[1]: len(r[2]) for r in rows if r[2]}
+    assert {r.path: r.length for r in listing(spark, f"{folder}/p").collect()} == {r[1]: len(r[2]) for r in rows}
     got = scan_files(spark, f"{folder}/p").select("content").collect()
     assert sorted(bytes(r.content) for r in got) == sorted(bytes(r[2]) for r in rows if r[2])
     copied = copy_files(df.withColumn("to", F.concat("path", F.lit(".copy"))).select("path", "to"), "path", "to")
@@ -151,3 +151,66 @@ def test_cached_stage_and_spool(spark, folder):
     assert cached_stage(spark, f"{folder}/other", build, keep="temporary").count() == 100
     assert not os.path.exists(f"{folder}/other")
     assert spool(spark.range(7)).count() == 7
+
+
+def header(name, size=b"00000000000", kind=b"0"):
+    block = bytearray(512)
+    block[: len(name)] = name
+    block[100:108], block[124 : 124 + len(size)], block[156:157], block[257:265] = b"0000644\0", size, kind, b"ustar\x0000"
+    block[148:156] = b" " * 8
+    block[148:156] = b"%06o\0 " % sum(block)
+    return bytes(block)
+
+
+def extension(record):
+    return header(b"pax", b"%011o" % len(record), b"x") + record.ljust(512, b"\0")
+
+
+@pytest.mark.parametrize(
+    "bad",
+    [
+        extension(b"0 a=b\n") + header(b"f"),
+        extension(b"13 size=zzzz\n") + header(b"f"),
+        header(b"f", b"\xff" * 12),
+        header(b"pax", b"77777777777", b"x"),
+        extension(b"99 path=x\n") + header(b"f"),
+    ],
+    ids=["zero record", "no number", "negative size", "huge extension", "long record"],
+)
+def test_damaged_headers_end_in_an_error_row(spark, folder, bad):
+    good = header(b"one.txt", b"%011o" % 3) + b"abc".ljust(512, b"\0")
+    with open(f"{folder}/a.tar", "wb") as f:
+        f.write(good + bad + bytes(1024))
+    open(f"{folder}/empty.tar", "wb").close()
+    index = TAR.tar_index(spark, folder, "PERMISSIVE")
+    rows = {(os.path.basename(r.archive), r.error) for r in index.collect()}
+    assert rows == {("a.tar", None), ("a.tar", "InvalidHeader"), ("empty.tar", "NoEOF")}
+    chunks = TAR.read_tar(spark, folder, mode="PERMISSIVE").collect()
+    assert sorted(str(r.error) for r in chunks) == ["InvalidHeader", "NoEOF", "None"]
+    assert sorted(str(r.error) for r in TAR.tar_entries(index).collect()) == ["InvalidHeader", "NoEOF", "None"]
+    with pytest.raises(Exception, match="bad tar archive"):
+        TAR.read_tar(spark, folder).collect()
+
+
+def test_last_entry_of_a_name_and_links(spark, folder):
+    os.makedirs(f"{folder}/in")
+    with tarfile.open(f"{folder}/in/a.tar", "w") as archive:
+        for i in range(30):
+            info = tarfile.TarInfo("same.bin")
+            info.size = 5
+            archive.addfile(info, io.BytesIO(b"%05d" % i))
+        link = tarfile.TarInfo("link")
+        link.type, link.linkname = tarfile.SYMTYPE, "same.bin"
+        archive.addfile(link)
+    rows = extract_tar(TAR.tar_index(spark, f"{folder}/in"), f"{folder}/out").collect()
+    assert open(f"{folder}/out/same.bin", "rb").read() == b"00029"
+    assert sorted((r.entry_name, r.error is None) for r in rows) == [("link", False), ("same.bin", True)]
+
+
+def test_listing_has_empty_files(spark, folder):
+    os.makedirs(f"{folder}/in/deep")
+    for name, size in (("a", 0), ("deep/b", 3), ("_hidden", 1)):
+        with open(f"{folder}/in/{name}", "wb") as f:
+            f.write(b"x" * size)
+    assert sorted(map(tuple, listing(spark, f"{folder}/in").collect())) == [(f"{folder}/in/a", 0), (f"{folder}/in/deep/b", 3)]
+    assert listing(spark, f"{folder}/i*/deep").count() == 1

@@ -83,7 +83,7 @@ def test_digest_known_answers(spark):
         D.digest(F.lit("x"), "CRC")
 
 
-@pytest.mark.parametrize("policy", [SkewPolicy(), SkewPolicy(small_input=0, max_rows=20)], ids=["whole", "sliced"])
+@pytest.mark.parametrize("policy", [SkewPolicy(), SkewPolicy(max_rows=20)], ids=["whole", "sliced"])
 @pytest.mark.parametrize("algorithm", ["MD5", "SHA-256"])
 def test_digest_chunks(spark, policy, algorithm):
     rows = [(1 if i % 3 else i % 7, f"k{i % 2}", i, bytearray(b"%d," % i)) for i in range(400)]

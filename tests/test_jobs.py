@@ -19,6 +19,7 @@ from cargohold.plans.run import run
 from cargohold.operators.audit import plan_fetch
 from cargohold.operators.skew import SkewPolicy
 from cargohold.schemas import FAILURE_COLUMNS, IMAGE_LIST_COLUMNS, SUBSETS
+from cargohold.plans import assets
 from cargohold.session import scratch_dir
 from cargohold.sinks.results import write_results
 from cargohold.sources.fetch import FileFetcher
@@ -267,7 +268,7 @@ def test_results_tables(spark, folder):
         read_image_list(spark, f"{folder}/odd.csv")
 
 
-@pytest.mark.parametrize("policy", [SkewPolicy(), SkewPolicy(small_input=0, max_rows=10)], ids=["whole", "sliced"])
+@pytest.mark.parametrize("policy", [SkewPolicy(), SkewPolicy(max_rows=10)], ids=["whole", "sliced"])
 def test_list_reader(spark, folder, policy):
     """Many small splits, so records and quoted fields cross their borders."""
     rows = [list_row(i, b"x", subset="train") for i in range(200)]
@@ -291,22 +292,120 @@ def test_list_reader(spark, folder, policy):
         spark.conf.set(key, before)
 
 
-def test_waves_resume(spark, folder):
+class Stop(Exception):
+    pass
+
+
+def test_quotes_inside_fields_lose_no_row(spark, folder):
+    lines = [f'{i},x,5" tv {i},"a ""b"", c","two\nlines ""{i}""",,"q"z,,7,m,t' for i in range(10)]
+    with open(f"{folder}/list.csv", "w") as f:
+        f.write(",".join(IMAGE_LIST_COLUMNS) + "\n" + "\n".join(lines) + "\n")
+    rows = read_image_list(spark, f"{folder}/list.csv").collect()
+    assert sorted(int(r[0]) for r in rows) == list(range(10))
+    assert {r[2] for r in rows} == {f'5" tv {i}' for i in range(10)}
+    assert {r[4] for r in rows} == {f'two\nlines "{i}"' for i in range(10)}
+    with open(f"{folder}/open.csv", "w") as f:
+        f.write(",".join(IMAGE_LIST_COLUMNS) + '\n1,"never closed,2\n3,4\n')
+    with pytest.raises(ValueError, match="ends inside a quoted field"):
+        read_image_list(spark, f"{folder}/open.csv").collect()
+
+
+def broken_after(monkeypatch, parts):
+    """Let the job store that many parts of its results and then fail."""
+    real, seen = assets.spool, []
+
+    def spool(df, path=None):
+        if path and "/rows/part=" in path:
+            if len(seen) == parts:
+                raise Stop
+            seen.append(path)
+        return real(df, path)
+
+    monkeypatch.setattr(assets, "spool", spool)
+
+
+@pytest.mark.parametrize("first,kept,then", [(4, 2, 2), (4, 1, 1), (5, 2, 8), (3, 0, 5)])
+def test_resume_finishes_the_rest(spark, folder, monkeypatch, first, kept, then):
     rows, codes = mini(folder)
     df = spark.createDataFrame(rows, LIST_SCHEMA)
     fetcher = FileFetcher("https://h.example.com/", f"{folder}/host")
     cfg = JobConfig(root=f"{folder}/root", resize_images=False, **SHORT)
-    first = ingest_images(df, cfg, "top", fetcher, results=f"{folder}/out", waves=3)
-    want = {i: codes.get(i) for i in range(12)}
-    assert {i: r.failure_code for i, r in results_by_id(first).items()} == want
-    assert sorted(os.listdir(f"{folder}/out/rows")) == ["wave=0", "wave=1", "wave=2"]
-    # An unfinished wave is done again, finished ones are not: their host is gone by now.
-    os.unlink(f"{folder}/out/rows/wave=1/_SUCCESS")
-    redone = {r.ImageID for r in spark.read.parquet(f"{folder}/out/rows/wave=1").collect()}
-    again = results_by_id(ingest_images(df, cfg, "top", FileFetcher("none", folder), results=f"{folder}/out", waves=3))
-    for i, r in again.items():
-        kept = str(i) not in redone or i in (6, 7, 8)
-        assert r.failure_code == (want[i] if kept else "RequestFailed")
+    with monkeypatch.context() as patch:
+        broken_after(patch, kept)
+        with pytest.raises(Stop):
+            ingest_images(df, cfg, "top", fetcher, results=f"{folder}/out", waves=first)
+    longer = df.union(spark.createDataFrame([list_row(20, b"new")] * 2, LIST_SCHEMA))
+    got = ingest_images(longer, cfg, "top", fetcher, results=f"{folder}/out", waves=then).collect()
+    assert sorted(int(r.ImageID) for r in got) == [*range(12), 20, 20]
+    assert {int(r.ImageID): r.failure_code for r in got} == {i: codes.get(i) for i in range(12)} | {20: "RequestFailed"}
+    # Finished: nothing is asked for again. Other rows or another configuration are refused.
+    again = ingest_images(longer, cfg, "top", FileFetcher("none", folder), results=f"{folder}/out", waves=3)
+    assert sorted(map(str, again.collect())) == sorted(map(str, got))
+    with pytest.raises(ValueError, match="another configuration"):
+        ingest_images(longer, JobConfig(root=f"{folder}/root", **SHORT), "top", fetcher, results=f"{folder}/out")
+    for other in (df, longer.union(df)):
+        with pytest.raises(ValueError, match="lacks or counts otherwise"):
+            ingest_images(other, cfg, "top", fetcher, results=f"{folder}/out")
+
+
+def test_valid_copies_are_opened_once(spark, folder, monkeypatch):
+    rows, codes = mini(folder)
+    df = spark.createDataFrame(rows, LIST_SCHEMA)
+    cfg = JobConfig(root=f"{folder}/root", save_original_images=True, resize_images=False, **SHORT)
+    fetcher = FileFetcher("https://h.example.com/", f"{folder}/host")
+    first = results_by_id(ingest_images(df, cfg, "top", fetcher))
+    planned = assets.plan_images(df, cfg, "top")
+    monkeypatch.setattr(assets, "read_stored", lambda df, path="dest_path": assets._no_response(df).withColumn("body", F.raise_error("opened").cast("binary")))
+    second = results_by_id(assets.store_and_resize(assets.acquire(planned, cfg, fetcher), cfg))
+    assert {i: (r.failure_code, r.bytes_written) for i, r in second.items()} == {i: (r.failure_code, r.bytes_written) for i, r in first.items()}
+
+
+def test_result_writes_evaluate_their_input_once(spark, folder):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [list_row(i, b"x") for i in range(50)]
+    df = spark.createDataFrame(rows, LIST_SCHEMA).withColumn("failure_code", F.when(F.col("ImageID") > 25, "Redirect"))
+    df = df.withColumn("failure_details", F.col("Author"))
+    write_results(df.mapInArrow(count, df.schema), f"{folder}/csv", SUBSETS)
+    assert seen.value == 50
+
+
+def test_paths_of_workers():
+    from cargohold import storage
+
+    assert storage.resolve("file:/a/b")[1] == storage.resolve("file:///a/b")[1] == storage.resolve("/a/b")[1] == "/a/b"
+    for bad in ("dbfs:/x", "dbfs://x/y", "ftp://h/x"):
+        with pytest.raises(ValueError, match="cannot open"):
+            storage.resolve(bad)
+    opened = []
+    known = {"hdfs:/x/y": "hdfs:///", "hdfs://n:8020/x/y": "hdfs://n:8020/", "s3a://b/x/y": "s3://b/", "s3://b/x/y": "s3://b/"}
+    real = storage._mounted
+    try:
+        storage._mounted = lambda root: opened.append(root) or (None, "")
+        assert {storage.resolve(p)[1] for p in known} == {"/x/y"}
+    finally:
+        storage._mounted = real
+    assert opened == list(known.values())
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(Session, "x")
 
 
 def test_observed(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from cargohold.operators import sequence as Q
 from cargohold.operators.skew import SkewPolicy, slice_hot_keys
 
-FORCED = SkewPolicy(small_input=0, max_rows=3)
+FORCED = SkewPolicy(max_rows=3)
 POLICIES = [SkewPolicy(), FORCED]
 IDS = ["whole", "sliced"]
 
@@ -65,12 +65,12 @@ def by_key(rows):
 
 def test_slices_follow_the_order_and_are_bounded(spark):
     rows, df = skewed(spark)
-    s = slice_hot_keys(df, ["k"], ["t", "i"], SkewPolicy(small_input=0, max_rows=50))
+    s = slice_hot_keys(df, ["k"], ["t", "i"], SkewPolicy(max_rows=50))
     assert s.sliced
     hot = s.df.filter("_hot").select("k", "t", "i", "_slice").collect()
-    # One key per shuffle partition at most, the largest first.
+    # Every key over the limit.
     sizes = sorted(((len(g), k) for k, g in by_key(rows).items() if len(g) > 50), key=lambda p: -p[0])
-    assert {r.k for r in hot} == {k for _, k in sizes[:4]}
+    assert {r.k for r in hot} == {k for _, k in sizes}
     for key in {r.k for r in hot}:
         seq = [r._slice for r in sorted((r for r in hot if r.k == key), key=lambda r: (r.t, r.i))]
         assert seq == sorted(seq) and len(set(seq)) > 1
