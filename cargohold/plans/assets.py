@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,12 +49,34 @@ RESULT_COLUMNS = [
 ]
 
 
-def plan_images(rows: DataFrame, cfg: JobConfig, top_dir: str) -> DataFrame:
-    """Image-list rows with URL, paths, expected size and digest, `need_fetch` and `need_resize`."""
+def target_owners(rows: DataFrame, cfg: JobConfig, top_dir: str, done: DataFrame | None = None) -> DataFrame:
+    """(dest_path, target_owner) of the paths that several URLs of the list lead to: one URL owns the path.
+
+    That is the URL whose bytes `done` says are stored there, else the least one.
+    """
+    params = download_params(rows.select(*IMAGE_LIST_COLUMNS), cfg, top_dir).filter("dest_path IS NOT NULL")
+    shared = params.groupBy("dest_path").agg(F.min("url").alias("least"), F.max("url").alias("most")).filter("least <> most")
+    owner = F.col("least")
+    if done is not None:
+        held = done.filter("failure_code IS NULL").groupBy("dest_path").agg(F.min("url").alias("held"))
+        shared, owner = shared.join(held, "dest_path", "left"), F.coalesce("held", "least")
+    return shared.select("dest_path", owner.alias("target_owner"))
+
+
+def target_taken() -> Column:
+    return F.coalesce(F.col("target_owner") != F.col("url"), F.lit(False))
+
+
+def plan_images(rows: DataFrame, cfg: JobConfig, top_dir: str, owners: DataFrame | None = None) -> DataFrame:
+    """Image-list rows with URL, paths, expected size and digest, `need_fetch` and `need_resize`.
+
+    `owners` are the `target_owners` of the whole list; by default those of `rows`.
+    """
+    owners = target_owners(rows, cfg, top_dir) if owners is None else owners
     extra = [c for c in ("row_key",) if c in rows.columns]
     params = download_params(rows.select(*IMAGE_LIST_COLUMNS, *extra), cfg, top_dir)
     target = resized_path(F.col("dest_path"), cfg.resized_images_subdirectory, cfg.resize_output_format)
-    params = params.withColumn("resized_path", target)
+    params = params.withColumn("resized_path", target).join(owners, "dest_path", "left")
     planned = plan_fetch(params, None, cfg.check_md5_if_exists, cfg.always_download)
     # A valid copy has the expected size.
     planned = planned.withColumn("stored_size", F.when(~F.col("need_fetch"), F.col("expected_size")))
@@ -124,8 +146,9 @@ def acquire(planned: DataFrame, cfg: JobConfig, fetcher: Fetcher) -> DataFrame:
         return _no_response(df).select("*", *[F.lit(None).cast("string").alias(c) for c in ("failure_code", "failure_details")])
 
     def refused(df: DataFrame) -> DataFrame:
-        coded = _no_response(df).withColumn("failure_code", input_failure(small))
-        return coded.withColumn("failure_details", failure_message(small))
+        coded = _no_response(df).withColumn("failure_code", F.coalesce(input_failure(small), F.when(target_taken(), "TargetTaken")))
+        taken = F.when(F.col("failure_code") == "TargetTaken", F.concat(F.lit("stored under this path: "), "target_owner"))
+        return coded.withColumn("failure_details", F.coalesce(taken, failure_message(small)))
 
     def usable(df: DataFrame) -> DataFrame:
         arrived = if_then_else(df, F.col("need_fetch"), fetched, stored)
@@ -135,7 +158,7 @@ def acquire(planned: DataFrame, cfg: JobConfig, fetcher: Fetcher) -> DataFrame:
         # The plan has checked a valid stored copy already: it is opened again only to be resized.
         return if_then_else(df, F.col("need_fetch") | F.col("need_resize"), usable, unread)
 
-    return if_then_else(planned, input_failure(small).isNotNull(), refused, accepted)
+    return if_then_else(planned, input_failure(small).isNotNull() | target_taken(), refused, accepted)
 
 
 def store_and_resize(
@@ -232,20 +255,21 @@ def ingest_images(
         if not odd.isEmpty():
             raise ValueError(f"{target} holds results of rows that this list lacks or counts otherwise")
         pending = keyed.join(done.select("row_key").distinct(), "row_key", "left_anti")
+    owners = spool(target_owners(keyed, cfg, top_dir, done), scratch_dir(spark, "owners"))
     # Lists come in few files: spread the rows, however they repeat, before any per-row file access.
     spread = pending.repartition(shuffle_partitions(spark))
     for wave in range(waves):
         mine = F.pmod(F.xxhash64("row_key"), F.lit(waves)) == wave
         part = spread.filter(mine) if waves > 1 else spread
         # Four branches read the plan: store it once, it is narrow.
-        planned = spool(plan_images(part, cfg, top_dir), scratch_dir(spark, "plan"))
+        planned = spool(plan_images(part, cfg, top_dir, owners), scratch_dir(spark, "plan"))
         if planned.isEmpty():
             continue
         # The wide chain runs once; everything later reads the narrow table it leaves.
         spool(store_and_resize(acquire(planned, cfg, fetcher), cfg, resizer), f"{target}/rows/part={uuid.uuid4().hex}")
     stored = _finished(spark, f"{target}/rows")
     if stored is None:
-        planned = plan_images(keyed, cfg, top_dir)
+        planned = plan_images(keyed, cfg, top_dir, owners)
         stored = spool(store_and_resize(acquire(planned, cfg, fetcher), cfg, resizer), f"{target}/rows/part=none")
     stored = stored.drop("row_key", "part")
     write_results(stored, f"{target}/csv", SUBSETS)

@@ -161,21 +161,36 @@ def cached_stage(
     build: Callable[[], DataFrame],
     valid: Callable[[DataFrame], bool] | None = None,
     keep: str = "save",
+    made_from: str | None = None,
 ) -> DataFrame:
     """Read the stage stored at `path` when it is complete and `valid` accepts it, else build it.
 
+    `made_from` names what the stage depends on (inputs, options): a stage stored for anything else is built again.
+
     `keep`: "save" stores what was built, "temporary" holds it on executor disks, "none" stays lazy.
     """
     if keep not in ("save", "temporary", "none"):
         raise ValueError("keep must be save, temporary or none")
-    if file_size(f"{path.rstrip('/')}/_SUCCESS") is not None:
+    record = f"{path.rstrip('/')}.made-from"
+    if file_size(f"{path.rstrip('/')}/_SUCCESS") is not None and (made_from is None or _text(record) == made_from):
         stored = spark.read.parquet(path)
         if valid is None or valid(stored):
             return stored
     built = build()
     if keep == "none":
         return built
-    return spool(built, path if keep == "save" else None)
+    stored = spool(built, path if keep == "save" else None)
+    if keep == "save" and made_from is not None:
+        write_atomic(record, [made_from.encode()])
+    return stored
+
+
+def _text(path: str) -> str | None:
+    if file_size(path) is None:
+        return None
+    filesystem, name = resolve(path)
+    with filesystem.open_input_stream(name) as stream:
+        return stream.read().decode()
 
 
 def null_sink(df: DataFrame) -> None:

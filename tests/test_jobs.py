@@ -21,6 +21,7 @@ from cargohold.operators.skew import SkewPolicy
 from cargohold.schemas import FAILURE_COLUMNS, IMAGE_LIST_COLUMNS, SUBSETS
 from cargohold.plans import assets
 from cargohold.session import scratch_dir
+from cargohold.sinks.files import cached_stage
 from cargohold.sinks.results import write_results
 from cargohold.sources.fetch import FileFetcher
 from cargohold.sources.image_list import header_ok, read_image_list
@@ -348,6 +349,30 @@ def test_resume_finishes_the_rest(spark, folder, monkeypatch, first, kept, then)
             ingest_images(other, cfg, "top", fetcher, results=f"{folder}/out")
 
 
+def test_one_path_holds_the_bytes_of_one_url(spark, folder):
+    os.makedirs(f"{folder}/host/b")
+    for name, data in (("same.jpg", b"first"), ("b/same.jpg", b"other")):
+        with open(f"{folder}/host/{name}", "wb") as f:
+            f.write(data)
+    urls = ["https://h.example.com/same.jpg", "https://h.example.com/b/same.jpg", "https://h.example.com/same.jpg"]
+    data = [b"first", b"other", b"first"]
+    rows = [list_row(i, data[i], subset="train", OriginalURL=u) for i, u in enumerate(urls)]
+    cfg = JobConfig(root=f"{folder}/root", save_original_images=True, resize_images=False, **SHORT)
+    fetcher = FileFetcher("https://h.example.com/", f"{folder}/host")
+    part = spark.createDataFrame(rows[:1], LIST_SCHEMA)
+    ingest_images(part, cfg, "top", fetcher, results=f"{folder}/out")
+    out = results_by_id(ingest_images(spark.createDataFrame(rows, LIST_SCHEMA), cfg, "top", fetcher, results=f"{folder}/out"))
+    assert [out[i].failure_code for i in range(3)] == [None, "TargetTaken", None]
+    assert open(out[0].dest_path, "rb").read() == b"first"
+
+
+def test_stage_of_other_inputs_is_built_again(spark, folder):
+    for made_from, value in (("a", 1), ("a", 1), ("b", 3)):
+        built = cached_stage(spark, f"{folder}/stage", lambda v=value: spark.range(v), made_from=made_from)
+        assert built.count() == value
+    assert cached_stage(spark, f"{folder}/stage", lambda: spark.range(9), made_from="b").count() == 3
+
+
 def test_valid_copies_are_opened_once(spark, folder, monkeypatch):
     rows, codes = mini(folder)
     df = spark.createDataFrame(rows, LIST_SCHEMA)
