@@ -613,6 +613,61 @@ def ingest_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.select("ImageID", "Subset", "need_fetch", "reason", "bytes_written", "failure_code", "failure_details")
 
 
+@query
+def ingest_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The image job over a third of its list, continued over the whole list in another number of waves."""
+    rows, fetcher = _hosted(spark, sf_dir)
+    root = scratch_dir(spark, "assets")
+    cfg = JobConfig(root=root, save_original_images=True, resize_images=False, max_total_connections=8)
+    part = rows.filter(F.col("ImageID").cast("bigint") % 3 == 0)
+    ingest_images(part, cfg, TOP_DIR, fetcher, results=f"{root}/out", waves=3)
+    done = ingest_images(rows, cfg, TOP_DIR, fetcher, results=f"{root}/out", waves=2)
+    return done.select("ImageID", "Subset", "need_fetch", "reason", "bytes_written", "failure_code", "failure_details")
+
+
+def _length_as_text(image: bytes) -> bytes:
+    return str(len(image)).encode()
+
+
+@query
+def ingest_resized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The image job with a plugged resizer: what it returns is stored beside the originals."""
+    rows, fetcher = _hosted(spark, sf_dir)
+    root = scratch_dir(spark, "assets")
+    cfg = JobConfig(root=root, save_original_images=True, resize_output_format="txt", max_total_connections=8)
+    out = ingest_images(rows, cfg, TOP_DIR, fetcher, _length_as_text, results=f"{root}/out")
+    return audit.digest_paths(out, "resized_path", F.lit(True), out="resized_md5").select("ImageID", "failure_code", "resized_md5")
+
+
+@query
+def refused_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that fail before or after their request: bad sizes, bad checksums, bodies over their size."""
+    case = F.col("ImageID").cast("bigint") % 4
+    rows = image_responses(spark, sf_dir).withColumns(
+        {
+            "OriginalURL": F.concat(F.lit(ASSET_HOST), F.substring("ImageID", 11, 6), F.lit(".jpg")),
+            "body": F.when(case == 3, F.concat("body", F.lit(b"x"))).otherwise(F.col("body")),
+            "content_length": F.col("OriginalSize").cast("bigint"),
+            "content_type": F.lit("image/jpeg"),
+            "status": F.lit(200),
+            "transport_error": F.lit(None).cast("string"),
+        }
+    )
+    rows = rows.withColumn("OriginalSize", F.when(case == 1, "many").otherwise(F.col("OriginalSize")))
+    rows = rows.withColumn("OriginalMD5", F.when(case == 2, "?").otherwise(F.base64(F.unhex(F.md5("body")))))
+    out = classify.verify_digest(classify.classify_response(P.download_params(rows, CONFIG, TOP_DIR)), F.md5("body"))
+    return out.select("ImageID", "failure_code", "failure_details")
+
+
+@query
+def gunzip_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth compressed value ends early."""
+    packed = gzip_column(document_files(spark, sf_dir).select("doc_id", "bytes"), "bytes")
+    short = F.expr("substring(bytes, 1, octet_length(bytes) - 5)")
+    cut = packed.withColumn("bytes", F.when(F.col("doc_id") % 4 == 0, short).otherwise(F.col("bytes")))
+    return gunzip(cut, "bytes").select("doc_id", F.md5("bytes").alias("digest"), F.col("error").isNotNull().alias("failed"))
+
+
 # --- commands and images ------------------------------------------------------------------------
 
 

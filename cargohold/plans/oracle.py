@@ -362,6 +362,32 @@ def oracle_sql() -> dict[str, str]:
                 WHEN 'InvalidSize' THEN url || ': server size (' || n || ') doesn''t match expected size (' || n || '0)!'
                 WHEN 'MD5SumMismatch' THEN 'md5 sum mismatch' END AS failure_details
             FROM j""",
+        "ingest_resumed": f"""
+            WITH {RESPONSES},
+            j AS (SELECT *, 'https://assets.example.com/' || lpad(CAST(page_id AS VARCHAR), 6, '0') || '.jpg' AS url,
+                CASE WHEN page_id % 7 = 3 THEN 'RequestFailed' WHEN page_id % 11 = 0 THEN 'InvalidSize'
+                  WHEN page_id % 17 = 0 THEN 'MD5SumMismatch' END AS failure_code FROM resp)
+            SELECT "ImageID", "Subset", true AS need_fetch,
+              'missing' AS reason,
+              CASE WHEN failure_code IS NULL THEN n ELSE 0 END AS bytes_written, failure_code,
+              CASE failure_code WHEN 'RequestFailed' THEN 'http request to ' || url || ' failed: '
+                WHEN 'InvalidSize' THEN url || ': server size (' || n || ') doesn''t match expected size (' || n || '0)!'
+                WHEN 'MD5SumMismatch' THEN 'md5 sum mismatch' END AS failure_details
+            FROM j""",
+        "ingest_resized": f"""
+            WITH {RESPONSES},
+            j AS (SELECT *, CASE WHEN page_id % 7 = 3 THEN 'RequestFailed' WHEN page_id % 11 = 0 THEN 'InvalidSize'
+                  WHEN page_id % 17 = 0 THEN 'MD5SumMismatch' END AS failure_code FROM resp)
+            SELECT "ImageID", failure_code, CASE WHEN failure_code IS NULL THEN md5(CAST(n AS VARCHAR)) END AS resized_md5 FROM j""",
+        "refused_inputs": f"""
+            WITH {RESPONSES}
+            SELECT "ImageID",
+              CASE page_id % 4 WHEN 1 THEN 'BadSize' WHEN 2 THEN 'BadChecksumField' WHEN 3 THEN 'ImageUnknown' END AS failure_code,
+              CASE page_id % 4 WHEN 1 THEN 'size is not a number: many' WHEN 2 THEN 'checksum is not Base64: ?'
+                WHEN 3 THEN 'body of ' || (n + 1) || ' bytes is over the limit of ' || n END AS failure_details
+            FROM resp""",
+        "gunzip_damaged": """SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN md5(text) END AS digest,
+            doc_id % 4 = 0 AS failed FROM documents""",
         "pipe_upper": """SELECT doc_id, md5(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')) AS digest,
             0 AS exit_code, CAST(NULL AS VARCHAR) AS stderr FROM documents""",
         "resize_plan_shrink": _resize_plan("ShrinkToFit"),
