@@ -62,10 +62,14 @@ class Encoder:
         self.first, self.count = np.zeros(REMEMBERED + 1, np.int64), np.zeros(REMEMBERED + 1, np.int32)
         self.ids, self.filled, self.entries = np.zeros(1 << 20, np.int32), 0, 0
 
-    def _find(self, low: np.ndarray, high: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Entry of each short pre-token, -1 if it is new, and the slot where its search ended."""
+    @staticmethod
+    def _slot(low: np.ndarray, high: np.ndarray, length: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            at = (mix(low ^ (mix(high) + length.astype(np.uint64))) & np.uint64(_SLOTS - 1)).astype(np.int64)
+            return (mix(low ^ (mix(high) + length.astype(np.uint64))) & np.uint64(_SLOTS - 1)).astype(np.int64)
+
+    def _find(self, low: np.ndarray, high: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Entry of each short pre-token, -1 if it is new."""
+        at = self._slot(low, high, length)
         found, left = np.full(len(low), -1, np.int64), np.arange(len(low))
         while len(left):
             slot = at[left]
@@ -74,7 +78,20 @@ class Encoder:
             found[left[same]] = self.entry[slot[same]]
             left = left[taken & ~same]
             at[left] = (at[left] + 1) & (_SLOTS - 1)
-        return found, at
+        return found
+
+    def _place(self, low: np.ndarray, high: np.ndarray, length: np.ndarray, entry: np.ndarray) -> None:
+        """Put new, distinct pre-tokens into free slots; where several want one, the last gets it and the others move on."""
+        at, left = self._slot(low, high, length), np.arange(len(low))
+        while len(left):
+            slot = at[left]
+            free = self.length[slot] == 0
+            self.entry[slot[free]] = entry[left[free]]
+            won = free & (self.entry[slot] == entry[left])
+            mine, where = left[won], slot[won]
+            self.low[where], self.high[where], self.length[where] = low[mine], high[mine], length[mine]
+            left = left[~won]
+            at[left] = (at[left] + 1) & (_SLOTS - 1)
 
     def _learn(self, tokens: list[bytes]) -> None:
         encoded = self.library.encode_batch_fast([t.decode() for t in tokens], add_special_tokens=False)
@@ -87,13 +104,11 @@ class Encoder:
         entry = self.entries + np.arange(len(tokens))
         self.first[entry], self.count[entry] = self.filled + np.cumsum(sizes) - sizes, sizes
         self.filled, self.entries = self.filled + len(flat), self.entries + len(tokens)
-        for token, e in zip(tokens, entry.tolist(), strict=True):
-            if len(token) > 16:
-                self.long[token] = e
-                continue
-            low, high = int.from_bytes(token[:8], "little"), int.from_bytes(token[8:], "little")
-            _, at = self._find(np.array([low], np.uint64), np.array([high], np.uint64), np.array([len(token)]))
-            self.low[at[0]], self.high[at[0]], self.length[at[0]], self.entry[at[0]] = low, high, len(token), e
+        short = np.array([len(t) <= 16 for t in tokens], bool)
+        self.long.update((t, e) for t, e, s in zip(tokens, entry.tolist(), short.tolist(), strict=True) if not s)
+        packed = np.frombuffer(b"".join(t.ljust(16, b"\0") for t in tokens if len(t) <= 16), "<u8").reshape(-1, 2)
+        length = np.array([len(t) for t in tokens], np.uint8)[short]
+        self._place(packed[:, 0].astype(np.uint64), packed[:, 1].astype(np.uint64), length, entry[short].astype(np.int32))
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
@@ -120,7 +135,7 @@ class Encoder:
         low = words[begin] & masks[np.minimum(length, 8)]
         high = words[np.minimum(begin + 8, len(data) + 7)] & masks[np.clip(length - 8, 0, 8)]
         entry, short = np.full(len(begin), -1, np.int64), length <= 16
-        entry[short] = self._find(low[short], high[short], length[short])[0]
+        entry[short] = self._find(low[short], high[short], length[short])
         for i in np.flatnonzero(~short):
             entry[i] = self.long.get(data[begin[i] : begin[i] + length[i]], -1)
         new = np.flatnonzero(entry < 0)
