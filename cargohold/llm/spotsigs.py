@@ -22,16 +22,28 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def spots(text: Column, chain: int = CHAIN) -> Column:
-    """Sorted distinct signatures: an anchor and the `chain` content words behind it, anchors in between left out, hashed.
+def with_spots(df: DataFrame, chain: int = CHAIN, **texts: str) -> DataFrame:
+    """Add, for each `name=column`, the sorted distinct signatures of a text column.
 
-    A text without a full chain has one signature, the hash of all its words; so equal texts have equal signatures.
+    A signature is an anchor and the `chain` content words behind it, anchors in between left out, hashed. A text
+    without a full chain has one signature, the hash of all its words; so equal texts have equal signatures.
+    Words and chains are columns of steps of their own: what an expression uses twice is evaluated once.
     """
-    w = _words(text)
+    kept = df.columns
+    split = df.select(*kept, *[_words(F.col(c)).alias(f"_w_{n}") for n, c in texts.items()])
+    chained = split.select(*split.columns, *[_chains(F.col(f"_w_{n}"), chain).alias(f"_c_{n}") for n in texts])
+
+    def whole(n: str) -> Column:
+        return F.array(_short_hash(F.array_join(F.col(f"_w_{n}"), " ")))
+
+    return chained.select(*kept, *[F.when(F.size(f"_c_{n}") > 0, F.col(f"_c_{n}")).otherwise(whole(n)).alias(n) for n in texts])
+
+
+def _chains(w: Column, chain: int) -> Column:
     anchor = lambda x: x.isin(*ANCHORS)
     content = F.filter(w, lambda x: ~anchor(x))
     at = F.filter(F.transform(w, lambda x, i: F.when(anchor(x), i).otherwise(F.lit(-1))), lambda i: i >= 0)
-    # Before the j-th anchor at word i stand i - j content words.
+    # Before the j-th anchor at word i stand i - j content words. The one-element array binds the three lists once.
     row = F.struct(w.alias("w"), content.alias("c"), at.alias("at"))
     one = F.transform(
         F.array(row),
@@ -40,9 +52,8 @@ def spots(text: Column, chain: int = CHAIN) -> Column:
             lambda s: F.size(s["c"]) == chain,
         ),
     )
-    chains = F.transform(F.element_at(one, 1), lambda s: _short_hash(F.concat(s["a"], F.lit(" "), F.array_join(s["c"], " "))))
-    full = F.array_sort(F.array_distinct(chains))
-    return F.when(F.size(full) > 0, full).otherwise(F.array(_short_hash(F.array_join(w, " "))))
+    hashed = F.transform(F.element_at(one, 1), lambda s: _short_hash(F.concat(s["a"], F.lit(" "), F.array_join(s["c"], " "))))
+    return F.array_sort(F.array_distinct(hashed))
 
 
 def _short_hash(x: Column) -> Column:
@@ -103,18 +114,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))
-    rows = rows.select(
-        "doc_id",
-        n.cast("long").alias("n_chars"),
-        F.sha2(edited.cast("binary"), 256).alias("edited_sha256"),
-        spots(F.col("text"), chain).alias("own"),
-        spots(edited, chain).alias("other"),
-        spots(F.col("next_text"), chain).alias("next"),
-    )
+    rows = with_spots(rows.select("*", edited.alias("edited")), chain, own="text", other="edited", next="next_text")
     return rows.select(
         "doc_id",
-        "n_chars",
-        "edited_sha256",
+        n.cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         F.array_join("own", " ").alias("fingerprint"),
         F.array_join("other", " ").alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("other")).alias("near_edited"),

@@ -3,8 +3,6 @@ import itertools
 import random
 import re
 
-from pyspark.sql import functions as F
-
 from cargohold.llm import spotsigs
 
 SCHEMA = "doc_id long, text string, fingerprint int"
@@ -73,7 +71,8 @@ def test_near_pairs_loses_none(spark):
     base = texts(25, 4)
     rng = random.Random(9)
     many = [" ".join(w for w in t.split() if rng.random() > 0.04) for t in base for _ in range(6)]
-    sets = spark.createDataFrame([(i, t) for i, t in enumerate(many)], "doc_id long, text string").select("doc_id", spotsigs.spots(F.col("text")).alias("spots"))
+    sets = spark.createDataFrame([(i, t) for i, t in enumerate(many)], "doc_id long, text string")
+    sets = spotsigs.with_spots(sets, spots="text").select("doc_id", "spots")
     rows = {r.doc_id: tuple(r.spots) for r in sets.collect()}
     first = {}
     for i in sorted(rows):
