@@ -147,7 +147,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percen
     left = reps.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a"))
     right = reps.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b"))
     near = staged(pairs.join(right, "b").join(left, "a").select("a", "b", "sig_a", "sig_b").mapInArrow(_within, "a long, b long"), "near")
-    needed = broadcast_if(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), BROADCAST_IDS)
+    needed = broadcast_if(near.select(F.col("a").alias("doc_id")).distinct().union(near.select("b")).distinct(), BROADCAST_IDS)
     text = docs.join(needed, "doc_id", "left_semi")
     rows = near.join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(
         text.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a"
