@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,9 @@ from cargohold.session import scratch_dir
 WORD = r"[^\x20\x09-\x0D]+"
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text that one vectorised step handles; longer texts are cut at separators.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 512 << 10
+#: Bytes of an Arrow batch on its way to a Python worker, which holds a few times as much.
+BATCH_BYTES = 4 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SEPARATORS)] = True
@@ -25,10 +28,23 @@ _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bound Arrow batches by bytes while a job runs, so that rows with long texts don't fill a worker's memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, and the table survives lost executors."""
     path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -150,7 +166,7 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose text column holds about `limit` bytes, one row at least."""
     sizes = np.array([0 if x is None else x for x in pc.binary_length(batch.column(column)).to_pylist()], np.int64)
     begin, total = 0, 0

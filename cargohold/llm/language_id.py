@@ -181,9 +181,8 @@ def predicted(model: Model, text: Column, spark) -> Column:
     def predict(column: pa.Array) -> pa.Array:
         m = shared.value
         names, scores, doubts = [NONE] * len(column), np.zeros(len(column)), np.zeros(len(column), bool)
-        values = column.to_pylist()
-        for begin in range(0, len(values), 256) if m.languages else ():
-            part = values[begin : begin + 256]
+        for begin in range(0, len(column), 256) if m.languages else ():
+            part = column.slice(begin, 256).to_pylist()
             margins, counts = _margins(part, m.table)
             best, score, doubt = decode(margins, m)
             for i in np.flatnonzero(counts):

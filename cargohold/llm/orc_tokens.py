@@ -13,15 +13,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cargohold.llm.common import mix, slices, staged
+from cargohold.llm.common import mix, slices, small_batches, staged
 
 #: Written after every document.
 END_ID = 2
 #: Writer settings: a Bloom filter and a row index entry for every ROWS_PER_INDEX rows let readers skip parts of a stripe.
 ROWS_PER_INDEX, STRIPE_BYTES = 1000, 16 << 20
 #: Distinct pre-tokens that a worker remembers; beyond, it starts afresh.
-REMEMBERED = 1_200_000
-_SLOTS = 1 << 21
+REMEMBERED = 600_000
+_SLOTS = 1 << 20
 LETTER, NUMBER, BLANK, BREAK, OTHER, UNSURE = range(6)
 
 
@@ -218,9 +218,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     encoded = ordered.mapInArrow(_encode(tokenizer), "part int, pos long, doc_id long, ids array<int>")
-    encoded.write.option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id").option(
-        "orc.row.index.stride", ROWS_PER_INDEX
-    ).option("orc.stripe.size", STRIPE_BYTES).orc(path)
+    writer = encoded.write.option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id")
+    with small_batches(docs.sparkSession):
+        writer.option("orc.row.index.stride", ROWS_PER_INDEX).option("orc.stripe.size", STRIPE_BYTES).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
