@@ -11,7 +11,8 @@ from cargohold.llm.common import broadcast_if, small_enough, staged
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Fingerprints of 64 bits in BLOCKS blocks. Two that differ in at most RADIUS bits differ in at most FLIPS bits of some block.
-BLOCKS, BLOCK_BITS, FLIPS = 4, 16, 2
+#: At SIMILARITY s the angle's cosine is 2s / (1 + s) or more, so a bit differs with a chance of 0.152: 9.7 bits, standard deviation 2.9.
+BLOCKS, BLOCK_BITS, FLIPS = 8, 8, 2
 RADIUS = BLOCKS * (FLIPS + 1) - 1
 #: Rows of the benchmark's side, or of flagged texts, that may be broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -32,19 +33,22 @@ def shingles(w: Column, k: Column | int) -> Column:
     return F.array_distinct(F.transform(_starts(F.size(w), k), lambda i: F.array_join(F.slice(w, i, k), " ")))
 
 
-def simhash(w: Column) -> Column:
-    """64 bits; each word votes with its length on every bit of its hash."""
-    votes = F.transform(w, lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("c")))
+def simhash(parts: Column) -> Column:
+    """64 bits; each shingle votes with the root of its length on every bit of its hash, so that cosines follow weighted Jaccard."""
+    votes = F.transform(parts, lambda x: F.struct(F.xxhash64(x).alias("h"), F.round(F.sqrt(F.length(x)) * 1000).cast("int").alias("c")))
 
-    def bit(b: Column) -> Column:
-        sign = lambda s, x: s + F.when(F.call_function("getbit", x["h"], b) == 1, x["c"]).otherwise(-x["c"])
-        return F.aggregate(votes, F.lit(0), sign) > 0
+    def bits(v: Column) -> Column:
+        def bit(b: Column) -> Column:
+            sign = lambda s, x: s + F.when(F.call_function("getbit", x["h"], b) == 1, x["c"]).otherwise(-x["c"])
+            return F.aggregate(v, F.lit(0), sign) > 0
 
-    return F.aggregate(
-        F.sequence(F.lit(0), F.lit(63)),
-        F.lit(0).cast("long"),
-        lambda acc, b: acc.bitwiseOR(F.when(bit(b), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))),
-    )
+        return F.aggregate(
+            F.sequence(F.lit(0), F.lit(63)),
+            F.lit(0).cast("long"),
+            lambda acc, b: acc.bitwiseOR(F.when(bit(b), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))),
+        )
+
+    return F.get(F.transform(F.array(votes), bits), F.lit(0))  # the votes are made once, not for every bit
 
 
 def _block(fp: Column, j: Column) -> Column:
@@ -58,15 +62,17 @@ def contaminated_windows(
 
     A window has as many words as the item and lies where a shared shingle puts the item (moved inside the text at
     its ends). Windows without a shared shingle can't reach the similarity. Windows and items are matched by
-    SimHash: one of the four blocks of fingerprints within RADIUS bits agrees up to two bits. The candidates' weighted
-    Jaccard similarity is exact: shingles of SHINGLE_WORDS words (all words of a shorter item), weighted by length.
+    SimHash of their shingles: one of the BLOCKS blocks of fingerprints within RADIUS bits agrees up to FLIPS bits. The
+    candidates' weighted Jaccard similarity is exact: shingles of SHINGLE_WORDS words (all words of a shorter item),
+    weighted by length. RADIUS is 4.6 standard deviations beyond the mean distance at SIMILARITY. It is no guarantee: see
+    the README for the measured recall, and for a `similarity` below SIMILARITY it loses more.
 
     Null and empty texts hold nothing; an item without words is ignored; repeated texts are searched once.
     """
     w, n = F.col("w"), F.col("len")
     items = benchmark.select(F.col(item_col).alias("item_id"), words(F.col(item_text_col)).alias("w")).withColumn("len", F.size("w"))
     items = items.filter("len > 0").withColumn("k", F.least(n, F.lit(SHINGLE_WORDS)))
-    items = staged(items.select("item_id", "w", "len", "k", simhash(w).alias("item_fp"), shingles(w, F.col("k")).alias("item_shingles")), "items")
+    items = staged(items.select("item_id", "w", "len", "k", simhash(shingles(w, F.col("k"))).alias("item_fp"), shingles(w, F.col("k")).alias("item_shingles")), "items")
     hashed = lambda a, k: F.transform(_starts(F.size(a), k), lambda i: F.xxhash64(F.slice(a, i, k)))
     marks = staged(items.select("k", "len", F.posexplode(hashed(w, F.col("k"))).alias("q", "mark")).distinct(), "marks")
     marks_are_small = small_enough(marks, BROADCAST_ROWS)
@@ -87,7 +93,7 @@ def contaminated_windows(
     cuts = F.array_distinct(F.transform("spots", lambda s: F.struct(s["len"].alias("len"), inside(s).alias("start"))))
     rows = chosen.join(spots, "text_hash").select("text_hash", "spots", words(F.col("text")).alias("w"))
     rows = rows.select("text_hash", F.explode(F.transform(cuts, lambda c: F.struct(c["len"].alias("len"), c["start"].alias("start"), F.slice(w, c["start"] + 1, c["len"]).alias("w")))).alias("c"))
-    windows = staged(rows.select("text_hash", "c.*").withColumn("fp", simhash(w)), "windows")
+    windows = staged(rows.select("text_hash", "c.*").withColumn("fp", simhash(shingles(w, F.least(F.size(w), F.lit(SHINGLE_WORDS))))), "windows")
     block = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("j")
     left = windows.select("text_hash", "len", "start", "fp", block).withColumn("v", _block(F.col("fp"), F.col("j")))
     right = items.select("item_id", "len", "item_fp", block).withColumn("v", _block(F.col("item_fp"), F.col("j")))

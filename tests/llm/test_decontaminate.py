@@ -83,3 +83,43 @@ def test_radius_is_guaranteed_by_the_blocks():
         flips = rng.sample(range(64), decontaminate.RADIUS)
         per = [sum(f // decontaminate.BLOCK_BITS == j for f in flips) for j in range(decontaminate.BLOCKS)]
         assert min(per) <= decontaminate.FLIPS
+
+
+def placed(docs, items):
+    """The windows where a shared shingle puts an item, as the SQL has them."""
+    out = set()
+    for i, t in docs:
+        w = words(t)
+        at = {}
+        for p in range(len(w) - 4):
+            at.setdefault(" ".join(w[p : p + 5]), []).append(p)
+        for item, s in items:
+            x = words(s)
+            starts = {max(0, min(p - q, len(w) - len(x))) for q in range(len(x) - 4) for p in at.get(" ".join(x[q : q + 5]), ())}
+            b = shingles(x, 5)
+            for a in starts:
+                mine = shingles(w[a : a + len(x)], 5)
+                if sum(map(len, mine & b)) >= 0.8 * sum(map(len, mine | b)):
+                    out.add((i, item))
+    return out
+
+
+def test_near_copies_with_edits_at_the_edges_and_words_of_mixed_length(spark):
+    rng = random.Random(8)
+    say = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(rng.choice((1, 2, 3, 5, 9, 14)))) for _ in range(n)]
+    items = [(j, " ".join(say(rng.randrange(16, 60)))) for j in range(60)]
+    docs = []
+    for j, text in items:
+        for kind in range(4):
+            w = words(text)
+            if kind in (0, 2):
+                w[0] = "unprecedentedly"
+            if kind in (1, 2):
+                w[-1] = "incomprehensible"
+            if kind == 3:
+                w = w[1:]
+            docs.append((4 * j + kind, " ".join(say(12) + w + say(12))))
+    frame = spark.createDataFrame([(*d, 1, "x") for d in docs], SCHEMA)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = placed(docs, items)
+    assert len(want) > 180 and got == want
