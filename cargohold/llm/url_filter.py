@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,10 @@ from cargohold.llm.common import broadcast_if, staged
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the path begins with the rule's.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-DAMPING, ROUNDS, SETTLED = 0.85, 20, 1e-4
+#: A score has settled when a round moves it by at most SETTLED of itself.
+DAMPING, SETTLED = 0.85, 1e-5
+#: After so many rounds, less than SETTLED of the mass is still on its way.
+ROUNDS = math.ceil(math.log(SETTLED) / math.log(DAMPING))
 #: A host is blocked if distrust is more than this share of its trust and distrust together.
 THRESHOLD = 0.5
 BROADCAST_HOSTS = 500_000
@@ -52,7 +56,9 @@ def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(host, trust, distrust): personalised PageRank from the trust seeds along links, and from the distrust seeds against them.
 
     `seeds` has host, good and bad (shares that add up to 1 or 0). What a host without links would pass on goes back
-    to the seeds. Rounds stop when no score moves any more, or after ROUNDS; each is written to the shared folder.
+    to the seeds. Rounds stop when no host's score moves by more than SETTLED of itself, however small its share and
+    however many hosts there are: about ROUNDS, and as many more as the longest chain of links from a seed needs. Each
+    is written to the shared folder.
     """
     edges = staged(edges, "edges")
     outs, ins = edges.groupBy("src").agg(F.sum("n").alias("all")), edges.groupBy("dst").agg(F.sum("n").alias("all"))
@@ -63,7 +69,7 @@ def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     rank = staged(hosts.withColumn("trust", F.col("good")).withColumn("distrust", F.col("bad")), "ranks")
     if ways.isEmpty():
         return rank.select("host", "trust", "distrust")
-    for _ in range(ROUNDS):
+    while True:
         worth = F.when(F.col("forward"), F.col("trust")).otherwise(F.col("distrust")) * F.col("share")
         sent = ways.join(rank, ways["src"] == rank["host"]).select("dst", "forward", worth.alias("x"))
         got = sent.groupBy("dst").agg(F.sum(F.when(F.col("forward"), F.col("x")).otherwise(0.0)).alias("t"), F.sum(F.when(F.col("forward"), 0.0).otherwise(F.col("x"))).alias("d"))
@@ -75,9 +81,10 @@ def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
             (F.col("trust")).alias("t0"), F.col("distrust").alias("d0"),
         )
         after = staged(after, "ranks")
-        moved = after.agg(F.sum(F.abs(F.col("trust") - F.col("t0")) + F.abs(F.col("distrust") - F.col("d0")))).first()[0] or 0.0
+        moves = lambda x, x0: F.abs(F.col(x) - F.col(x0)) > SETTLED * F.greatest(x, x0)
+        moving = after.filter(moves("trust", "t0") | moves("distrust", "d0"))
         rank = after.drop("t0", "d0")
-        if moved < SETTLED:
+        if moving.isEmpty():
             break
     return rank.select("host", "trust", "distrust")
 

@@ -116,3 +116,11 @@ def test_pages_of_unknown_hosts_get_what_their_links_say(spark):
     rows = [(1, "http://good.org/a", link("friend.net")), (2, "http://bad.com/de/1", None), (3, "http://farm.net/1", link("bad.com", "bad.com")), (4, "http://friend.net/", link("friend.net")), (5, "http://nobody.net/", "")]
     got = {r.page_id: r.verdict for r in url_filter.judged(pages(spark, rows)).collect()}
     assert got == {1: "allow", 2: "block", 3: "block", 4: "allow", 5: "allow"}
+
+
+def test_rounds_reach_a_long_chain_behind_one_of_many_seeds(spark):
+    n, far = 20_000, 22
+    seeds = spark.range(n).selectExpr("concat('s', id) AS host", "0.0D AS good", f"1.0D / {n + 1} AS bad").union(spark.sql(f"SELECT 'c0', 0.0D, 1.0D / {n + 1}"))
+    edges = spark.createDataFrame([(f"c{i + 1}", f"c{i}", 1) for i in range(far)], "src string, dst string, n long")
+    got = {r.host: r.distrust for r in url_filter.propagate(seeds, edges).filter("host LIKE 'c%'").collect()}
+    assert all(got[f"c{i + 1}"] == pytest.approx(0.85 * got[f"c{i}"], rel=1e-3) and got[f"c{i}"] > 0 for i in range(far))
