@@ -40,17 +40,57 @@ _CLOSES = {"p": BLOCKS, "li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th
 _SCOPE = frozenset("ul ol table dl html body div section article".split())
 
 
+#: Names of a part for comments: an article in it is a comment if the page has another one.
+COMMENTS = frozenset("comment comments disqus respond reply replies".split())
+#: Text in these is no prose when it comes to where most of a page's prose is.
+_CONTROLS = frozenset("a button label option".split())
+
+
 class _Node:
-    __slots__ = ("tag", "parts", "dropped", "rooted", "up", "hash", "words")
+    __slots__ = ("tag", "parts", "dropped", "rooted", "up", "hash", "words", "named", "control", "prose", "article", "holds")
 
     def __init__(self, tag: str, mark: str, up: _Node | None) -> None:
         self.tag, self.up, self.parts, self.hash, self.words = tag, up, [mark], 0, False
-        inside = bool(up and up.rooted)
-        named = {w for w in re.split(r"[^a-z]+", mark.lower()) if w} if mark else set()
-        header = (tag == "header" or named & _PAGE_HEADER) and not inside
-        own = tag in BOILERPLATE or bool(header) or (bool(named & MARKS) and tag not in ("html", "body", "main"))
-        self.dropped = own or bool(up and up.dropped)
-        self.rooted = inside or (tag in ROOTS and not self.dropped)
+        self.named = set(mark.lower().split()) if mark else set()
+        self.control = tag in _CONTROLS or bool(up and up.control)
+        self.prose, self.article, self.holds, self.dropped, self.rooted = 0, False, False, False, False
+
+
+def _judge(nodes: list[_Node]) -> None:
+    """Which elements are dropped by tag or name, and which lie in an article or main element; `nodes` has children before parents.
+
+    An element that is or holds an outermost article (or main) stays, and so does one with more than half of the
+    page's prose unless the article lies outside of it. Only whole words of class, id and role are names.
+    """
+    within, remarks = {}, {}
+    roots = []
+    for n in reversed(nodes):
+        up = n.up
+        within[n] = n.tag == "article" or within.get(up, False)
+        remarks[n] = bool(n.named & COMMENTS) or remarks.get(up, False)
+        if n.words and (n.tag == "main" or (n.tag == "article" and not within.get(up, False))):
+            roots.append(n)
+    articles = [n for n in roots if n.tag == "article"]
+    chosen = [n for n in articles if not remarks[n]] or articles
+    for n in chosen or roots:
+        n.article = True
+    for n in roots:
+        if n.tag == "main":
+            n.holds = True
+    for n in nodes:
+        n.holds |= n.article
+        if n.holds:
+            n.up.holds = True
+    total = sum(n.prose for n in nodes if not n.up.tag)
+    any_article, inside = any(n.article for n in nodes), {}
+    for n in reversed(nodes):
+        up = n.up
+        inside[n] = n.article or inside.get(up, False)
+        most = 2 * n.prose > total and (inside[n] or not any_article)
+        header = (n.tag == "header" or n.named & _PAGE_HEADER) and not up.rooted
+        own = n.tag in BOILERPLATE or bool(header) or (bool(n.named & MARKS) and n.tag not in ("html", "body", "main"))
+        n.dropped = (own and not n.holds and not most) or up.dropped
+        n.rooted = up.rooted or (n.tag in ROOTS and not n.dropped)
 
 
 def parse(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
@@ -74,12 +114,15 @@ def parse(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
         node.hash = xxhash.xxh64_intdigest("\x1f".join([node.tag, *node.parts])) - (1 << 63)
         stack[-1].parts.append(str(node.hash))
         stack[-1].words |= node.words
+        stack[-1].prose += node.prose
         nodes.append(node)
 
     def say(text: str) -> None:
         if text and not text.isspace():
             stack[-1].parts.append(" ".join(text.split()))
             stack[-1].words = True
+            if not stack[-1].control:
+                stack[-1].prose += len(text.strip())
         buffer.append(text)
 
     at, end = 0, len(page)
@@ -135,6 +178,7 @@ def parse(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
     flush()
     while len(stack) > 1:
         close()
+    _judge(nodes)
 
     def candidate(n: _Node) -> bool:
         return n.words and n.tag not in ("html", "body", *ROOTS) and not (n.rooted and n.tag in PROSE)
@@ -175,7 +219,8 @@ def main_text(
     Each page's elements are hashed with all they hold and counted once for a page of their host; those on `share` of
     the host's pages and `min_pages` pages or more are deleted with their blocks. Parts that HTML or their names mark
     as menus, headers, forms, notices, adverts or comments are deleted as well. Character references are decoded, white
-    space in a block is one space, blocks are joined by line breaks.
+    space in a block is one space, blocks are joined by line breaks. What is or holds the article, or most of the
+    prose, isn't deleted by its tag or name.
 
     Only hashes are shuffled; a page whose blocks all lie outside of anything that could be template is finished as it
     is parsed. Null html or a page without text gives an empty text; a null url has an empty host; repeated rows each

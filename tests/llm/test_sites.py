@@ -124,3 +124,14 @@ def test_rounds_reach_a_long_chain_behind_one_of_many_seeds(spark):
     edges = spark.createDataFrame([(f"c{i + 1}", f"c{i}", 1) for i in range(far)], "src string, dst string, n long")
     got = {r.host: r.distrust for r in url_filter.propagate(seeds, edges).filter("host LIKE 'c%'").collect()}
     assert all(got[f"c{i + 1}"] == pytest.approx(0.85 * got[f"c{i}"], rel=1e-3) and got[f"c{i}"] > 0 for i in range(far))
+
+
+def test_names_and_tags_never_take_the_article():
+    text = lambda page: [t for t, _ in site_templates.parse(page)[0]]
+    assert text("<div class='content has-sidebar'><p>Story</p></div>") == ["Story"]
+    assert text("<article class='post no-comments'><p>Story</p></article>") == ["Story"]
+    assert text("<section id='social-policy'><p>Policy</p></section><div class='social'>Share</div><p>Further text</p>") == ["Policy", "Further text"]
+    assert text("<form><nav><a>Menu</a></nav><div><p>The whole story of a page</p></div></form>") == ["The whole story of a page"]
+    assert text("<form class='search'><main><p>Story</p><div class='ad'>Buy</div></main></form>") == ["Story"]
+    assert text("<div class='banner'><article><p>Story</p></article></div><div class='sidebar'><p>A long text outside of the article</p></div>") == ["Story"]
+    assert text("<main><article><p>A story</p></article><div id='comments'><article><p>Nice</p></article></div></main>") == ["A story"]
