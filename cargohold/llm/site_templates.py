@@ -15,7 +15,9 @@ from cargohold.llm.common import slices, staged
 from cargohold.llm.url_filter import host_of
 
 #: A subtree is template from this share of a host's pages and this many pages on.
-SHARE, MIN_PAGES = 0.5, 10
+SHARE, MIN_PAGES = 0.1, 6
+#: The same for a paragraph, heading or list item within an article.
+PROSE_SHARE, PROSE_PAGES = 0.3, 50
 #: Elements by their part in a page.
 RAW = frozenset("script style noscript template textarea title iframe svg select object canvas math xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -26,6 +28,7 @@ BLOCKS = frozenset(
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre b i em strong a span code q cite sub sup u s small mark li".split())
 BOILERPLATE = frozenset("nav footer aside form head menu dialog button label".split())
 ROOTS = frozenset(("article", "main"))
+_PASSAGES = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li".split())
 #: Words of a class, id or role that name a part which isn't the article.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb "
@@ -97,7 +100,8 @@ def parse(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
     """The page's blocks in order, each with the hashes of the subtrees over it that could be template, and the hashes of all such subtrees.
 
     Blocks in menus, headers, footers and the like are left out; if there is an article or main element, blocks outside
-    of it as well. Inside it, prose (paragraphs, headings and what they hold) is never template.
+    of it as well. The last bit of a hash tells the paragraphs, headings and list items inside of it, which have a higher
+    limit; what these hold is never template by itself.
     """
     top = _Node("", "", None)
     stack, blocks, buffer, owner = [top], [], [], top
@@ -181,7 +185,10 @@ def parse(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
     _judge(nodes)
 
     def candidate(n: _Node) -> bool:
-        return n.words and n.tag not in ("html", "body", *ROOTS) and not (n.rooted and n.tag in PROSE)
+        return n.words and n.tag not in ("html", "body", *ROOTS) and not (n.rooted and n.tag in PROSE - _PASSAGES)
+
+    def tree(n: _Node) -> int:
+        return n.hash & ~1 | (n.rooted and n.tag in _PASSAGES)
 
     rooted = any(n.rooted for n in nodes)
     kept = []
@@ -191,10 +198,10 @@ def parse(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
         over, n = [], node
         while n is not None and n.tag:
             if candidate(n):
-                over.append(n.hash)
+                over.append(tree(n))
             n = n.up
         kept.append((text, over))
-    return kept, sorted({n.hash for n in nodes if candidate(n)})
+    return kept, sorted({tree(n) for n in nodes if candidate(n)})
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,17 +214,19 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 blocks.append([{"text": t, "over": o} for t, o in kept])
                 trees.append(seen)
             yield pa.record_batch(
-                {**{c: batch.column(c) for c in ("page_id", "url", "host", "key")}, "blocks": pa.array(blocks, kind), "trees": pa.array(trees, pa.list_(pa.int64()))}
+                {**{c: batch.column(c) for c in ("page_id", "url", "host", "key", "same")}, "blocks": pa.array(blocks, kind), "trees": pa.array(trees, pa.list_(pa.int64()))}
             )
 
 
 def main_text(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = SHARE, min_pages: int = MIN_PAGES
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = SHARE, min_pages: int = MIN_PAGES,
+    prose_share: float = PROSE_SHARE, prose_pages: int = PROSE_PAGES,
 ) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row: the main text without the parts its site repeats.
 
     Each page's elements are hashed with all they hold and counted once for a page of their host; those on `share` of
-    the host's pages and `min_pages` pages or more are deleted with their blocks. Parts that HTML or their names mark
+    the host's pages and `min_pages` pages or more are deleted with their blocks; for paragraphs, headings and list items
+    within an article it takes `prose_share` and `prose_pages`. Pages with the same html count once. Parts that HTML or their names mark
     as menus, headers, forms, notices, adverts or comments are deleted as well. Character references are decoded, white
     space in a block is one space, blocks are joined by line breaks. What is or holds the article, or most of the
     prose, isn't deleted by its tag or name.
@@ -229,12 +238,15 @@ def main_text(
     rows = pages.select(
         F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), host_of(F.col(url_col)).alias("host"),
         F.xxhash64(F.col(url_col).cast("string"), F.col(html_col).cast("string")).alias("key"), F.col(html_col).cast("string").alias("html"),
+        F.xxhash64(F.col(html_col).cast("string")).alias("same"),
     )
-    schema = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, host string, key long, blocks array<struct<text:string,over:array<long>>>, trees array<long>"
+    schema = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, host string, key long, same long, blocks array<struct<text:string,over:array<long>>>, trees array<long>"
     parsed = staged(rows.mapInArrow(_parse, schema), "parsed")
-    totals = parsed.groupBy("host").agg(F.count("*").alias("pages"))
-    seen = parsed.select("host", F.explode("trees").alias("tree")).groupBy("host", "tree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    template = staged(seen.join(totals, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "tree"), "template")
+    totals = parsed.select("host", "same").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    prose = F.col("tree").bitwiseAND(F.lit(1).cast("long")) == 1
+    seen = parsed.select("host", "same", F.explode("trees").alias("tree")).distinct().groupBy("host", "tree").agg(F.count("*").alias("n"))
+    seen = seen.filter(F.col("n") >= F.when(prose, prose_pages).otherwise(min_pages)).join(totals, "host")
+    template = staged(seen.filter(F.col("n") >= F.when(prose, prose_share).otherwise(share) * F.col("pages")).select("host", "tree"), "template")
     over = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["over"])))
     lines = lambda blocks: F.array_join(F.transform(blocks, lambda b: b["text"]), "\n")
     free = parsed.filter(F.size(over) == 0).select("page_id", "url", lines(F.col("blocks")).alias("text"))

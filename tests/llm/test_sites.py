@@ -135,3 +135,14 @@ def test_names_and_tags_never_take_the_article():
     assert text("<form class='search'><main><p>Story</p><div class='ad'>Buy</div></main></form>") == ["Story"]
     assert text("<div class='banner'><article><p>Story</p></article></div><div class='sidebar'><p>A long text outside of the article</p></div>") == ["Story"]
     assert text("<main><article><p>A story</p></article><div id='comments'><article><p>Nice</p></article></div></main>") == ["A story"]
+
+
+def test_parts_on_many_but_not_most_pages_go(spark):
+    box = "<div class='x1'><a href='/a'>News</a><a href='/b'>Sport</a></div>"
+    rows = [(i, f"http://s.org/{i}", f"<body>{box if i < 10 else ''}<div>Story {i}</div></body>") for i in range(25)]
+    rows += [(100 + i, f"http://t.org/{i}", f"<body>{box}<div>Story {i}</div></body>") for i in range(6)]
+    rows += [(200 + i, f"http://u.org/{i}", f"<article><p>Read our letter</p><p>Story {i}</p></article>") for i in range(60)]
+    rows += [(300 + i, f"http://v.org/{i}", "<body><div>Copied story</div></body>") for i in range(12)]
+    got = {r.page_id: r.text for r in site_templates.main_text(pages(spark, rows)).collect()}
+    assert all(got[a + i] == f"Story {i}" for a, k in ((0, 25), (100, 6), (200, 60)) for i in range(k))
+    assert all(got[300 + i] == "Copied story" for i in range(12))
