@@ -19,8 +19,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH = 8, 16, 32
-#: Strings that the battery tests: this long at least, cut at anything else.
+#: Strings that the battery tests: this long at least, cut at anything else and at `=`, save the padding at the end.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20
+_BETWEEN_EQUALS = re.compile(r"[^=]+(?:=+$)?")
+#: Where no alphabet fits: parts without the letters of one or the other base 64, or without both.
+_PARTS = (re.compile(r"[^/]+"), re.compile(r"[^_-]+"), re.compile(r"[^/_-]+"))
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
@@ -112,12 +116,35 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 _LONG_HEX = re.compile(HEX.pattern[:-1] + "{%d,}" % HEX_LENGTH)
 
 
+def _cut(s: str) -> Iterator[tuple[int, int]]:
+    """The strings to test in a run: itself where an alphabet fits, else its parts; of parts that overlap, the longest."""
+    for m in _BETWEEN_EQUALS.finditer(s):
+        if m.end() - m.start() < LEAST:
+            continue
+        if set(m[0].rstrip("=")) <= _WEB or set(m[0].rstrip("=")) <= _PLAIN:
+            yield m.span()
+            continue
+        parts = {x.span() for p in _PARTS for x in p.finditer(m[0]) if x.end() - x.start() >= LEAST and encoding(x[0]) is not None}
+        taken: list[tuple[int, int]] = []
+        covered: set[int] = set()
+        for a, b in sorted(parts, key=lambda x: (x[0] - x[1], x[0])):
+            if a not in covered and b - 1 not in covered:
+                taken.append((a, b))
+                covered.update(range(a, b))
+        yield from sorted((m.start() + a, m.start() + b) for a, b in taken)
+
+
+#: Every alphabet lies in one of these.
+_PLAIN, _WEB = set(ALPHABETS["base64"]), set(ALPHABETS["base64url"])
+
+
 def candidates(text: str) -> Iterator[tuple[int, int, float]]:
     """(start, end, p) of each string that an encoding fits."""
     for m in CANDIDATE.finditer(text):
-        p = not_random(m[0])
-        if p is not None:
-            yield m.start(), m.end(), p
+        for a, b in _cut(m[0]):
+            p = not_random(m[0][a:b])
+            if p is not None:
+                yield m.start() + a, m.start() + b, p
 
 
 def length_class(n: int) -> int:
@@ -172,7 +199,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rat
     counts = found.select(F.explode("extra").alias("e")).groupBy("e.len_class", "e.step").agg(F.count("*").alias("n")).collect()
     least = limits([tuple(r) for r in counts], rate)
     even = lambda e: e["step"] < F.element_at(F.array(*[F.lit(least.get(c, STEPS * SMALLEST + 1)) for c in range(len(LENGTHS) + 1)]), e["len_class"] + 1)
-    outside = lambda e: ~F.exists("base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"]))
+    outside = lambda e: ~F.exists("base", lambda b: (b["start"] <= e["start"]) & (e["end"] <= b["end"]))
     more = F.transform(F.filter("extra", lambda e: even(e) & outside(e)), lambda e: F.struct(F.lit("random").alias("kind"), e["start"].alias("start"), e["end"].alias("end")))
     rank = lambda k: F.array_position(F.array(*[F.lit(x) for x in KINDS]), k)
     ordered = F.array_sort(F.transform(F.concat("base", more), lambda s: F.struct(s["start"].alias("start"), rank(s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))

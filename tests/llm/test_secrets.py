@@ -70,3 +70,18 @@ def test_random_strings_are_added_and_base_ones_stay(spark):
     assert not any(got[100 + i].spans for i in range(30))
     assert [s.kind for s in got[200].spans] == ["assign"] and got[None].spans == []
     assert secrets.secrets(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_keys_behind_names_and_between_signs_are_found(spark):
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzEXAMPLEKEY"
+    web = "Zx81kQ0_vB7-mT4nLr92HsYcPq6WdE3a"
+    found = lambda t: {t[a:b] for a, b, _ in secrets.candidates(t)}
+    assert key in found(f"AWS_SECRET_ACCESS_KEY={key}") and web in found(f"/x?sig={web}&a=1") and "Zx81kQ0vB7mT4nLr92Hs==" in found("private_key=Zx81kQ0vB7mT4nLr92Hs==")
+    assert key in found(f"my_{key}_x") and web in found(f"/files/{web}/index")
+    # A random string that only overlaps a base span is shown, one inside of it isn't.
+    rng = random.Random(7)
+    draw = lambda n: "".join(rng.choice(secrets.ALPHABETS["base62"]) for _ in range(n))
+    rows = [(i, f"NAME={draw(36)}", 0) for i in range(30)] + [(100, f"{draw(30)}AKIA{'Q7W2E9R4T8Y1'}{draw(30)}", 0), (101, f"token={draw(40)}", 0)]
+    got = {r.doc_id: [s.kind for s in r.spans] for r in secrets.secrets(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum("random" in got[i] for i in range(30)) >= 27
+    assert sorted(got[100]) == ["access", "random"] and got[101] == ["assign"]
