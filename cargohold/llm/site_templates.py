@@ -11,13 +11,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cargohold.llm.common import slices, staged
+from cargohold.llm.common import slices, small_enough, staged
 from cargohold.llm.url_filter import host_of
 
 #: A subtree is template from this share of a host's pages and this many pages on.
 SHARE, MIN_PAGES = 0.1, 6
 #: The same for a paragraph, heading or list item within an article.
 PROSE_SHARE, PROSE_PAGES = 0.3, 50
+#: Rows of template subtrees that may be broadcast.
+BROADCAST_TREES = 500_000
 #: Elements by their part in a page.
 RAW = frozenset("script style noscript template textarea title iframe svg select object canvas math xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -231,7 +233,7 @@ def main_text(
     space in a block is one space, blocks are joined by line breaks. What is or holds the article, or most of the
     prose, isn't deleted by its tag or name.
 
-    Only hashes are shuffled; a page whose blocks all lie outside of anything that could be template is finished as it
+    Only hashes are shuffled, unless there are more than BROADCAST_TREES template subtrees; a page whose blocks all lie outside of anything that could be template is finished as it
     is parsed. Null html or a page without text gives an empty text; a null url has an empty host; repeated rows each
     give a row; other columns are ignored.
     """
@@ -251,7 +253,11 @@ def main_text(
     lines = lambda blocks: F.array_join(F.transform(blocks, lambda b: b["text"]), "\n")
     free = parsed.filter(F.size(over) == 0).select("page_id", "url", lines(F.col("blocks")).alias("text"))
     under = parsed.filter(F.size(over) > 0)
-    hits = under.select("key", "host", F.explode(over).alias("tree")).join(template, ["host", "tree"]).groupBy("key").agg(F.collect_set("tree").alias("gone"))
-    left = under.join(hits, "key", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<long>")))
+    if small_enough(template, BROADCAST_TREES):  # pages stay where they are; a host has few, by `share`
+        left = under.join(F.broadcast(template.groupBy("host").agg(F.collect_list("tree").alias("gone"))), "host", "left")
+    else:
+        hits = under.select("key", "host", F.explode(over).alias("tree")).join(template, ["host", "tree"]).groupBy("key").agg(F.collect_set("tree").alias("gone"))
+        left = under.join(hits, "key", "left")
+    left = left.withColumn("gone", F.coalesce("gone", F.array().cast("array<long>")))
     cleaned = left.select("page_id", "url", lines(F.filter("blocks", lambda b: ~F.arrays_overlap(b["over"], F.col("gone")))).alias("text"))
     return free.union(cleaned).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
