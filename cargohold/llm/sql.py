@@ -122,9 +122,73 @@ FROM rows_of LEFT JOIN kept USING (r)
 """
 
 
+def _op12(levels: int = 8) -> str:
+    """Trees unrolled over `levels` levels, enough for 16 ** levels leaves of a source."""
+    crc = (
+        "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)), "
+        "lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::BIGINT)"
+    )
+    field = lambda v: f"coalesce(strlen({v}::VARCHAR) || ':' || {v}::VARCHAR, '-')"
+    leaf = lambda text: f"sha256({' || '.join(field(v) for v in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+    parts = [
+        f"""rows_of AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS t, CASE WHEN {crc} % 5 = 0 THEN {leaf(f"translate(text, {_AZ})")} ELSE leaf END AS altered
+  FROM (SELECT doc_id, source, lang, n_chars, text, {leaf("text")} AS leaf FROM documents)
+)""",
+        "n0 AS (SELECT doc_id, t, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k, leaf AS d, altered FROM rows_of)",
+        "s0 AS (SELECT t, k, d FROM n0)",
+    ]
+
+    def tree(name: str, key: str) -> str:
+        """CTEs of all levels of the trees in `name`0 (key, k, d); a tree with one node stays as it is. The last is its root."""
+        for i in range(levels):
+            parts.append(
+                f"{name}{i + 1} AS (SELECT {key}, k // 16 AS k, CASE WHEN any_value(size) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY k)) END AS d "
+                f"FROM (SELECT *, count(*) OVER (PARTITION BY {key}) AS size FROM {name}{i}) GROUP BY {key}, k // 16)"
+            )
+            parts.append(
+                f"{name}p{i} AS (SELECT a.{key}, a.k, coalesce(string_agg(b.d, '' ORDER BY b.k) FILTER (b.k < a.k), '') AS l, coalesce(string_agg(b.d, '' ORDER BY b.k) FILTER (b.k > a.k), '') AS r "
+                f"FROM {name}{i} a JOIN {name}{i} b ON a.{key} = b.{key} AND a.k // 16 = b.k // 16 GROUP BY a.{key}, a.k)"
+            )
+        return f"{name}{levels}"
+
+    last = tree("s", "t")
+    parts.append(f"u0 AS (SELECT 0 AS z, t AS k, d FROM {last})")
+    root = tree("u", "z")
+    ways, at, by = [], "n0 x", ""
+    for name, key, node, size in (("s", "x.t", "x.k", "(SELECT count(*) FROM n0 y WHERE y.t = x.t)"), ("u", "0", "x.t", "(SELECT count(*) FROM u0)")):
+        for i in range(levels):
+            at += f" JOIN {name}p{i} ON {name}p{i}.{'t' if name == 's' else 'z'} = {key} AND {name}p{i}.k = {node} // {16**i}"
+            ways.append((f"{name}p{i}.l", f"{name}p{i}.r", f"(({size} - 1) // {16**i}) > 0"))
+    proof = " || ".join(f"{left} || {right}" for left, right, _ in ways)
+    by = "altered"
+    columns = []
+    for i, (left, right, more) in enumerate(ways):
+        columns.append(f"{left} AS l{i}, {right} AS r{i}, {more} AS m{i}")
+    parts.append(f"way AS (SELECT x.doc_id, x.t, x.d AS leaf, x.altered, sha256({proof}) AS proof_sha256, {', '.join(columns)} FROM {at})")
+    for i in range(len(ways)):
+        parts.append(f"f{i} AS (SELECT *, CASE WHEN m{i} THEN sha256(l{i} || {by} || r{i}) ELSE {by} END AS a{i} FROM {'way' if i == 0 else f'f{i - 1}'})")
+        by = f"a{i}"
+    return f"""
+WITH {", ".join(parts)}
+SELECT doc_id, leaf, s.d AS subroot, u.d AS root, proof_sha256, {by} AS folded_root, {by} = u.d AS verified
+FROM f{len(ways) - 1} f JOIN {last} s ON s.t = f.t JOIN {root} u ON true
+"""
+
+
+_OP13 = """
+WITH rows_of AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM rows_of WINDOW w AS (PARTITION BY t)
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_minhash_hamming": _OP2,
     "op4_spotsigs": _OP4,
     "op5_simhash_windows": _OP5,
     "op9_site_lines": _op9(),
+    "op12_octopus_manifest": _op12(),
+    "op13_heavy_hitter_dedup": _OP13,
 }
