@@ -105,8 +105,8 @@ def _hash_words(data: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.nda
     return mix(np.add.reduceat(terms, first)), starts
 
 
-def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased (A-Z) UTF-8 bytes of all rows and their offsets; null counts as empty."""
+def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all rows and their offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.fill_null("").cast(pa.large_string())
@@ -115,7 +115,13 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     values = column.buffers()[2]
     data = np.frombuffer(values, np.uint8)[offsets[0] : offsets[-1]] if values is not None else np.zeros(0, np.uint8)
-    return _LOWER[data], offsets - offsets[0]
+    return data, offsets - offsets[0]
+
+
+def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased (A-Z) UTF-8 bytes of all rows and their offsets; null counts as empty."""
+    data, offsets = utf8(column)
+    return _LOWER[data], offsets
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
