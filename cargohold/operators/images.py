@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,6 @@ from cargohold.sources.files import plain_path
 from cargohold.storage import append_columns, column_values, payload_batches, resolve, with_columns
 
 GEOMETRY = ["scaled_w", "scaled_h", "crop_x", "crop_y", "out_w", "out_h"]
-EXIF_BYTES = 128 * 1024
 EXIF_ORIENTATION = 0x0112
 
 
@@ -67,18 +68,30 @@ def decode_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def exif_orientation(data: bytes) -> int:
-    """Orientation tag (1 to 8) of a JPEG; 1 when there is none."""
-    at = 2
-    if data[:2] != b"\xff\xd8":
+def exif_orientation(source: bytes | BinaryIO) -> int:
+    """Orientation tag (1 to 8) of a JPEG; 1 when there is none.
+
+    Seeks from segment to segment up to the picture data and reads the Exif segment alone, wherever it lies.
+    """
+    stream = io.BytesIO(source) if isinstance(source, bytes) else source
+    if stream.read(2) != b"\xff\xd8":
         return 1
-    while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
-        size = int.from_bytes(data[at + 2 : at + 4], "big")
-        body = data[at + 4 : at + 2 + size]
-        if data[at + 1] == 0xE1 and body[:6] == b"Exif\0\0":
-            return _tiff_orientation(body[6:])
+    at = 2
+    while True:
+        stream.seek(at)
+        head = stream.read(10)
+        while len(head) > 1 and head[:2] == b"\xff\xff":  # fill bytes before a marker
+            at += 1
+            stream.seek(at)
+            head = stream.read(10)
+        if len(head) < 4 or head[0] != 0xFF or head[1] in (0xD9, 0xDA):
+            return 1
+        size = int.from_bytes(head[2:4], "big")
+        if size < 2:
+            return 1
+        if head[1] == 0xE1 and head[4:] == b"Exif\0\0":
+            return _tiff_orientation(stream.read(max(0, size - 8)))
         at += 2 + size
-    return 1
 
 
 def _tiff_orientation(tiff: bytes) -> int:
@@ -94,15 +107,15 @@ def _tiff_orientation(tiff: bytes) -> int:
 
 
 def with_orientation(df: DataFrame, path: str = "path") -> DataFrame:
-    """Add `orientation`, read from the head of each stored file."""
+    """Add `orientation`, read from the segment of each stored file that holds it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for item in column_values(batch, path):
                 filesystem, name = resolve(item)
-                with filesystem.open_input_stream(name, compression=None) as stream:
-                    found.append(exif_orientation(stream.read(EXIF_BYTES)))
+                with filesystem.open_input_file(name) as stream:
+                    found.append(exif_orientation(stream))
             yield append_columns(batch, {"orientation": pa.array(found, pa.int32())})
 
     return df.mapInArrow(run, with_columns(df.schema, T.StructField("orientation", T.IntegerType())))

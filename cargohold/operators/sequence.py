@@ -1,4 +1,8 @@
-"""Operators on ordered rows: the order is always an explicit list of columns, total within a key."""
+"""Operators on ordered rows: the order is an explicit list of columns.
+
+Rows of a key that are equal in all of them stand in some order between each other, none is lost or doubled. Where
+a result depends on that order, it follows the values that the operator looks at.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +22,7 @@ def unique_consecutive(
     policy: SkewPolicy = DEFAULT_POLICY,
 ) -> DataFrame:
     """Drop a row when `cols` equal those of the row before it; the first row stays, NULL or not."""
-    s = slice_hot_keys(df, partition_by or [], order_by, policy)
+    s = slice_hot_keys(df, partition_by or [], [*order_by, *[c for c in cols if c not in order_by]], policy)
     w = s.window()
     before = [F.lag(c).over(w).alias(f"_before{i}") for i, c in enumerate(cols)]
     # NULL only where there is no row before: tells a first row from one that follows NULLs.
@@ -135,12 +139,12 @@ def split_when(
 
     The first row always starts group 0, flagged or not.
     """
-    s = slice_hot_keys(df, partition_by, order_by, policy)
-    flagged = s.df.withColumn("_flag", F.coalesce(flag, F.lit(False)).cast("bigint"))
-    counted = running_sums(s, flagged, {"_rn": F.lit(1), "_flags": F.col("_flag")})
+    flagged = df.withColumn("_flag", F.coalesce(flag, F.lit(False)).cast("bigint"))
+    s = slice_hot_keys(flagged, partition_by, [*order_by, "_flag"], policy)
+    counted = running_sums(s, s.df, {"_rn": F.lit(1), "_flags": F.col("_flag")})
     first_flag = F.first_value("_flag").over(s.window())
     if s.sliced:
-        heads = s.summaries(F.min_by(F.coalesce(flag, F.lit(False)).cast("bigint"), s.position()).alias("_head"))
+        heads = s.summaries(F.min_by("_flag", s.position()).alias("_head"))
         by_slice = Window.partitionBy(*s.keys).orderBy("_slice")
         carried = heads.select(*s.keys, "_slice", F.first_value("_head").over(by_slice).alias("_head"))
         counted = s.attach(counted, carried)
@@ -168,17 +172,22 @@ def capped_concat(
 
     The first row is taken even when it is longer. The cap is the operator: it bounds the group.
     """
-    # Only lengths are sorted; the payload of the kept rows alone is shuffled.
-    narrow = df.select(*keys, *[c for c in order_by if c not in keys], F.octet_length(col).cast("bigint").alias("_size"))
-    s = slice_hot_keys(narrow, keys, order_by, policy)
+    # Only lengths and digests are sorted; the payload of the kept rows alone is shuffled. The digest tells rows of one
+    # position apart, and equal ones are counted instead of joined one by one.
+    order = [c for c in order_by if c not in keys]
+    at = [*keys, *order, "_hash"]
+    hashed = df.select(*keys, *order, F.md5(F.col(col).cast("binary")).alias("_hash"), F.col(col).alias("_b"))
+    s = slice_hot_keys(hashed.select(*at, F.octet_length("_b").cast("bigint").alias("_size")), keys, [*order_by, "_hash"], policy)
     counted = running_sums(s, s.df, {"_rn": F.lit(1), "_total": F.col("_size")})
-    at = list(dict.fromkeys([*keys, *order_by]))
-    kept = counted.filter((F.col("_total") <= cap) | (F.col("_rn") == 1)).select("_rn", *[F.col(c).alias(f"_at_{c}") for c in at])
+    kept = counted.filter((F.col("_total") <= cap) | (F.col("_rn") == 1)).groupBy(*at).agg(F.count("*").alias("_copies"), F.min("_rn").alias("_first"))
+    kept = kept.select("_copies", "_first", *[F.col(c).alias(f"_at_{c}") for c in at])
     same = F.lit(True)
     for c in at:
         same = same & F.col(c).eqNullSafe(F.col(f"_at_{c}"))
-    rows = df.select(*at, F.col(col).alias("_b")).join(kept, same)
-    joined = F.expr("listagg(_b) WITHIN GROUP (ORDER BY _rn)").alias(col)
+    rows = hashed.join(kept, same).dropDuplicates(at)
+    copies = F.explode(F.array_repeat("_b", F.col("_copies").cast("int"))).alias("_b")
+    rows = rows.filter("_b IS NOT NULL").select(*keys, "_first", copies).union(rows.filter("_b IS NULL").select(*keys, "_first", "_b"))
+    joined = F.expr("listagg(_b) WITHIN GROUP (ORDER BY _first)").alias(col)
     grouped = rows.groupBy(*keys) if keys else rows.groupBy()
     return grouped.agg(joined, F.sum(F.octet_length("_b")).alias("n_bytes")).select(*keys, col, "n_bytes")
 

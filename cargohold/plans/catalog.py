@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -752,6 +753,35 @@ def stream_unique_consecutive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(events.schema).parquet(f"{folder}/out")
 
 
+@query
+def stream_unique_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events arrive out of order over four batches and wait for the watermark; a kind (text) and a level (number) are compared."""
+    folder = scratch_dir(spark, "stream")
+    level = F.when(F.col("event_id") % 11 != 0, F.floor(F.col("value") / 40).cast("double"))
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", level.alias("level"))
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    days = (last - first).days + 1
+    # A row far ahead moves the watermark past all events.
+    ahead = events.limit(1).select(
+        F.lit(-1).cast("long").alias("event_id"), F.lit(last + timedelta(days=2 * days)).cast(events.schema["ts"].dataType).alias("ts"), F.lit(-1).cast("long").alias("user_id"),
+        F.lit("end").alias("event_type"), F.lit(None).cast("double").alias("level"),
+    )
+    before = {key: spark.conf.get(key, None) for key in ("spark.sql.streaming.stateStore.providerClass",)}
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    try:
+        for batch in range(5):
+            rows = events.filter(F.pmod(F.xxhash64("event_id"), F.lit(4)) == batch) if batch < 4 else ahead
+            rows.write.mode("append").parquet(f"{folder}/in")
+            source = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+            kept = unique_consecutive_stream(source, ["event_type", "level"], ["ts", "event_id"], ["user_id"], ("ts", f"{days} days"))
+            sink = kept.writeStream.format("parquet").option("path", f"{folder}/out")
+            sink.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    return spark.read.schema(events.schema).parquet(f"{folder}/out").filter("user_id >= 0")
+
+
 @query
 def stream_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses as a stream: routed, classified and written per micro-batch."""

@@ -151,6 +151,14 @@ SELECT event_id, ts, user_id, event_type FROM (
 WHERE rn = 1 OR before IS DISTINCT FROM event_type
 """
 
+UNIQUE_TYPED = """
+WITH e AS (SELECT event_id, ts, user_id, event_type, CASE WHEN event_id % 11 <> 0 THEN floor(value / 40) END AS level FROM events)
+SELECT event_id, ts, user_id, event_type, level FROM (
+  SELECT *, row_number() OVER w AS rn, lag(event_type) OVER w AS b1, lag(level) OVER w AS b2 FROM e
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+WHERE rn = 1 OR b1 IS DISTINCT FROM event_type OR b2 IS DISTINCT FROM level
+"""
+
 GROUPED_TURNS = """
 grouped AS (
   SELECT conv_id, turn, role, text, rn,
@@ -248,6 +256,7 @@ def oracle_sql() -> dict[str, str]:
             WHERE failure_code = 'MD5SumMismatch'""",
         "unique_consecutive": UNIQUE_EVENTS,
         "stream_unique_consecutive": UNIQUE_EVENTS,
+        "stream_unique_typed": UNIQUE_TYPED,
         "sliding_pairs": """
             SELECT user_id, window_start, a, b FROM (
               SELECT user_id, row_number() OVER w - 1 AS window_start, event_type AS a, lead(event_type) OVER w AS b,

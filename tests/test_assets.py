@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import io
 import os
 import tempfile
 import time
@@ -394,6 +395,27 @@ def test_orientation():
     assert images.exif_orientation(jpeg) == 6 and images.exif_orientation(b"\x89PNG") == 1
 
 
+class _Counted(io.BytesIO):
+    taken = 0
+
+    def read(self, n=-1):
+        data = super().read(n)
+        self.taken += len(data)
+        return data
+
+
+def test_orientation_behind_large_segments():
+    tiff = b"II*\0\x08\0\0\0" + b"\1\0" + b"\x12\1\3\0\1\0\0\0\x08\0\0\0" + b"\0\0\0\0"
+    app1 = b"Exif\0\0" + tiff
+    big = b"".join(b"\xff" + bytes([0xE2]) + (60_002).to_bytes(2, "big") + b"\xff\xda" * 30_000 for _ in range(6))
+    tail = b"\xff\xda" + b"x" * 500_000
+    found = b"\xff\xff\xff\xe1" + (len(app1) + 2).to_bytes(2, "big") + app1
+    stream = _Counted(b"\xff\xd8" + big + found + tail)
+    assert images.exif_orientation(stream) == 8 and stream.taken < 4096
+    for data in (b"", b"\xff\xd8", b"\xff\xd8\xff", b"\xff\xd8" + big, b"\xff\xd8" + tail + found, b"\xff\xd8\xff\xe1\0\0", b"\xff\xd8\xff\xe1\0\x09Exif\0\0M"):
+        assert images.exif_orientation(data) == 1
+
+
 def test_resize_payloads_without_the_command(spark):
     df = spark.createDataFrame([(1, bytearray(b"x")), (2, None)], "k int, b binary")
     out = {r.k: r for r in images.resize_payloads(df, "b", "FillCrop", 8).collect()}

@@ -7,6 +7,7 @@ import io
 import os
 import tarfile
 import tempfile
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from cargohold.sinks.files import cached_stage
 from cargohold.sinks.results import write_results
 from cargohold.sources.fetch import FileFetcher
 from cargohold.sources.image_list import header_ok, read_image_list
+from cargohold.streaming import ops as streaming
 from cargohold.streaming.ops import stream_counts, unique_consecutive_stream
 
 TEXTS = ['A "q" b', "line\nbreak", "crlf\r\nx", "  edges  ", "back\\slash", "", "com,ma", '"', "ünï", "x\\", "tab\tx"]
@@ -480,3 +482,46 @@ def test_stream_unique_and_counts(spark, folder):
     query = counts.writeStream.outputMode("complete").format("memory").queryName("counts_by_key")
     query.trigger(availableNow=True).start().awaitTermination()
     assert {r.k: r.n_rows for r in spark.table("counts_by_key").collect()} == {"a": 5, "b": 3}
+
+
+def _feed(spark, folder, schema, batches, **options):
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        kept = unique_consecutive_stream(spark.readStream.schema(schema).parquet(f"{folder}/in"), **options)
+        sink = kept.writeStream.format("parquet").option("path", f"{folder}/out")
+        sink.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{folder}/out").orderBy("pos").collect()
+
+
+def test_stream_unique_compares_typed_columns(spark, folder):
+    nan, noon = float("nan"), datetime(2024, 1, 1, 12)
+    values = [(1, nan, noon), (1, nan, noon), (2, nan, noon), (2, None, noon), (2, None, noon), (2, None, None), (None, 0.5, None), (None, 0.5, None)]
+    rows = [("k", *v, i) for i, v in enumerate(values * 2)]
+    out = _feed(spark, folder, "k string, a int, b double, c timestamp, pos int", [rows[:5], rows[5:]], cols=["a", "b", "c"], order_by=["pos"], partition_by=["k"])
+    assert [r.pos for r in out] == [0, 2, 3, 5, 6, 8, 10, 11, 13, 14]
+
+
+def test_stream_key_larger_than_memory_is_merged_in_order(spark, folder, monkeypatch):
+    monkeypatch.setattr(streaming, "RUN_ROWS", 700)
+    monkeypatch.setattr(streaming, "BLOCK_ROWS", 64)
+    rows = [(1, (i // 3) % 5 if i % 7 else None, i) for i in range(12_500)]
+    shuffled = sorted(rows[:12_000], key=lambda r: r[2] * 7919 % 12_007)
+    out = _feed(spark, folder, "k int, v int, pos int", [shuffled, rows[12_000:]], cols="v", order_by=["pos"], partition_by=["k"])
+    want = [r for i, r in enumerate(rows) if i == 0 or r[1] != rows[i - 1][1]]
+    assert [tuple(r) for r in out] == want
+
+
+@pytest.mark.parametrize("run_rows", [3, 50_000])
+def test_stream_with_watermark_orders_across_batches(spark, folder, monkeypatch, run_rows):
+    monkeypatch.setattr(streaming, "RUN_ROWS", run_rows)
+    monkeypatch.setattr(streaming, "BLOCK_ROWS", 2)
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    rows = [("k", at(i), (i // 4) % 2, i) for i in range(40)]
+    dealt = [[r for r in rows[:20] if r[3] % 2 == 0], [r for r in rows[:20] if r[3] % 2], rows[39:19:-1]]
+    late = ("k", at(1), 9, 100)
+    ends = [[("end", at(300), 0, 200)], [late, ("end", at(400), 1, 201)]]
+    out = _feed(spark, folder, "k string, ts timestamp, v int, pos int", dealt + ends, cols=["v"], order_by=["ts", "pos"], partition_by=["k"], watermark=("ts", "60 minutes"))
+    # The row that comes after the watermark has passed it is dropped; the end's own rows still wait or have left.
+    assert [r.pos for r in out if r.k == "k"] == list(range(0, 40, 4))
+    with pytest.raises(ValueError, match="begin"):
+        unique_consecutive_stream(spark.createDataFrame([], "k int, ts timestamp"), "k", ["k"], ["k"], ("ts", "1 day"))

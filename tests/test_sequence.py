@@ -1,9 +1,11 @@
+import itertools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from cargohold.operators import sequence as Q
+from cargohold.operators.digests import digest_chunks
 from cargohold.operators.skew import SkewPolicy, slice_hot_keys
 
 FORCED = SkewPolicy(max_rows=3)
@@ -226,3 +228,41 @@ def test_ordered_concat(spark):
     assert [(r.source_ord, r.id) for r in Q.ordered_concat(a, b).orderBy("source_ord", "id").collect()] == [
         (0, 0), (0, 1), (1, 0), (1, 1), (1, 2),
     ]
+
+
+TIED = [("a", 1, "xx"), ("a", 1, "yy"), ("a", 2, "z"), ("b", 1, "q"), ("b", 1, "q"), ("b", 1, "q"), ("b", 2, None), ("c", 1, None)]
+
+
+def tied(spark):
+    return spark.createDataFrame(TIED, "k string, t int, s string").withColumn("b", F.col("s").cast("binary"))
+
+
+def test_capped_concat_with_ties(spark):
+    for cap, want in ((100, {"a": 5, "b": 3, "c": None}), (2, {"a": 2, "b": 2, "c": None}), (1, {"a": 2, "b": 1, "c": None})):
+        out = {r.k: (r.b, r.n_bytes) for r in Q.capped_concat(tied(spark), ["k"], ["t"], "b", cap).collect()}
+        assert {k: n for k, (_, n) in out.items()} == want
+        assert all(len(b) == n for b, n in out.values() if n is not None)
+    whole = Q.capped_concat(tied(spark), ["k"], ["t"], "b", 100).filter("k = 'a'").first().b
+    assert bytes(whole) in (b"xxyyz", b"yyxxz")
+
+
+@pytest.mark.parametrize("limit", [1, 2, 1000])
+def test_equal_positions_neither_lose_nor_double_rows(spark, limit):
+    policy, rows = SkewPolicy(max_rows=limit), [("k", i // 7, (i * 5 // 3) % 2, f"{i % 4}") for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, t int, v int, s string").withColumn("b", F.col("s").cast("binary"))
+    # Between equal positions the compared value decides: each position gives its distinct values, the first only if it is another than the one before.
+    want, last = [], None
+    for _, group in itertools.groupby(sorted((t, v) for _, t, v, _ in rows), key=lambda r: r[0]):
+        for _, v in group:
+            want += [v] if v != last else []
+            last = v
+    assert [r.v for r in Q.unique_consecutive(df, ["v"], ["t"], ["k"], policy).orderBy("t", "v").collect()] == want
+    windows = Q.sliding(df, "s", ["t"], ["k"], 3, 3, policy).collect()
+    assert sorted(s for r in windows for s in r.window) == sorted(r[3] for r in rows)
+    split = Q.split_when(df, F.col("v") == 1, ["t"], ["k"], policy).collect()
+    assert len(split) == 60 and sum(r.is_first for r in split) == sum(r[2] for r in rows) + 1
+    assert max(r.group_id for r in split) == sum(r[2] for r in rows)
+    pieces = Q.rechunk(df, ["k"], ["t"], "b", 8, policy).orderBy("chunk_id").collect()
+    assert sorted(b"".join(bytes(r.b) for r in pieces)) == sorted("".join(r[3] for r in rows).encode())
+    assert digest_chunks(df, ["k"], ["t"], "b", policy=policy).first().n_bytes == 60
+    assert Q.capped_concat(df, ["k"], ["t"], "b", 37, policy).first().n_bytes == 37
