@@ -30,6 +30,8 @@ class JobConfig:
     max_host_connections: int = 5
     max_total_connections: int = 128
     connections_per_task: int = 1
+    #: Deal requests out by their expected bytes instead of by hash; pays where sizes differ and hosts are few.
+    schedule_by_size: bool = False
 
     def __post_init__(self) -> None:
         if self.dataset_version not in DATASET_VERSIONS:

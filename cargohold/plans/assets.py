@@ -131,6 +131,7 @@ def acquire(planned: DataFrame, cfg: JobConfig, fetcher: Fetcher) -> DataFrame:
             F.greatest(size_limit(small), F.lit(FAILURE_BODY_LIMIT).cast("bigint")),
             keep_body=keep_body,
             threads=cfg.connections_per_task,
+            expected=F.col("expected_size") if cfg.schedule_by_size else None,
         )
         oversize = F.when(F.coalesce("size_limit_hit", F.lit(False)) & (F.col("status") == 200), "ImageUnknown")
         code = F.coalesce(header_failure(small), oversize, body_failure(small))
@@ -272,7 +273,7 @@ def ingest_images(
         planned = plan_images(keyed, cfg, top_dir, owners)
         stored = spool(store_and_resize(acquire(planned, cfg, fetcher), cfg, resizer), f"{target}/rows/part=none")
     stored = stored.drop("row_key", "part")
-    write_results(stored, f"{target}/csv", SUBSETS)
+    write_results(stored, f"{target}/csv", SUBSETS, stored=True)
     return stored
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 from collections.abc import Callable
-from datetime import timedelta
+from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +35,11 @@ from cargohold.session import scratch_dir
 from cargohold.sinks.files import cached_stage, extract_tar, spool, write_files
 from cargohold.sinks.results import failure_rows, result_line, success_rows, write_results
 from cargohold.sources import tar as TAR
-from cargohold.sources.fetch import FileFetcher, fetch, fetch_table
+from cargohold.sources.fetch import FileFetcher, Response, TransportError, fetch, fetch_table
 from cargohold.sources.files import gunzip
 from cargohold.sources.image_list import header_ok, read_image_list
+from cargohold.sources.ledger import answers, fetch_due
+from cargohold.sources.tar_source import read_archives, stream_archives
 from cargohold.streaming.ops import stream_results, unique_consecutive_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -527,6 +532,30 @@ def tar_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select(_entry_id(), "entry_name", "entry_size", F.md5("bytes").alias("digest"))
 
 
+@query
+def tar_source_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives as a data source in windows of 128 KiB; the filter is decided on the headers."""
+    folder = scratch_dir(spark, "tar")
+    pack_tars(document_files(spark, sf_dir), folder).write.format("noop").mode("overwrite").save()
+    entries = read_archives(spark, folder, 128 * 1024).filter("entry_name LIKE 'en/%' AND entry_size BETWEEN 500 AND 3000")
+    return entries.select(_entry_id(), "entry_name", "entry_size", F.md5("bytes").alias("digest"))
+
+
+@query
+def stream_tar_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives arrive in two lots and the stream is resumed after each."""
+    folder = scratch_dir(spark, "tar-stream")
+    files = document_files(spark, sf_dir)
+    for lot in range(2):
+        part = files.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == lot).repartition(4, "doc_id")
+        pack_tars(part, f"{folder}/in/lot-{lot}").write.format("noop").mode("overwrite").save()
+        entries = stream_archives(spark, f"{folder}/in", per_trigger=3)
+        found = entries.select(_entry_id(), "entry_name", "entry_size", F.md5("bytes").alias("digest"))
+        sink = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+        sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{folder}/out")
+
+
 @query
 def tar_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = TAR.tar_chunks(_packed(spark, sf_dir))
@@ -603,6 +632,38 @@ def fetch_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("ImageID", "status", "content_length", F.md5("body").alias("digest"), "attempts")
 
 
+@query
+def fetch_scheduled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same requests dealt out by the bytes that the list names."""
+    rows, fetcher = _hosted(spark, sf_dir)
+    wanted = rows.select("ImageID", F.col("OriginalURL").alias("url"), F.col("OriginalSize").cast("bigint").alias("size"))
+    got = fetch(wanted, "url", fetcher, total=8, expected=F.col("size"))
+    return got.select("ImageID", "status", "content_length", F.md5("body").alias("digest"), "attempts")
+
+
+@dataclass(frozen=True)
+class _FailsAtFirst:
+    """Answers each URL with itself, but from pass `turn` on only where the URL's digest says so."""
+
+    turn: int
+
+    def __call__(self, url: str) -> Response:
+        if int(hashlib.md5(url.encode()).hexdigest()[:2], 16) % 4 >= self.turn:
+            raise TransportError("connection reset")
+        return Response(200, "text/plain", len(url.encode()), None, io.BytesIO(url.encode()))
+
+
+@query
+def fetch_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three passes over the page addresses, a minute and two minutes apart; in between one that finds nothing due."""
+    folder, start = scratch_dir(spark, "ledger"), datetime(2024, 1, 1)
+    urls = table(spark, sf_dir, "pages").select("page_id", "url")
+    for turn, seconds in ((1, 0), (2, 30), (2, 60), (3, 180)):
+        fetch_due(urls, "url", _FailsAtFirst(turn), folder, start + timedelta(seconds=seconds), max_attempts=3, total=8)
+    got = answers(urls, "url", folder)
+    return got.select("page_id", "status", "attempts", "transport_error", F.col("due").isNull().alias("closed"), F.md5("body").alias("digest"))
+
+
 @query
 def ingest_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The image job twice: the second run finds the stored copies of the first."""

@@ -345,6 +345,11 @@ def oracle_sql() -> dict[str, str]:
             bool_and(lang <> 'en') AS all_ok, bool_or(lang <> 'en') AS any_ok FROM documents GROUP BY 1""",
         "tar_entries": """SELECT doc_id, lang || '/' || source || '/' || doc_id || '.txt' AS entry_name,
             octet_length(encode(text)) AS entry_size, md5(text) AS digest FROM documents""",
+        "tar_source_filtered": """SELECT doc_id, lang || '/' || source || '/' || doc_id || '.txt' AS entry_name,
+            octet_length(encode(text)) AS entry_size, md5(text) AS digest FROM documents
+            WHERE lang = 'en' AND octet_length(encode(text)) BETWEEN 500 AND 3000""",
+        "stream_tar_entries": """SELECT doc_id, lang || '/' || source || '/' || doc_id || '.txt' AS entry_name,
+            octet_length(encode(text)) AS entry_size, md5(text) AS digest FROM documents""",
         "tar_chunks": """
             WITH src AS (SELECT doc_id, encode(text) AS b FROM documents),
             cut AS (SELECT doc_id, i, octet_length(b) AS n, b[i * 512 + 1 : least((i + 1) * 512, octet_length(b))] AS p
@@ -359,6 +364,15 @@ def oracle_sql() -> dict[str, str]:
             SELECT "ImageID", CASE WHEN page_id % 7 = 3 THEN 404 ELSE 200 END AS status,
               CASE WHEN page_id % 7 <> 3 THEN n END AS content_length,
               CASE WHEN page_id % 7 <> 3 THEN md5(html) END AS digest, 1 AS attempts FROM resp""",
+        "fetch_scheduled": f"""WITH {RESPONSES}
+            SELECT "ImageID", CASE WHEN page_id % 7 = 3 THEN 404 ELSE 200 END AS status,
+              CASE WHEN page_id % 7 <> 3 THEN n END AS content_length,
+              CASE WHEN page_id % 7 <> 3 THEN md5(html) END AS digest, 1 AS attempts FROM resp""",
+        "fetch_ledger": """
+            WITH p AS (SELECT page_id, url, ('0x' || substr(md5(url), 1, 2))::INT % 4 AS fails FROM pages)
+            SELECT page_id, CASE WHEN fails < 3 THEN 200 END AS status, least(fails + 1, 3) AS attempts,
+              CASE WHEN fails = 3 THEN 'TransportError: connection reset' END AS transport_error, true AS closed,
+              CASE WHEN fails < 3 THEN md5(url) END AS digest FROM p""",
         "ingest_assets": f"""
             WITH {RESPONSES},
             j AS (SELECT *, 'https://assets.example.com/' || lpad(CAST(page_id AS VARCHAR), 6, '0') || '.jpg' AS url,

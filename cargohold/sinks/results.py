@@ -38,19 +38,21 @@ def result_line(columns: list[str]) -> Column:
 
 
 def write_results(
-    df: DataFrame, out: str, subsets: list[str] | None = None, compat: bool = False, mode: str = "overwrite"
+    df: DataFrame, out: str, subsets: list[str] | None = None, compat: bool = False, mode: str = "overwrite", stored: bool = False
 ) -> None:
     """`outcome=success|failure/subset_dir=.../*.csv` with headers, without a shuffle.
 
     The rows are evaluated once: they are stored first, and both tables are written from there, so a row can't end
-    in both or in none when its source answers differently the second time.
+    in both or in none when its source answers differently the second time. `stored` says that `df` only reads a table.
 
     `subsets` get a header-only file where an outcome has no rows. `compat` writes `result_line` text
     instead, whose unquoted fields cannot be read back when they hold a comma; the header is a file of
     its own that sorts first, so the parts of a folder in order are the one file they stand for.
     """
     needed = [*IMAGE_LIST_COLUMNS, "failure_code", "failure_details"]
-    df = spool(df.select(*[F.col(c).cast("string").alias(c) for c in needed]), scratch_dir(df.sparkSession, "results"))
+    df = df.select(*[F.col(c).cast("string").alias(c) for c in needed])
+    if not stored:
+        df = spool(df, scratch_dir(df.sparkSession, "results"))
     parts = {"success": (success_rows(df), IMAGE_LIST_COLUMNS), "failure": (failure_rows(df), FAILURE_COLUMNS)}
     for name, (rows, columns) in parts.items():
         target = f"{out}/outcome={name}"

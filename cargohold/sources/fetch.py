@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from cargohold.functions.paths import url_host
 from cargohold.schemas import RESPONSE
+from cargohold.sources.schedule import schedule
 from cargohold.storage import (
     append_columns,
     blocks,
@@ -159,15 +160,18 @@ def fetch(
     max_bytes: Column | int | None = None,
     keep_body: Callable[[Response], bool] | None = None,
     threads: int = 1,
+    expected: Column | None = None,
 ) -> DataFrame:
     """Add the response columns (schema `RESPONSE`). One bad row never fails the job.
 
     A body over `max_bytes` is dropped with `size_limit_hit`; `keep_body` decides on the headers
-    whether the body is read at all. With `threads`, a task overlaps that many requests.
+    whether the body is read at all. With `threads`, a task overlaps that many requests. With `expected` (bytes of each
+    body) the partitions are even in bytes (`schedule`), otherwise rows are dealt by hash.
     """
     threads = min(threads, per_host)
     limit = max_bytes if isinstance(max_bytes, Column) else F.lit(max_bytes)
-    prepared = spread_by_host(df, url, per_host, total, threads).withColumn("_limit", limit.cast("bigint"))
+    dealt = spread_by_host(df, url, per_host, total, threads) if expected is None else schedule(df, url, expected, per_host, total, threads)
+    prepared = dealt.withColumn("_limit", limit.cast("bigint"))
     schema = with_columns(df.schema, *RESPONSE.fields)
     kept = df.columns
 

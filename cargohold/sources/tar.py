@@ -37,13 +37,18 @@ def _kind(info: tarfile.TarInfo) -> str:
     return "file" if info.isreg() else "other"
 
 
-def walk_headers(stream, size: int) -> Iterator[tuple]:
-    """(ord, name, entry size, type, data offset, error) for each entry; an error ends the archive."""
-    at = ordinal = 0
+def walk_headers(stream, size: int, at: int = 0, ordinal: int = 0, stop: int | None = None) -> Iterator[tuple]:
+    """(ord, name, entry size, type, data offset, error) for each entry; an error ends the archive.
+
+    `at` is where the headers of entry `ordinal` begin; entries that begin at `stop` or later are left out.
+    """
     long_name: str | None = None
     extended: dict[str, str] = {}
     closed = False
+    begun = at
     while at < size:
+        if stop is not None and begun >= stop:
+            return
         stream.seek(at)
         block = stream.read(RECORD)
         if len(block) != RECORD:
@@ -91,8 +96,8 @@ def walk_headers(stream, size: int) -> Iterator[tuple]:
             return
         yield ordinal, name, length, _kind(info), data, None
         ordinal += 1
-        at = data + -(-length // RECORD) * RECORD
-    if not closed:
+        begun = at = data + -(-length // RECORD) * RECORD
+    if not closed and (stop is None or begun < stop):
         yield ordinal, None, None, None, at, "NoEOF"
 
 
@@ -159,7 +164,8 @@ def by_window(rows: DataFrame, offset: Column) -> DataFrame:
     """Spread index rows by windows of the archives: even in bytes, and neighbours stay together."""
     window = F.floor(offset / RANGE_BYTES)
     spread = rows.repartition(shuffle_partitions(rows.sparkSession), "archive", window)
-    return spread.sortWithinPartitions("archive", offset)
+    # A stream can't be sorted; its archives come a few at a time.
+    return spread if rows.isStreaming else spread.sortWithinPartitions("archive", offset)
 
 
 class OpenArchive:
