@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -47,10 +48,19 @@ def test_subtrees_that_a_site_repeats_go(spark):
 
 
 def test_deep_and_long_pages():
-    blocks, _ = site_templates.parse("<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>" + "long " * 200_000)
+    blocks = site_templates.parse("<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>" + "long " * 200_000)[0]
     assert blocks[0][0] == "deep" and len(blocks[1][0]) == 999_999
 
 
+@pytest.mark.parametrize(
+    "page", ["<div>x" * 100_000, '<a "' * 250_000, "<a '\"" * 150_000, "<i>" * 100_000 + "</span>" * 100_000, "<p><i>" * 100_000, "<li><i>x" * 100_000, "<!-- " * 200_000, "<script>" * 100_000, "<" * 500_000]
+)
+def test_damaged_pages_take_time_by_their_length(page):
+    began = time.process_time()
+    site_templates.lone_text(page)
+    assert time.process_time() - began < 6
+
+
 def test_lines_by_their_share_of_the_site(spark):
     rows = [(i, f"https://A.org/{i}", f"<p>Line {i}</p><p>Menu</p><p>Line {i}</p><p>  Menu </p>" + ("<p>Rare</p>" if i < 4 else "")) for i in range(30)]
     rows += [(100 + i, "http://b.org", f"<div>Menu<br>{i}</div>") for i in range(3)] + [(200, None, None), (201, "bad", "<p>x</p>"), (200, None, None)]
@@ -127,7 +137,7 @@ def test_rounds_reach_a_long_chain_behind_one_of_many_seeds(spark):
 
 
 def test_names_and_tags_never_take_the_article():
-    text = lambda page: [t for t, _ in site_templates.parse(page)[0]]
+    text = site_templates.lone_text
     assert text("<div class='content has-sidebar'><p>Story</p></div>") == ["Story"]
     assert text("<article class='post no-comments'><p>Story</p></article>") == ["Story"]
     assert text("<section id='social-policy'><p>Policy</p></section><div class='social'>Share</div><p>Further text</p>") == ["Policy", "Further text"]
@@ -146,3 +156,79 @@ def test_parts_on_many_but_not_most_pages_go(spark):
     got = {r.page_id: r.text for r in site_templates.main_text(pages(spark, rows)).collect()}
     assert all(got[a + i] == f"Story {i}" for a, k in ((0, 25), (100, 6), (200, 60)) for i in range(k))
     assert all(got[300 + i] == "Copied story" for i in range(12))
+
+
+BODY = "".join(f"<p>{w} is told here at some length, as it was found by those who saw it happen.</p>" for w in ("First", "Then", "Last"))
+
+
+def test_an_article_under_several_addresses_stays(spark):
+    rows = [(i, f"http://s.org/{i}", f"<body><div><p>Story {i} of a day, with words of its own that no other page has, {i * 7}.</p></div></body>") for i in range(44)]
+    rows += [(100 + i, f"http://s.org/a{i}", f"<body><h1>T{i}</h1><div class='text'>{BODY}</div><div>visit {i}</div></body>") for i in range(6)]
+    rows += [(200 + i, f"http://u.org/{i}", f"<article><h1>T{i}</h1><div>{BODY}</div></article>") for i in range(80)]
+    got = {r.page_id: r.text for r in site_templates.main_text(pages(spark, rows)).collect()}
+    told = re.sub("</p>", "\n", BODY.replace("<p>", "")).strip()
+    assert all(got[100 + i] == f"T{i}\n{told}\nvisit {i}" for i in range(6))
+    assert all(got[200 + i] == f"T{i}\n{told}" for i in range(80))
+
+
+def test_marked_parts_go_by_the_count_of_their_shape(spark):
+    story = lambda i: f"<div><p>Story {i} is told here at length, with words that no other page has, {i * 31}.</p></div>"
+    rows = [(i, f"http://s.org/{i}", f"<body><div class='menu m1'><p>Links of day {i}</p></div>{story(i)}</body>") for i in range(2)]
+    rows += [(10 + i, f"http://h{i}.org/", f"<body><div class='promo'><p>Offer {i}</p></div>{story(i)}</body>") for i in range(7)]
+    rows += [(10 + i, f"http://h{i}.org/2", f"<body>{story(100 + i)}</body>") for i in range(7)]
+    rows += [(30, "http://o.org/1", f"<body><div class='sidebar odd'><p>Only here</p></div>{story(30)}</body>"), (31, "http://o.org/2", f"<body>{story(31)}<form>Go</form></body>")]
+    got = {r.page_id: r for r in site_templates.main_text(pages(spark, rows)).collect()}
+    assert all("Links" not in got[i].text and got[i].n_template == 1 for i in range(2))  # on two pages of its host
+    assert not any("Offer" in got[10 + i].text for i in range(7))  # once on each host, on seven pages of all
+    assert got[30].text.startswith("Only here\n") and got[30].n_template == 0  # a name alone drops nothing
+    assert got[31].text.startswith("Story 31") and "Go" not in got[31].text
+
+
+def brute_text(rows):
+    """Counts over lists, then the same three questions for each block and all elements above it."""
+    parsed = [(i, url_filter_host(u), h or "", *site_templates.parse(h or "")) for i, u, h in rows]
+    same = [p[5] if p[5] is not None else p[2] for p in parsed]
+    pages_of, seen = {}, {}
+    for p, s in zip(parsed, same):
+        pages_of.setdefault(p[1], set()).add(s)
+        for tree, _ in p[4]:
+            seen.setdefault((p[1], tree), set()).add(s)
+    of_all = {}
+    for (_, tree), s in seen.items():
+        of_all[tree] = of_all.get(tree, 0) + len(s)
+
+    def gone(host, tree):
+        n, total, kind = len(seen[host, tree]), len(pages_of[host]), tree & 3
+        if tree == site_templates.ALWAYS:
+            return True
+        if kind == site_templates.SHAPE:
+            return n >= min(2, total) or of_all[tree] >= 6
+        return kind == site_templates.CONTENT and n >= 6 and n >= 0.1 * total or kind == site_templates.PASSAGE and n >= 50 and n >= 0.3 * total
+
+    out = []
+    for i, host, _, blocks, nodes, _ in parsed:
+        kept = []
+        for text, node, outside in blocks:
+            above = []
+            while node >= 0:
+                above.append(nodes[node][0])
+                node = nodes[node][1]
+            if not outside and not any(gone(host, t) for t in above):
+                kept.append(text)
+        out.append((i, "\n".join(kept)))
+    return sorted(out)
+
+
+def url_filter_host(url):
+    return rule_of(url)[0]
+
+
+@pytest.mark.parametrize("broadcast", [0, 500_000])
+def test_given_pages_match_a_plain_version_and_the_counts_remove_blocks(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(site_templates, "BROADCAST_TREES", broadcast)
+    given = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = [(r.page_id, r.url, r.html) for r in given.collect()]
+    got = site_templates.main_text(given).collect()
+    assert sorted((r.page_id, r.text) for r in got) == brute_text(rows)
+    # Menus, adverts and footers, whose text differs on every page, go by the counts of their shapes: all that HTML puts outside of the article.
+    assert sum(r.n_template for r in got) > 5 * len(rows) and sum(r.n_outside for r in got) == 0
