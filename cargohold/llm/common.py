@@ -48,6 +48,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """`docs`, written with a number for each row, and the number's column: the identity of rows whose ids may repeat or be null."""
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    return staged(docs.withColumn(name, F.monotonically_increasing_id()), label), name
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

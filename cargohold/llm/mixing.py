@@ -70,21 +70,24 @@ def mixed(
     weights: Sequence[float] = WEIGHTS,
     repeats: int = REPEATS,
     seed: int = 0,
+    shuffle_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """doc_id, size, source, source_size, target, finish and taken of each row of `docs`.
 
-    A source's documents stand in a shuffled queue (by a hash of the id), the whole queue `repeats` times over. An
+    A source's documents stand in a shuffled queue (by a hash of the id, or of the columns `shuffle_by`), the whole queue `repeats` times over. An
     entry's virtual finish time is the words of its source up to its end divided by the source's target. The mix
     takes entries by finish time, over all sources, until it holds `ratio` of all words; the last one is cut. `finish`
     is that of the first copy. Running sums are kept per source and hash range, with the ranges' totals before them,
     so no source is one task. To the driver come the totals of each source.
 
     Null texts have size 0, as have texts without words; these are taken 0 times (finish null). A null source is a
-    source of its own, the last. Rows that repeat an id are queued one by one. An empty table gives no rows.
+    source of its own, the last. Rows that repeat an id are queued one by one. Long texts are counted whole. An empty
+    table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = staged(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size")), "sizes")
+    hashed = F.shiftrightunsigned(F.xxhash64(*[F.col(c).cast("string") for c in shuffle_by or [id_col]], F.lit(seed)), 11)
+    rows = staged(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), hashed.alias("h")), "sizes")
     sums = rows.groupBy("source").agg(F.sum("size"), F.count("*")).collect()
     sums = sorted((tuple(r) for r in sums), key=lambda r: (r[0] is None, r[0] or ""))
     own = [weights[i % len(weights)] for i in range(len(sums))]
@@ -93,8 +96,7 @@ def mixed(
     plan = [(r[0], i, int(r[1]), goal[i], max(1, r[2] // BUCKET_ROWS)) for i, r in enumerate(sums)]
     known = spark.createDataFrame(plan, "of string, sid int, source_size long, target double, buckets long")
     rows = rows.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    hashed = F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed))
-    rows = rows.withColumn("h", F.shiftrightunsigned(hashed, 11)).withColumn("bucket", F.floor(F.col("h") / float(1 << 53) * F.col("buckets")))
+    rows = rows.withColumn("bucket", F.floor(F.col("h") / float(1 << 53) * F.col("buckets")))
     ahead = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("s"))
     before = staged(before.select("sid", "bucket", F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("ahead")), "ahead")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cargohold.llm import decontaminate, language_id, mixing, near_dedup, orc_tokens
-from cargohold.llm.common import read_table, staged
+from cargohold.llm.common import numbered, read_table, staged
 from cargohold.llm.queries import TOKENIZER
 from cargohold.session import scratch_dir, ship_package
 
@@ -26,17 +26,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group (2), the one with the least id. Repeated rows of it leave one; null ids stay."""
+    """One row of each group (2), the one with the least id; a null id is the last. Rows are told apart by a number of
+    their own, so of rows with one id and different texts only those linked to another row go."""
     ship_package(spark)
-    kept = near_dedup.near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    alone = docs.filter(F.col("doc_id").isNull())
-    single = docs.filter(F.col("doc_id").isNotNull())
-    repeated = staged(single.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_repeated")), "repeated")
-    stays = single.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    if repeated.isEmpty():
-        return stays.union(alone)
-    twice = stays.join(repeated, F.col("doc_id") == F.col("_repeated"), "left_semi").dropDuplicates(["doc_id"])
-    return stays.join(repeated, F.col("doc_id") == F.col("_repeated"), "left_anti").union(twice).union(alone)
+    rows, row = numbered(docs, "near-rows")
+    found = near_dedup.near_duplicates(rows, id_col=row).select(F.col("doc_id").alias("_n"), F.col("component_id").alias("_c"))
+    ids = found.join(rows.select(F.col(row).alias("_n"), F.col("doc_id").alias("_id")), "_n")
+    first = ids.groupBy("_c").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_n").alias("n"))).alias("m"))
+    keep = staged(first.select(F.col("m.n").alias("_keep")), "near-kept")
+    return rows.join(keep, F.col(row) == F.col("_keep"), "left_semi").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +44,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as the mix takes them (10), once for each copy. A null id has no place in the mix."""
+    """Documents as the mix takes them (10), once for each copy. Null and repeated ids are queued row by row."""
     ship_package(spark)
-    docs = docs.filter(F.col("doc_id").isNotNull())
-    return mixing.sequence(docs, mixing.mixed(docs))
+    rows, row = numbered(docs, "mix-rows")
+    mix = mixing.mixed(rows, id_col=row, shuffle_by=["doc_id", "text"])
+    return mixing.sequence(rows, mix, id_col=row).select(docs.columns)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

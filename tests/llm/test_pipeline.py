@@ -35,3 +35,26 @@ def test_every_stage_takes_odd_rows(spark, tmp_path):
         out = corpus_pipeline.run(spark, f"{tmp_path}/{len(given)}")
         assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
         assert out.filter("doc_id = 3").count() == 0
+
+
+def test_rows_are_told_apart_by_more_than_their_ids(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row string"
+    a, b, c = ("a b c d e f g h i j", "q w e r t z u i o p", "y x c v b n m l k j")
+    rows = [(1, a), (1, b), (2, b), (3, c), (None, c), (None, "other words that stand alone in here"), (4, a), (4, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in rows], schema)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, a), (1, b), (3, c), (None, rows[5][1])], key=str)
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF)
+    assert mixed.columns == docs.columns
+    taken = [(r.doc_id, r.text) for r in mixed.collect()]
+    # Half as much again as there is, so each row once or twice, and those without an id too.
+    assert len(taken) in (12, 13) and set(taken) == set(rows)
+    assert all(rows.count(r) <= taken.count(r) <= 2 * rows.count(r) for r in rows)
+    assert taken == [(r.doc_id, r.text) for r in corpus_pipeline.mix_sources(spark, docs.repartition(3), SF).collect()]
+
+
+def test_null_ids_reach_the_token_files(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "the cat and the dog of the house", "en", "a", 1), (5, "a dog is in the house and the cat is out", "en", "a", 1)] * 3, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.write_token_ids(spark, corpus_pipeline.mix_sources(spark, docs, SF), SF)
+    assert {r.doc_id for r in out.collect()} == {None, 5}
