@@ -48,12 +48,27 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """`docs`, written with a number for each row, and the number's column: the identity of rows whose ids may repeat or be null."""
+#: Numbers given to rows lie below this; ids there are numbered too.
+NUMBERS_BELOW = -(1 << 62)
+
+
+def identified(docs: DataFrame, label: str, id_col: str = "doc_id") -> tuple[DataFrame, str, DataFrame | None]:
+    """`docs` with a column that tells its rows apart, that column's name, and (number, id) of the rows that were given a number.
+
+    That is the id where it is neither null nor repeated. Only the other rows are written, with a number each.
+    """
     name = "_row"
     while name in docs.columns:
         name += "_"
-    return staged(docs.withColumn(name, F.monotonically_increasing_id()), label), name
+    odd = docs.groupBy(F.col(id_col).alias("_odd")).agg(F.count("*").alias("_n"))
+    odd = staged(odd.filter(F.col("_odd").isNull() | (F.col("_n") > 1) | (F.col("_odd") < NUMBERS_BELOW)).select("_odd"), f"{label}-odd")
+    if odd.isEmpty():
+        return docs.withColumn(name, F.col(id_col)), name, None
+    same, known = F.col(id_col).eqNullSafe(F.col("_odd")), broadcast_if(odd, 100_000)
+    rows = docs.join(known, same, "left_semi").withColumn(name, F.lit(NUMBERS_BELOW) - 1 - F.monotonically_increasing_id())
+    rows = staged(rows, label)
+    rest = docs.join(known, same, "left_anti").withColumn(name, F.col(id_col))
+    return rest.union(rows), name, rows.select(F.col(name).alias("number"), F.col(id_col).alias("id"))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cargohold.llm import decontaminate, language_id, mixing, near_dedup, orc_tokens
-from cargohold.llm.common import numbered, read_table, staged
+from cargohold.llm.common import identified, read_table, staged
 from cargohold.llm.queries import TOKENIZER
 from cargohold.session import scratch_dir, ship_package
 
@@ -26,13 +26,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group (2), the one with the least id; a null id is the last. Rows are told apart by a number of
-    their own, so of rows with one id and different texts only those linked to another row go."""
+    """One row of each group (2), the one with the least id; a null id is the last. Rows whose id is null or
+    repeated are told apart by numbers, so of rows with one id and different texts only those linked to another row go."""
     ship_package(spark)
-    rows, row = numbered(docs, "near-rows")
+    rows, row, given = identified(docs, "near-rows")
     found = near_dedup.near_duplicates(rows, id_col=row).select(F.col("doc_id").alias("_n"), F.col("component_id").alias("_c"))
-    ids = found.join(rows.select(F.col(row).alias("_n"), F.col("doc_id").alias("_id")), "_n")
-    first = ids.groupBy("_c").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_n").alias("n"))).alias("m"))
+    named = found.withColumn("_id", F.col("_n"))
+    if given is not None:
+        named = found.join(given, F.col("_n") == F.col("number"), "left")
+        named = named.select("_n", "_c", F.when(F.col("number").isNull(), F.col("_n")).otherwise(F.col("id")).alias("_id"))
+    first = named.groupBy("_c").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_n").alias("n"))).alias("m"))
     keep = staged(first.select(F.col("m.n").alias("_keep")), "near-kept")
     return rows.join(keep, F.col(row) == F.col("_keep"), "left_semi").select(docs.columns)
 
@@ -46,7 +49,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as the mix takes them (10), once for each copy. Null and repeated ids are queued row by row."""
     ship_package(spark)
-    rows, row = numbered(docs, "mix-rows")
+    rows, row, _ = identified(docs, "mix-rows")
     mix = mixing.mixed(rows, id_col=row, shuffle_by=["doc_id", "text"])
     return mixing.sequence(rows, mix, id_col=row).select(docs.columns)
 
