@@ -32,6 +32,8 @@ class JobConfig:
     connections_per_task: int = 1
     #: Deal requests out by their expected bytes instead of by hash; pays where sizes differ and hosts are few.
     schedule_by_size: bool = False
+    #: Keep originals in packs with a log of versions (`sinks.packs`) instead of one file each.
+    packed: bool = False
 
     def __post_init__(self) -> None:
         if self.dataset_version not in DATASET_VERSIONS:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from cargohold.config import JobConfig
 from cargohold.functions.paths import download_params, resized_path
+from cargohold.operators import changes
 from cargohold.operators.audit import plan_fetch, stat_paths
 from cargohold.operators.classify import (
     FAILURE_BODY_LIMIT,
@@ -31,6 +32,7 @@ from cargohold.operators.images import resize_payloads
 from cargohold.operators.route import if_then_else
 from cargohold.schemas import IMAGE_LIST_COLUMNS, RESPONSE, SUBSETS
 from cargohold.session import qualify, scratch_dir, shuffle_partitions
+from cargohold.sinks import packs
 from cargohold.sinks.files import spool, write_files
 from cargohold.sinks.results import write_results
 from cargohold.sources.fetch import RESPONSE_KINDS, Fetcher, Response, fetch
@@ -48,6 +50,8 @@ RESULT_COLUMNS = [
     "failure_details",
 ]
 
+PACKED_COLUMNS = ["md5", "pack", "offset"]
+
 
 def target_owners(rows: DataFrame, cfg: JobConfig, top_dir: str, done: DataFrame | None = None) -> DataFrame:
     """(dest_path, target_owner) of the paths that several URLs of the list lead to: one URL owns the path.
@@ -77,7 +81,9 @@ def plan_images(rows: DataFrame, cfg: JobConfig, top_dir: str, owners: DataFrame
     params = download_params(rows.select(*IMAGE_LIST_COLUMNS, *extra), cfg, top_dir)
     target = resized_path(F.col("dest_path"), cfg.resized_images_subdirectory, cfg.resize_output_format)
     params = params.withColumn("resized_path", target).join(owners, "dest_path", "left")
-    planned = plan_fetch(params, None, cfg.check_md5_if_exists, cfg.always_download)
+    # The log of a packed store has sizes and digests: a join instead of a request for each row.
+    listing = packs.entries(rows.sparkSession, packed_store(cfg)).select("path", "length", "md5") if cfg.packed else None
+    planned = plan_fetch(params, listing, cfg.check_md5_if_exists, cfg.always_download)
     # A valid copy has the expected size.
     planned = planned.withColumn("stored_size", F.when(~F.col("need_fetch"), F.col("expected_size")))
     if not cfg.resize_images:
@@ -86,6 +92,30 @@ def plan_images(rows: DataFrame, cfg: JobConfig, top_dir: str, owners: DataFrame
     return sized.select(*planned.columns, (F.coalesce("_resized", F.lit(0)) == 0).alias("need_resize"))
 
 
+def packed_store(cfg: JobConfig) -> str:
+    return f"{cfg.root}/packed"
+
+
+def read_packed(df: DataFrame, store: str, path: str = "dest_path") -> DataFrame:
+    """`read_stored` of a packed store."""
+    held = packs.entries(df.sparkSession, store).select(F.col("path").alias("_path"), "pack", "offset", "length")
+    got = packs.read_ranges(df.join(held, F.col(path) == F.col("_path"), "left").drop("_path"), store)
+    cells = {"body": F.col("bytes"), "transport_error": F.col("error"), "attempts": F.lit(0), "size_limit_hit": F.lit(False)}
+    return got.select(*df.columns, *[cells.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RESPONSE.fields])
+
+
+def _log_packed(rows: DataFrame, store: str) -> None:
+    """Make what the rows have packed known, unless it is: a run may have ended between the two."""
+    spark, log = rows.sparkSession, qualify(rows.sparkSession, f"{store}/log")
+    saved = rows.filter("pack IS NOT NULL").select(
+        F.col("dest_path").alias("path"), F.col("bytes_written").alias("length"), "md5", "pack", "offset"
+    )
+    logged = changes.entries(spark, log, -1, changes.latest_version(spark, log)).select("pack", "offset")
+    missing = saved.join(logged, ["pack", "offset"], "left_anti")
+    if not missing.isEmpty():
+        changes.append(missing, log)
+
+
 def _no_response(df: DataFrame) -> DataFrame:
     return df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in RESPONSE.fields])
 
@@ -139,7 +169,7 @@ def acquire(planned: DataFrame, cfg: JobConfig, fetcher: Fetcher) -> DataFrame:
         return coded.withColumn("failure_details", failure_message(small))
 
     def stored(df: DataFrame) -> DataFrame:
-        got = read_stored(df)
+        got = read_packed(df, packed_store(cfg)) if cfg.packed else read_stored(df)
         code = F.when(F.col("transport_error").isNotNull(), "ImageIO")
         return got.withColumn("failure_code", code).withColumn("failure_details", F.col("transport_error"))
 
@@ -175,7 +205,12 @@ def store_and_resize(
     out = rows
     save = ok & F.col("need_fetch") & F.lit(cfg.save_original_images)
     out = out.withColumn("_save_to", F.when(save, F.col("dest_path")))
-    out = write_files(out, "_save_to", "body", out.columns, "_saved", "_save_error")
+    if cfg.packed:
+        out = out.withColumn("md5", F.when(save, F.md5("body")))
+        out = packs.pack_payloads(out, "_save_to", "body", packed_store(cfg), out.columns)
+        out = out.withColumnsRenamed({"bytes_written": "_saved", "error": "_save_error"})
+    else:
+        out = write_files(out, "_save_to", "body", out.columns, "_saved", "_save_error")
     have = F.when(ok & ~F.col("need_fetch"), F.coalesce(F.octet_length("body").cast("long"), F.col("stored_size")))
     out = out.withColumn("bytes_written", F.coalesce("_saved", have, F.lit(0)))
     out = out.withColumn("_image", F.when(ok & F.col("need_resize"), F.col("body"))).drop("body", "_save_to")
@@ -198,7 +233,7 @@ def store_and_resize(
     final = out.withColumn("_late_code", code).withColumn("_late", F.coalesce("_save_error", late))
     return final.withColumn("failure_details", F.coalesce("failure_details", F.when(ok, F.col("_late")))).withColumn(
         "failure_code", F.coalesce("failure_code", "_late_code")
-    ).select(*RESULT_COLUMNS, *[c for c in ("row_key",) if c in rows.columns])
+    ).select(*RESULT_COLUMNS, *[c for c in ("row_key",) if c in rows.columns], *(PACKED_COLUMNS if cfg.packed else []))
 
 
 def _finished(spark: SparkSession, folder: str) -> DataFrame | None:
@@ -256,6 +291,8 @@ def ingest_images(
         if not odd.isEmpty():
             raise ValueError(f"{target} holds results of rows that this list lacks or counts otherwise")
         pending = keyed.join(done.select("row_key").distinct(), "row_key", "left_anti")
+        if cfg.packed:
+            _log_packed(done, packed_store(cfg))
     owners = spool(target_owners(keyed, cfg, top_dir, done), scratch_dir(spark, "owners"))
     # Lists come in few files: spread the rows, however they repeat, before any per-row file access.
     spread = pending.repartition(shuffle_partitions(spark))
@@ -267,12 +304,14 @@ def ingest_images(
         if planned.isEmpty():
             continue
         # The wide chain runs once; everything later reads the narrow table it leaves.
-        spool(store_and_resize(acquire(planned, cfg, fetcher), cfg, resizer), f"{target}/rows/part={uuid.uuid4().hex}")
+        made = spool(store_and_resize(acquire(planned, cfg, fetcher), cfg, resizer), f"{target}/rows/part={uuid.uuid4().hex}")
+        if cfg.packed:
+            _log_packed(made, packed_store(cfg))
     stored = _finished(spark, f"{target}/rows")
     if stored is None:
         planned = plan_images(keyed, cfg, top_dir, owners)
         stored = spool(store_and_resize(acquire(planned, cfg, fetcher), cfg, resizer), f"{target}/rows/part=none")
-    stored = stored.drop("row_key", "part")
+    stored = stored.drop("row_key", "part", *PACKED_COLUMNS)
     write_results(stored, f"{target}/csv", SUBSETS, stored=True)
     return stored
 

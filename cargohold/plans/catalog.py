@@ -25,13 +25,15 @@ from cargohold.functions import digest as D
 from cargohold.functions import paths as P
 from cargohold.functions import text as X
 from cargohold.operators import aggregate as A
-from cargohold.operators import audit, classify, digests, images, pipe, route
+from cargohold.operators import audit, changes, classify, digests, images, pipe, route
 from cargohold.operators import sequence as Q
 from cargohold.operators.skew import SkewPolicy
 from cargohold.plans.assets import ingest_images, report
+from cargohold.plans.assets import packed_store as packed_store_of
 from cargohold.plans.metadata import image_list_from_archive
 from cargohold.schemas import FAILURE_COLUMNS, FAILURE_DETAILS, IMAGE_LIST_COLUMNS, SUBSETS
 from cargohold.session import scratch_dir
+from cargohold.sinks import packs
 from cargohold.sinks.files import cached_stage, extract_tar, spool, write_files
 from cargohold.sinks.results import failure_rows, result_line, success_rows, write_results
 from cargohold.sources import tar as TAR
@@ -244,6 +246,22 @@ def plan_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.plan_fetch(wanted, stored).select("doc_id", "dest_path", "need_fetch", "reason")
 
 
+@query
+def store_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan against the first of three versions of a store, brought up to date from the other two."""
+    log = scratch_dir(spark, "log")
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "lang", F.col("doc_id").cast("string")))
+    wanted = docs.select("doc_id", F.col("path").alias("dest_path"), F.col("n_chars").alias("expected_size"), _expected_md5().alias("expected_md5"))
+    held = docs.select("doc_id", "path", F.octet_length("text").cast("bigint").alias("length"), F.md5("text").alias("md5"))
+    first = changes.append(held.filter("doc_id % 3 <> 0"), log)
+    plan = spool(audit.plan_fetch(wanted, changes.state(spark, log)), scratch_dir(spark, "plan"))
+    changes.append(held.filter("doc_id % 3 = 0 AND doc_id % 2 = 0"), log)
+    changes.fold(spark, log)
+    cut = held.withColumn("length", F.when(F.col("doc_id") % 7 == 1, F.col("length") - 1).otherwise(F.col("length")))
+    changes.append(cut.filter("doc_id % 7 < 2").withColumn("deleted", F.col("doc_id") % 7 == 0), log)
+    return changes.replan(wanted, plan, log, first).select("doc_id", "dest_path", "need_fetch", "reason")
+
+
 @query
 def verify_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("name", F.col("doc_id").cast("string"))
@@ -573,6 +591,20 @@ def tar_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select(_entry_id(), "bytes_written", "digest")
 
 
+@query
+def packed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in packs: stored, partly replaced and deleted, compacted, vacuumed and read back by range."""
+    folder = scratch_dir(spark, "packs")
+    files = document_files(spark, sf_dir).select("doc_id", "name", "bytes")
+    packs.put(files, "name", "bytes", folder)
+    later = F.when(F.col("doc_id") % 5 != 0, F.concat("bytes", F.lit(b"!")))
+    packs.put(files.filter("doc_id % 5 = 0 OR doc_id % 2 = 0").withColumn("bytes", later), "name", "bytes", folder)
+    packs.compact(spark, folder, least=0.9)
+    packs.vacuum(spark, folder)
+    found = packs.get(spark, folder)
+    return found.select(_entry_id("path"), "path", "length", F.md5("bytes").alias("digest"), "error")
+
+
 @query
 def gunzip_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = gzip_column(document_files(spark, sf_dir).select("doc_id", "bytes"), "bytes")
@@ -675,6 +707,18 @@ def ingest_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.select("ImageID", "Subset", "need_fetch", "reason", "bytes_written", "failure_code", "failure_details")
 
 
+@query
+def ingest_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The image job twice over a packed store: the second run plans from the log, and what it holds is read back."""
+    rows, fetcher = _hosted(spark, sf_dir)
+    root = scratch_dir(spark, "assets")
+    cfg = JobConfig(root=root, save_original_images=True, resize_images=False, max_total_connections=8, packed=True)
+    ingest_images(rows, cfg, TOP_DIR, fetcher, results=f"{root}/first")
+    again = ingest_images(rows, cfg, TOP_DIR, fetcher, results=f"{root}/second")
+    held = packs.get(spark, packed_store_of(cfg)).select(F.col("path").alias("dest_path"), F.md5("bytes").alias("digest"))
+    return again.join(held, "dest_path", "left").select("ImageID", "need_fetch", "reason", "bytes_written", "failure_code", "digest")
+
+
 @query
 def ingest_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The image job over a third of its list, continued over the whole list in another number of waves."""

@@ -357,6 +357,17 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, i AS chunk_pos, octet_length(p) AS n_bytes, md5(p) AS piece_md5, i = 0 AS "first",
               (i + 1) * 512 >= n AS "last" FROM cut""",
         "tar_extract": "SELECT doc_id, octet_length(encode(text)) AS bytes_written, md5(text) AS digest FROM documents",
+        "store_changes": """
+            WITH d AS (SELECT doc_id, lang || '/' || doc_id AS dest_path, n_chars, octet_length(encode(text)) AS n,
+                CASE WHEN doc_id % 7 = 0 THEN false ELSE doc_id % 7 = 1 OR doc_id % 3 <> 0 OR doc_id % 2 = 0 END AS held FROM documents),
+            r AS (SELECT doc_id, dest_path, CASE WHEN NOT held THEN 'missing'
+                WHEN n_chars <> n - CASE WHEN doc_id % 7 = 1 THEN 1 ELSE 0 END THEN 'size'
+                WHEN doc_id % 17 = 0 THEN 'md5' ELSE 'valid' END AS reason FROM d)
+            SELECT doc_id, dest_path, reason <> 'valid' AS need_fetch, reason FROM r""",
+        "packed_store": """
+            WITH d AS (SELECT doc_id, lang || '/' || source || '/' || doc_id || '.txt' AS path,
+                CASE WHEN doc_id % 2 = 0 THEN text || '!' ELSE text END AS t FROM documents WHERE doc_id % 5 <> 0)
+            SELECT doc_id, path, octet_length(encode(t)) AS length, md5(t) AS digest, CAST(NULL AS VARCHAR) AS error FROM d""",
         "gunzip_payloads": "SELECT doc_id, md5(text) AS digest, CAST(NULL AS VARCHAR) AS error FROM documents",
         "cached_documents": _digest("md5"),
         "image_lists_from_archives": f"WITH {RESPONSES} SELECT {LIST_COLUMNS} FROM resp",
@@ -385,6 +396,14 @@ def oracle_sql() -> dict[str, str]:
                 WHEN 'InvalidSize' THEN url || ': server size (' || n || ') doesn''t match expected size (' || n || '0)!'
                 WHEN 'MD5SumMismatch' THEN 'md5 sum mismatch' END AS failure_details
             FROM j""",
+        "ingest_packed": f"""
+            WITH {RESPONSES},
+            j AS (SELECT *, CASE WHEN page_id % 7 = 3 THEN 'RequestFailed' WHEN page_id % 11 = 0 THEN 'InvalidSize'
+                  WHEN page_id % 17 = 0 THEN 'MD5SumMismatch' END AS failure_code FROM resp)
+            SELECT "ImageID", failure_code IS NOT NULL AS need_fetch,
+              CASE WHEN failure_code IS NULL THEN 'valid' ELSE 'missing' END AS reason,
+              CASE WHEN failure_code IS NULL THEN n ELSE 0 END AS bytes_written, failure_code,
+              CASE WHEN failure_code IS NULL THEN md5(html) END AS digest FROM j""",
         "ingest_resumed": f"""
             WITH {RESPONSES},
             j AS (SELECT *, 'https://assets.example.com/' || lpad(CAST(page_id AS VARCHAR), 6, '0') || '.jpg' AS url,
