@@ -96,6 +96,28 @@ def pack_tars(df: DataFrame, folder: str) -> DataFrame:
     return df.select("name", "bytes").mapInArrow(run, "path string")
 
 
+def pack_gzips(df: DataFrame, folder: str) -> DataFrame:
+    """Pack `doc_id, bytes` rows into one gzip file per task, a member for each; returns `doc_id, path, start`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, ids, starts, at = f"{folder}/part-{TaskContext.get().partitionId():05d}.gz", [], [], 0
+
+        def members() -> Iterator[bytes]:
+            nonlocal at
+            for batch in batches:
+                for key, value in zip(column_values(batch, "doc_id"), column_values(batch, "bytes")):
+                    ids.append(key)
+                    starts.append(at)
+                    packed = gzip.compress(value, mtime=0)
+                    at += len(packed)
+                    yield packed
+
+        write_atomic(path, members())
+        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([path] * len(ids), pa.string()), pa.array(starts, pa.int64())], names=["doc_id", "path", "start"])
+
+    return df.select("doc_id", "bytes").mapInArrow(run, "doc_id bigint, path string, start bigint")
+
+
 def csv_field(value: str) -> str:
     return '"' + value.replace('"', '""') + '"'
 

@@ -17,6 +17,7 @@ from cargohold.fixtures import (
     gray_images,
     gzip_column,
     image_responses,
+    pack_gzips,
     pack_lists,
     pack_tars,
     table,
@@ -39,6 +40,7 @@ from cargohold.sinks.results import failure_rows, result_line, success_rows, wri
 from cargohold.sources import tar as TAR
 from cargohold.sources.fetch import FileFetcher, Response, TransportError, fetch, fetch_table
 from cargohold.sources.files import gunzip
+from cargohold.sources.gzip_members import member_index, read_members
 from cargohold.sources.image_list import header_ok, read_image_list
 from cargohold.sources.ledger import answers, fetch_due
 from cargohold.sources.tar_source import read_archives, stream_archives
@@ -611,6 +613,20 @@ def gunzip_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gunzip(packed, "bytes").select("doc_id", F.md5("bytes").alias("digest"), "error")
 
 
+@query
+def gunzip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with a gzip member for each document, found in windows of 64 KiB and inflated in parallel."""
+    folder = scratch_dir(spark, "members")
+    packed = spool(pack_gzips(document_files(spark, sf_dir).repartition(4, "doc_id"), folder), scratch_dir(spark, "members-log"))
+    index = spool(member_index(packed.select("path").distinct(), window=64 * 1024), scratch_dir(spark, "members-index"))
+    pieces = read_members(index)
+    digested = digests.digest_chunks(pieces, ["path", "member"], ["pos"], "bytes")
+    # A member without bytes has no piece.
+    held = index.join(digested.drop("n_bytes"), ["path", "member"], "left")
+    digest = F.coalesce("digest", F.md5(F.lit(b"")))
+    return packed.join(held, ["path", "start"], "left").select("doc_id", "n_bytes", digest.alias("digest"), "error")
+
+
 @query
 def cached_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stage that is built once and then read."""

@@ -369,6 +369,8 @@ def oracle_sql() -> dict[str, str]:
                 CASE WHEN doc_id % 2 = 0 THEN text || '!' ELSE text END AS t FROM documents WHERE doc_id % 5 <> 0)
             SELECT doc_id, path, octet_length(encode(t)) AS length, md5(t) AS digest, CAST(NULL AS VARCHAR) AS error FROM d""",
         "gunzip_payloads": "SELECT doc_id, md5(text) AS digest, CAST(NULL AS VARCHAR) AS error FROM documents",
+        "gunzip_members": """SELECT doc_id, octet_length(encode(text)) AS n_bytes, md5(text) AS digest,
+            CAST(NULL AS VARCHAR) AS error FROM documents""",
         "cached_documents": _digest("md5"),
         "image_lists_from_archives": f"WITH {RESPONSES} SELECT {LIST_COLUMNS} FROM resp",
         "fetch_payloads": f"""WITH {RESPONSES}
