@@ -341,6 +341,9 @@ def oracle_sql() -> dict[str, str]:
             CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'validation' ELSE 'test' END AS "Subset",
             source AS "Author", text AS "Title", CASE WHEN lang = 'en' THEN 'failure' ELSE 'success' END AS outcome
             FROM documents""",
+        "repaired_headers": """SELECT CAST(doc_id AS VARCHAR) AS "ImageID",
+            CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'validation' ELSE 'test' END AS "Subset",
+            source AS "Author", text AS "Title" FROM documents""",
         "header_audit": """SELECT CASE WHEN lang = 'en' THEN 'failure' ELSE 'success' END AS outcome,
             bool_and(lang <> 'en') AS all_ok, bool_or(lang <> 'en') AS any_ok FROM documents GROUP BY 1""",
         "tar_entries": """SELECT doc_id, lang || '/' || source || '/' || doc_id || '.txt' AS entry_name,

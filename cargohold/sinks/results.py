@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cargohold.functions.text import csv_quote
 from cargohold.schemas import FAILURE_COLUMNS, FAILURE_DETAILS, IMAGE_LIST_COLUMNS
-from cargohold.session import scratch_dir
+from cargohold.session import scratch_dir, shuffle_partitions
 from cargohold.sinks.files import spool
-from cargohold.storage import resolve
+from cargohold.sources.files import listing
+from cargohold.storage import blocks, column_values, file_size, resolve, write_atomic
 
 CSV_WRITE_OPTIONS = {
     "header": "true",
@@ -83,3 +87,63 @@ def _ensure_header(folder: str, columns: list[str]) -> None:
         filesystem.create_dir(name, recursive=True)
         with filesystem.open_output_stream(f"{name}/part-header.csv") as stream:
             stream.write(header)
+
+
+def repair_headers(spark: SparkSession, path: str | list[str], columns: list[str], known: list[str] | None = None) -> DataFrame:
+    """Give every CSV file under `path` the header `columns`; returns `path, action, error`, one row for each file.
+
+    `action` is `ok`, `written` (the file was empty), `added` (it began with a row), `replaced` (it began with another
+    header of as many fields) or `refused`. No row is ever lost: a file is copied behind its new header under another
+    name, compared by size and only then renamed, so a killed task leaves the old file or the new one. A header of
+    another number of fields, or of the same names in another order, would give the rows other columns: such a file is
+    left as it is, with an `error`. A first line is a header if its first field or half of its fields are among
+    `known` (by default `columns` and those of both result tables); a row that reads like this is taken for one.
+    Lazy, like every sink with result rows: store them once. A second run finds all files `ok`.
+    """
+    names = {c.strip('"') for c in (known if known is not None else [*columns, *IMAGE_LIST_COLUMNS, *FAILURE_COLUMNS])}
+    head = (",".join(columns) + "\n").encode()
+
+    def first_line(place: str) -> bytes:
+        filesystem, name = resolve(place)
+        line = b""
+        with filesystem.open_input_stream(name, compression=None) as stream:
+            for block in blocks(stream, 4096):
+                line += block
+                if b"\n" in block:
+                    return line[: line.index(b"\n") + 1]
+        return line
+
+    def body(place: str, skip: int) -> Iterator[bytes]:
+        yield head
+        filesystem, name = resolve(place)
+        with filesystem.open_input_file(name) as stream:
+            stream.seek(skip)
+            yield from blocks(stream)
+
+    def repair(place: str) -> tuple[str, str | None]:
+        try:
+            line, size = first_line(place), file_size(place)
+            if line.rstrip(b"\r\n") == head.rstrip():
+                return "ok", None
+            fields = [f.strip('"') for f in line.decode("utf-8-sig", "replace").rstrip("\r\n").split(",")]
+            skip = 0
+            if fields[0] in names or 2 * sum(f in names for f in fields) > len(fields):
+                if len(fields) != len(columns):
+                    return "refused", f"header of {len(fields)} fields"
+                if sorted(fields) == sorted(columns) and fields != columns:
+                    return "refused", "header in another order"
+                skip = len(line)
+            write_atomic(place, body(place, skip), size - skip + len(head))
+        except OSError as exc:
+            return "refused", f"{type(exc).__name__}: {exc}"
+        return ("written" if not size else "replaced" if skip else "added"), None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = column_values(batch, "path")
+            actions, errors = zip(*map(repair, places)) if places else ((), ())
+            cells = [pa.array(c, pa.string()) for c in (places, actions, errors)]
+            yield pa.record_batch(cells, names=["path", "action", "error"])
+
+    files = listing(spark, path).filter("path LIKE '%.csv'").select("path")
+    return files.repartition(shuffle_partitions(spark), "path").mapInArrow(run, "path string, action string, error string")

@@ -94,8 +94,11 @@ def digest_file(path: str | None, algorithm: str = "MD5") -> str | None:
     return state.hexdigest()
 
 
-def write_atomic(path: str, data: Iterator[bytes]) -> int:
-    """Write to a temporary name, then rename: a repeated or killed task leaves no half-written file."""
+def write_atomic(path: str, data: Iterator[bytes], expected: int | None = None) -> int:
+    """Write to a temporary name, then rename: a repeated or killed task leaves no half-written file.
+
+    With `expected` nothing is renamed unless that many bytes were written.
+    """
     filesystem, name = resolve(path)
     folder, _, base = name.rpartition("/")
     if folder:
@@ -107,6 +110,12 @@ def write_atomic(path: str, data: Iterator[bytes]) -> int:
             for block in data:
                 stream.write(block)
                 written += len(block)
+        if expected is not None and written != expected:
+            raise OSError(f"expected {expected} bytes, wrote {written}")
+        if filesystem is LOCAL:
+            # Spark keeps a checksum beside a local file that it wrote; it is not that of the new content.
+            with suppress(FileNotFoundError):
+                filesystem.delete_file(f"{folder}/.{base}.crc" if folder else f".{base}.crc")
         filesystem.move(temporary, name)
     except BaseException:
         with suppress(OSError):

@@ -1,12 +1,21 @@
 """The log of versions and the packed store."""
 
 import os
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from cargohold.operators import audit, changes
+from cargohold.config import JobConfig
+from cargohold.plans import assets
+from cargohold.plans.assets import ingest_images
+from cargohold.schemas import FAILURE_COLUMNS, IMAGE_LIST_COLUMNS
 from cargohold.sinks import packs
+from cargohold.sinks.results import repair_headers
+from cargohold.sources.fetch import FileFetcher
+from cargohold.sources.image_list import read_image_list
+from test_jobs import LIST_SCHEMA, SHORT, mini
 
 
 def rows(spark, *cells):
@@ -138,3 +147,57 @@ def test_payloads_are_evaluated_once(spark, tmp_path):
     df = payloads(spark, [(f"n{i}", b"x") for i in range(20)]).mapInArrow(count, "name string, bytes binary")
     packs.put(df, "name", "bytes", f"{tmp_path}/store")
     assert seen.value == 20 and packs.entries(spark, f"{tmp_path}/store").filter(F.col("md5").isNull()).count() == 0
+
+
+def test_headers_are_repaired_and_no_row_is_lost(spark, tmp_path):
+    head = ",".join(IMAGE_LIST_COLUMNS)
+    row = lambda i: f'{i},train,u,,l,,"a, b","t\nu",1,m,'
+    old = ",".join("Checksum" if c == "OriginalMD5" else c for c in IMAGE_LIST_COLUMNS)
+    texts = {
+        "ok.csv": f"{head}\n{row(1)}\n", "bare.csv": f"{row(2)}\n{row(3)}\n", "empty.csv": "", "old.csv": f"{old}\r\n{row(4)}",
+        "long.csv": f"{row(5)}\n" * 40_000, "other.csv": ",".join(reversed(IMAGE_LIST_COLUMNS)) + f"\n{row(6)}\n",
+        "failure.csv": ",".join(FAILURE_COLUMNS) + f"\n{row(7)},why\n", "note.txt": "text", "headonly.csv": head,
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text, newline="")
+    done = {os.path.basename(r.path): (r.action, r.error) for r in repair_headers(spark, str(tmp_path), IMAGE_LIST_COLUMNS).collect()}
+    assert done == {
+        "ok.csv": ("ok", None), "bare.csv": ("added", None), "empty.csv": ("written", None), "old.csv": ("replaced", None), "long.csv": ("added", None),
+        "other.csv": ("refused", "header in another order"), "failure.csv": ("refused", "header of 12 fields"), "headonly.csv": ("ok", None),
+    }
+    for name in ("other.csv", "failure.csv", "note.txt", "ok.csv"):
+        assert (tmp_path / name).read_text(newline="") == texts[name]
+    assert not [n for n in os.listdir(tmp_path) if n.startswith(".") and not n.endswith(".crc")]
+    files = [str(tmp_path / n) for n in ("ok.csv", "bare.csv", "empty.csv", "old.csv", "long.csv")]
+    ids = Counter(r.ImageID for r in read_image_list(spark, files).select("ImageID").collect())
+    assert ids == {"1": 1, "2": 1, "3": 1, "4": 1, "5": 40_000}
+    again = {r.action for r in repair_headers(spark, files, IMAGE_LIST_COLUMNS).collect()}
+    assert again == {"ok"}
+
+
+def test_image_job_over_packs_resumes(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path)
+    rows, codes = mini(folder)
+    df = spark.createDataFrame(rows, LIST_SCHEMA)
+    fetcher = FileFetcher("https://h.example.com/", f"{folder}/host")
+    cfg = JobConfig(root=f"{folder}/root", **{**SHORT, "resize_images": False, "save_original_images": True, "packed": True})
+    # The rows are stored, but the run ends before the log has them.
+    with monkeypatch.context() as patch:
+        patch.setattr(assets, "_log_packed", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            ingest_images(df, cfg, "top", fetcher, results=f"{folder}/out")
+    assert packs.entries(spark, assets.packed_store(cfg)).count() == 0
+    got = ingest_images(df, cfg, "top", fetcher, results=f"{folder}/out").collect()
+    assert {int(r.ImageID): r.failure_code for r in got} == {i: codes.get(i) for i in range(12)}
+    held = content(spark, assets.packed_store(cfg))
+    good = {r.dest_path: int(r.bytes_written) for r in got if r.failure_code is None}
+    assert {p: len(b) for p, b in held.items()} == good
+    # Everything is stored: a run of its own fetches only what failed, and a resizer is given the stored bytes.
+    again = ingest_images(df, cfg, "top", fetcher, results=f"{folder}/again").collect()
+    assert {int(r.ImageID) for r in again if not r.need_fetch} == {i for i in range(12) if i not in codes}
+    resize = JobConfig(root=f"{folder}/root", **{**SHORT, "resize_images": True, "save_original_images": True, "packed": True, "resize_output_format": "txt"})
+    made = ingest_images(df, resize, "top", fetcher, lambda image: b"small " + image, results=f"{folder}/resized").collect()
+    for r in (r for r in made if r.failure_code is None):
+        with open(r.resized_path, "rb") as stream:
+            assert stream.read() == b"small " + held[r.dest_path]
+    assert sum(r.failure_code is None for r in made) == len(good)
