@@ -7,6 +7,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +35,15 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
-#: Share of false discoveries among the strings called not random, within each class of lengths; lengths that bound the classes.
+#: Share of text among the strings called secrets, within each class of lengths; lengths that bound the classes.
 RATE, LENGTHS = 0.05, (20, 24, 32, 48, 64, 128)
+#: A string whose battery has a smaller p-value isn't drawn evenly; one in a hundred keys is lost by this.
+UNEVEN = 0.01
+#: Shares of letter pairs, single letters and even letters in the text model.
+PAIRS, SINGLES, EVEN = 0.6, 0.25, 0.15
+#: Chance that a name goes on with lower case, upper case, a digit or a sign, behind each of these: words are runs of
+#: one case that may begin with a capital, so a change is rarer than in a key.
+NEXT = {"lower": (0.80, 0.07, 0.06, 0.07), "upper": (0.45, 0.45, 0.05, 0.05), "digit": (0.08, 0.07, 0.78, 0.07), "sign": (0.45, 0.25, 0.20, 0.10)}
 #: Steps of the decimal logarithm of a p-value in the counts of a class, and the smallest.
 STEPS, SMALLEST = 20, 16
 _MAYBE = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -62,7 +70,8 @@ def not_random(s: str) -> float | None:
     """p-value of the string being drawn evenly from its encoding's alphabet: small for words and patterns.
 
     Chi squared of the letter counts, runs above and below the middle of the alphabet, and serial correlation of
-    neighbours, combined by the smallest of the three times three. None if no encoding fits.
+    neighbours and of letters up to eight apart, combined by the smallest of the three times three. None if no
+    encoding fits.
     """
     name = encoding(s)
     if name is None:
@@ -90,16 +99,79 @@ def not_random(s: str) -> float | None:
     else:
         ps.append(2.0 ** (1 - n))
     middle = sum(x) / n
-    power = sum((v - middle) ** 2 for v in x)
+    apart = [v - middle for v in x]
+    power = sum(v * v for v in apart)
     if power:
-        lag = sum((p - middle) * (q - middle) for p, q in zip(x, x[1:], strict=False)) / power
-        ps.append(2 * _upper_tail(abs(lag + 1 / n) * math.sqrt(n)))
+        lags = range(1, min(8, n // 4) + 1)
+        r = [sum(p * q for p, q in zip(apart, apart[k:], strict=False)) / power for k in lags]
+        ps.append(_chi_tail(n * (n + 2) * sum(v * v / (n - k) for k, v in zip(lags, r, strict=True)), len(lags)))
     else:
         ps.append(0.0)
-    # Distinct letters: words repeat few letters. Expected k(1 - (1 - 1/k)^n), variance bounded by its binomial part.
     return min(1.0, 3 * min(ps))
 
 
+_OTHER = 26
+_LETTER = np.full(256, _OTHER, np.uint16)
+for _i, _c in enumerate("abcdefghijklmnopqrstuvwxyz"):
+    _LETTER[ord(_c)] = _LETTER[ord(_c.upper())] = _i
+
+
+def pair_counts(text: str) -> np.ndarray:
+    """How often each letter follows each, without regard to case; 26 stands for anything else.
+
+    Strings that the battery tests are left out, or a table full of keys would teach the model its keys.
+    """
+    codes = _LETTER[np.frombuffer(CANDIDATE.sub(" ", text).encode("ascii", "replace"), np.uint8)]
+    return np.bincount(codes[:-1] * np.uint16(27) + codes[1:], minlength=27 * 27)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(27 * 27, np.int64)
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            if text:
+                total += pair_counts(text)
+    yield pa.record_batch({"pair": np.arange(27 * 27, dtype=np.int32), "n": total})
+
+
+def text_model(counts: np.ndarray) -> list[list[float]]:
+    """-log of the chance of each letter behind each (26: behind a digit, a sign or nothing), from `pair_counts`.
+
+    Letters and even chances are mixed in, so that pairs the table hasn't are possible, and an empty table is even.
+    """
+    pairs = counts.reshape(27, 27)[:, :26].astype(float)
+    single = pairs.sum(0)
+    single = single / single.sum() if single.sum() else np.full(26, 1 / 26)
+    behind = pairs.sum(1, keepdims=True)
+    pair = np.where(behind > 0, pairs / np.maximum(behind, 1), single)
+    return (-np.log(PAIRS * pair + SINGLES * single + EVEN / 26)).tolist()
+
+
+def is_text(s: str, model: list[list[float]]) -> float:
+    """p-value of the string being a name, path or word, under the text model: small for keys.
+
+    The chance of the string under the model over its chance when drawn evenly from its encoding's alphabet. Under the
+    model the inverse has mean 1, so it exceeds x with a chance of at most 1/x, whatever the string's length.
+    """
+    body, cost, before, kind = s.rstrip("="), 0.0, _OTHER, "sign"
+    for c in body:
+        now = "lower" if "a" <= c <= "z" else "upper" if "A" <= c <= "Z" else "digit" if c.isdigit() else "sign"
+        cost += _NEXT[kind][now]
+        if now in ("lower", "upper"):
+            letter = ord(c.lower()) - 97
+            cost += model[before][letter]
+            before = letter
+        else:
+            cost += _DIGIT if now == "digit" else _SIGN
+            before = _OTHER
+        kind = now
+    return min(1.0, math.exp(min(0.0, len(body) * math.log(len(ALPHABETS[encoding(s)])) - cost)))
+
+
+_NEXT = {k: dict(zip(NEXT, (-math.log(p) for p in v), strict=True)) for k, v in NEXT.items()}
+_DIGIT, _SIGN = math.log(10), math.log(4)
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the base kinds, by start and then kind."""
     found = []
@@ -155,25 +227,31 @@ def p_step(p: float) -> int:
     return min(STEPS * SMALLEST, int(-STEPS * math.log10(max(p, 1e-300))))
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        base, extra = [], []
-        for text in batch.column("text").to_pylist():
-            text = text or ""
-            base.append([{"kind": k, "start": a, "end": b} for a, b, k in base_spans(text)])
-            extra.append([{"start": a, "end": b, "len_class": length_class(b - a), "step": p_step(p)} for a, b, p in candidates(text)])
-        yield pa.record_batch({"doc_id": batch.column("doc_id"), "base": pa.array(base, _BASE), "extra": pa.array(extra, _EXTRA)})
+def _scanner(model: list[list[float]]):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            base, extra = [], []
+            for text in batch.column("text").to_pylist():
+                text = text or ""
+                base.append([{"kind": k, "start": a, "end": b} for a, b, k in base_spans(text)])
+                extra.append([
+                    {"start": a, "end": b, "len_class": length_class(b - a), "step": p_step(is_text(text[a:b], model)), "even": p >= UNEVEN}
+                    for a, b, p in candidates(text)
+                ])
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "base": pa.array(base, _BASE), "extra": pa.array(extra, _EXTRA)})
+
+    return scan
 
 
 _BASE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-_EXTRA = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("len_class", pa.int32()), ("step", pa.int32())]))
+_EXTRA = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("len_class", pa.int32()), ("step", pa.int32()), ("even", pa.bool_())]))
 _SCHEMA = (
-    "doc_id long, base array<struct<kind:string,start:long,end:long>>, extra array<struct<start:long,end:long,len_class:int,step:int>>"
+    "doc_id long, base array<struct<kind:string,start:long,end:long>>, extra array<struct<start:long,end:long,len_class:int,step:int,even:boolean>>"
 )
 
 
 def limits(counts: list[tuple[int, int, int]], rate: float = RATE) -> dict[int, int]:
-    """For each class of lengths the least step of -log p that is called not random (Benjamini and Hochberg)."""
+    """For each class of lengths the least step of -log p that is called not text (Benjamini and Hochberg)."""
     result = {}
     for c in {x[0] for x in counts}:
         steps = sorted(((s, n) for k, s, n in counts if k == c), reverse=True)
@@ -188,17 +266,23 @@ def limits(counts: list[tuple[int, int, int]], rate: float = RATE) -> dict[int,
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
     """doc_id and spans (kind, start, end, in code points, by start and then kind) of each row of `docs`.
 
-    The base kinds are always there. Of kind `random` are the strings an encoding fits and that the battery doesn't
-    call uneven. For this decision the p-values of all strings of a class of lengths are counted over the whole
-    table and the limit keeps false discoveries at `rate`: short strings, of which there are many and whose tests
-    are weak, get a limit of their own. A random string inside a base span is not shown again. Null and empty texts
-    have no spans; other columns are ignored; rows that repeat an id each give a row.
+    The base kinds are always there. Of kind `random` are the strings that an encoding fits, that the battery doesn't
+    call uneven, and that aren't text: the letter pairs of the whole table are counted first, and `is_text` says how
+    likely they make a string. For this decision the p-values of all strings of a class of lengths are counted over the
+    whole table and the limit keeps the share of text among the strings called secrets at `rate`: short strings, of
+    which there are many, get a limit of their own. A random string inside a base span is not shown again. Null and empty texts
+    have no spans; other columns are ignored; rows that repeat an id each give a row, and so do equal texts. A text is
+    scanned whole, however long. Of an empty table nothing comes.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = staged(rows.mapInArrow(_scan, _SCHEMA), "spans")
+    pairs = np.zeros(27 * 27, np.int64)
+    # 729 sums, whatever the table's size.
+    for r in rows.select("text").mapInArrow(_count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        pairs[r.pair] = r.n
+    found = staged(rows.mapInArrow(_scanner(text_model(pairs)), _SCHEMA), "spans")
     counts = found.select(F.explode("extra").alias("e")).groupBy("e.len_class", "e.step").agg(F.count("*").alias("n")).collect()
     least = limits([tuple(r) for r in counts], rate)
-    even = lambda e: e["step"] < F.element_at(F.array(*[F.lit(least.get(c, STEPS * SMALLEST + 1)) for c in range(len(LENGTHS) + 1)]), e["len_class"] + 1)
+    even = lambda e: e["even"] & (e["step"] >= F.element_at(F.array(*[F.lit(least.get(c, STEPS * SMALLEST + 1)) for c in range(len(LENGTHS) + 1)]), e["len_class"] + 1))
     outside = lambda e: ~F.exists("base", lambda b: (b["start"] <= e["start"]) & (e["end"] <= b["end"]))
     more = F.transform(F.filter("extra", lambda e: even(e) & outside(e)), lambda e: F.struct(F.lit("random").alias("kind"), e["start"].alias("start"), e["end"].alias("end")))
     rank = lambda k: F.array_position(F.array(*[F.lit(x) for x in KINDS]), k)

@@ -1,6 +1,8 @@
 import hashlib
 import random
 import re
+import sysconfig
+from pathlib import Path
 
 from cargohold.llm import secrets
 
@@ -85,3 +87,90 @@ def test_keys_behind_names_and_between_signs_are_found(spark):
     got = {r.doc_id: [s.kind for s in r.spans] for r in secrets.secrets(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert sum("random" in got[i] for i in range(30)) >= 27
     assert sorted(got[100]) == ["access", "random"] and got[101] == ["assign"]
+
+
+TEXTS = ["The river and the stone lay under the night of another winter. Some letters were written in the house.", "Nothing that she wanted to remember would return."]
+
+
+def model():
+    return secrets.text_model(sum(secrets.pair_counts(t) for t in TEXTS))
+
+
+def test_pair_counts_match_a_plain_count():
+    for text in [*TEXTS, "", "a", "é a9Z-Zz", "x" * 19 + " " + "ab " * 5000, "before " + "Zx81kQ0vB7mT4nLr92Hs" * 2 + " behind"]:
+        words = re.sub("[A-Za-z0-9+/_=-]{20,}", " ", text)
+        fold = [ord(c.lower()) - 97 if c.isascii() and c.isalpha() else 26 for c in words]
+        want = [0] * 729
+        for a, b in zip(fold, fold[1:]):
+            want[a * 27 + b] += 1
+        assert secrets.pair_counts(text).tolist() == want
+
+
+def test_battery_has_its_level_under_even_draws():
+    rng = random.Random(5)
+    for name in ("hex", "base32", "base36", "base62", "base64"):
+        for n in (20, 32, 64):
+            ps = [p for _ in range(1500) if (p := secrets.not_random("".join(rng.choice(secrets.ALPHABETS[name]) for _ in range(n)))) is not None]
+            assert sum(p < 0.01 for p in ps) <= 0.035 * len(ps) and sum(p < 0.1 for p in ps) <= 0.15 * len(ps)
+
+
+def test_text_model_bounds_the_chance_of_calling_text_a_key():
+    """Strings drawn from the model itself: p-values under x come with a chance of x at most."""
+    rng, cost = random.Random(6), model()
+    kinds, names = list(secrets.NEXT), "abcdefghijklmnopqrstuvwxyz"
+    low = 0
+    for _ in range(3000):
+        s, kind, before = "", "sign", 26
+        while len(s) < 24:
+            kind = rng.choices(kinds, secrets.NEXT[kind])[0]
+            if kind in ("lower", "upper"):
+                before = rng.choices(range(26), [2.718281828459045 ** -c for c in cost[before]])[0]
+                s += names[before] if kind == "lower" else names[before].upper()
+            else:
+                before, c = 26, rng.choice("0123456789" if kind == "digit" else "+/_-")
+                s += c
+        if secrets.encoding(s):
+            low += secrets.is_text(s, cost) <= 0.01
+    assert low <= 45
+
+
+def test_identifiers_are_not_keys_and_keys_are():
+    """Names and path pieces of 20 characters or more in the standard library's sources, without digests."""
+    rng, cost, names = random.Random(8), model(), set()
+    for path in sorted(Path(sysconfig.get_paths()["stdlib"]).glob("*.py")):
+        text = path.read_text(errors="ignore")
+        for m in secrets.CANDIDATE.finditer(text):
+            names |= {m[0][a:b] for a, b in secrets._cut(m[0])}
+    names = {n for n in names if secrets.encoding(n) and not re.fullmatch("[0-9a-f]+|[0-9A-F]+", n)}
+    assert len(names) > 500
+    called = lambda s: secrets.not_random(s) >= secrets.UNEVEN and secrets.is_text(s, cost) < 1e-3
+    for least, most in ((20, 23), (24, 31), (32, 47)):
+        group = [n for n in names if least <= len(n) <= most]
+        assert sum(map(called, group)) <= max(1, 0.01 * len(group))
+    for name in ("hex", "base36", "base62", "base64", "base64url"):
+        for n in (20, 28, 40):
+            keys = ["".join(rng.choice(secrets.ALPHABETS[name]) for _ in range(n)) for _ in range(400)]
+            assert sum(bool(secrets.encoding(k)) and called(k) for k in keys) > 0.95 * len(keys)
+    assert not called("Ab1" * 8)
+
+
+def test_random_spans_match_a_plain_version(spark):
+    rng = random.Random(9)
+    key = lambda n: "".join(rng.choice(secrets.ALPHABETS["base62"]) for _ in range(n))
+    made = [f"{rng.choice(TEXTS)} getElementsByClassName_{i} {key(rng.choice([20, 26, 40]))} usr/lib/python3/site-packages" for i in range(60)]
+    made += ["", None, made[0], "word " * 200_000 + key(30), f"token={key(30)}"]
+    rows = [(i, t, 0) for i, t in enumerate(made)]
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "random"] for r in secrets.secrets(spark.createDataFrame(rows, SCHEMA)).collect()}
+    cost = secrets.text_model(sum(secrets.pair_counts(t) for t in made if t))
+    found = [(i, a, b, secrets.p_step(secrets.is_text(t[a:b], cost)), p) for i, t, _ in rows if t for a, b, p in secrets.candidates(t)]
+    want = {i: [] for i, _, _ in rows}
+    for n in {secrets.length_class(b - a) for _, a, b, _, _ in found}:
+        group = sorted((f for f in found if secrets.length_class(f[2] - f[1]) == n), key=lambda f: -f[3])
+        ps = [10 ** (-f[3] / secrets.STEPS) for f in group]
+        last = max((k for k in range(len(ps)) if ps[k] <= secrets.RATE * (k + 1) / len(ps)), default=-1)
+        for i, a, b, step, p in group:
+            inside = any(x <= a and b <= y for x, y, _ in secrets.base_spans(made[i]))
+            if last >= 0 and step >= group[last][3] and p >= secrets.UNEVEN and not inside:
+                want[i].append((a, b))
+    assert got == {i: sorted(v) for i, v in want.items()}
+    assert sum(map(len, got.values())) >= 55 and got[63][0][0] == 1_000_000 and got[64] == []
