@@ -278,7 +278,8 @@ def ingest_images(
     spark = rows.sparkSession
     target = results or f"{cfg.root}/results/{top_dir}/{time.strftime('%Y%m%dT%H%M%S')}-{uuid.uuid4().hex[:8]}"
     target = qualify(spark, target).rstrip("/")
-    _claim(target, {"config": hashlib.sha256(repr((cfg, top_dir)).encode()).hexdigest()})
+    # Results of jobs from before there were packs can be continued.
+    _claim(target, {"config": hashlib.sha256(repr((cfg, top_dir)).replace(", packed=False", "").encode()).hexdigest()})
     # Equal rows share a key, so they are in one wave.
     key = F.sha2(F.to_json(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in IMAGE_LIST_COLUMNS])), 256)
     keyed = spool(rows.select(*IMAGE_LIST_COLUMNS, key.alias("row_key")), scratch_dir(spark, "list"))
