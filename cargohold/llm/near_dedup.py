@@ -18,8 +18,10 @@ PLACES = CHUNKS * CHUNK
 RADIUS = 2 * CHUNKS - 1
 #: Members of a bucket that one task compares at a time.
 BLOCK_ROWS = 1024
-#: Ids of documents to confirm that may be broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Ids of documents to confirm that may be broadcast, and pairs with the places of their ends; more are joined by a shuffle.
+BROADCAST_IDS, BROADCAST_ROLES = 1_000_000, 300_000
+#: Partners of one document that one task compares with it (about).
+PART_PAIRS = 256
 #: Members of a bucket's largest component, chosen at random, that others are tested against before the full comparison.
 RANDOM_MEMBERS = 3
 
@@ -118,41 +120,85 @@ def _close(sig_a: np.ndarray, sig_b: np.ndarray) -> np.ndarray:
     return (sig_a != sig_b).sum(axis=-1) <= RADIUS
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, tuple[int, int]]]:
+    """(start, end, (hub, part)) of each run of rows with the same hub and part."""
+    hub, part = batch.column("hub").to_numpy(), batch.column("part").to_numpy()
+    cuts = np.flatnonzero((hub[1:] != hub[:-1]) | (part[1:] != part[:-1])) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(hub)], strict=True):
+        yield a, b, (int(hub[a]), int(part[a]))
+
+
 def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by hub, part and role: the partners whose signature is within RADIUS of one of their hub's."""
+    at, hubs = None, np.zeros((0, PLACES), np.uint16)
     for batch in batches:
-        if batch.num_rows:
-            keep = _close(_matrix(batch.column("sig_a")), _matrix(batch.column("sig_b")))
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+        if not batch.num_rows:
+            continue
+        sigs, partner = _matrix(batch.column("sig")), batch.column("role").to_numpy() == 1
+        keep = np.zeros(batch.num_rows, bool)
+        for a, b, place in _runs(batch):
+            first = a + int((~partner[a:b]).sum())
+            mine = sigs[a:first]
+            hubs = np.concatenate([hubs, mine]) if place == at else mine
+            at = place
+            for hub in hubs:
+                keep[first:b] |= _close(sigs[first:b], hub)
+        yield pa.record_batch({c: batch.column(c).filter(pa.array(keep)) for c in ("hub", "doc_id", "part")})
 
 
 def _confirm(k: int, percent: int):
+    """Rows sorted by hub, part and role: the partners whose full set reaches the similarity with one of their hub's."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+        at, hubs = None, []
         for whole in batches:
-            for batch in slices(whole, "text_b"):
-                ids, keep = batch.column("a").to_pylist(), np.zeros(batch.num_rows, bool)
-                for i, other in enumerate(shingle_sets(batch.column("text_b"), k)):
-                    if ids[i] != held[0]:
-                        held = (ids[i], next(shingle_sets(batch.column("text_a").slice(i, 1), k)))
-                    mine = held[1]
-                    both = len(np.intersect1d(mine, other, assume_unique=True))
-                    keep[i] = both > 0 and 100 * both >= percent * (len(mine) + len(other) - both)
-                yield batch.select(["a", "b"]).filter(pa.array(keep))
+            for batch in slices(whole, "text"):
+                hub, part, role = (batch.column(c).to_pylist() for c in ("hub", "part", "role"))
+                keep = np.zeros(batch.num_rows, bool)
+                for i, mine in enumerate(shingle_sets(batch.column("text"), k)):
+                    if (hub[i], part[i]) != at:
+                        at, hubs = (hub[i], part[i]), []
+                    if role[i] == 0:
+                        hubs.append(mine)
+                        continue
+                    for other in hubs:
+                        both = len(np.intersect1d(mine, other, assume_unique=True))
+                        if both > 0 and 100 * both >= percent * (len(mine) + len(other) - both):
+                            keep[i] = True
+                            break
+                found = {c: batch.column(c).filter(pa.array(keep)) for c in ("hub", "doc_id")}
+                yield pa.record_batch({"a": found["hub"], "b": found["doc_id"]})
 
     return run
 
 
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """(hub, doc_id, part) for each pair (a, b): the end with more pairs is the hub, and its partners are dealt by hash
+    over parts of about PART_PAIRS, so that no end is one task."""
+    ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b"))
+    heavy = ends.groupBy("end").agg(F.count("*").alias("pairs")).filter(F.col("pairs") > PART_PAIRS)
+    heavy = broadcast_if(staged(heavy, "hubs"), BROADCAST_IDS)
+    of = lambda c: heavy.select(F.col("end").alias(c), F.col("pairs").alias(f"n{c}"))
+    both = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    turn = F.coalesce("nb", F.lit(0)) > F.coalesce("na", F.lit(0))
+    parts = F.ceil(F.coalesce(F.greatest("na", "nb"), F.lit(1)) / PART_PAIRS)
+    hub, partner = F.when(turn, F.col("b")).otherwise(F.col("a")), F.when(turn, F.col("a")).otherwise(F.col("b"))
+    return both.select(hub.alias("hub"), partner.alias("doc_id"), F.pmod(F.xxhash64(partner), parts).cast("int").alias("part"))
+
+
+def _beside(dealt: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """`column` of each partner behind that of its hub, which moves once for each part and not for each pair."""
+    roles = dealt.select("hub", "doc_id", "part", F.lit(1).alias("role"))
+    roles = staged(roles.union(dealt.select("hub", F.col("hub").alias("doc_id"), "part", F.lit(0).alias("role")).distinct()), "roles")
+    found = rows.select("doc_id", column).join(broadcast_if(roles, BROADCAST_ROLES), "doc_id")
+    return found.repartition("hub", "part").sortWithinPartitions("hub", "part", "role").select("hub", "doc_id", "part", "role", column)
+
+
 def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) within RADIUS whose full shingle sets reach the similarity."""
-    left = reps.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a"))
-    right = reps.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b"))
-    near = staged(pairs.join(right, "b").join(left, "a").select("a", "b", "sig_a", "sig_b").mapInArrow(_within, "a long, b long"), "near")
-    needed = broadcast_if(near.select(F.col("a").alias("doc_id")).distinct().union(near.select("b")).distinct(), BROADCAST_IDS)
-    text = docs.join(needed, "doc_id", "left_semi")
-    rows = near.join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(
-        text.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a"
-    )
-    return staged(rows.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a long, b long"), "links").distinct()
+    near = staged(_beside(_dealt(pairs), reps, "sig").mapInArrow(_within, "hub long, doc_id long, part int"), "near").distinct()
+    links = staged(_beside(near, docs, "text").mapInArrow(_confirm(k, percent), "a long, b long"), "links")
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

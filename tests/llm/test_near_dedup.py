@@ -37,6 +37,26 @@ def test_matches_brute_force(spark, k, monkeypatch):
     assert got == brute.near_duplicates(list(enumerate(texts)), k)
 
 
+@pytest.mark.parametrize("rows", [10**6, 0], ids=["broadcast", "shuffle"])
+def test_pairs_of_a_hub_are_dealt_over_parts(spark, monkeypatch, rows):
+    """The hub is the end with more pairs, wherever it stands; repeated ids are tried with each of their texts."""
+    monkeypatch.setattr(near_dedup, "PART_PAIRS", 8)
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROLES", rows)
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", rows)
+    texts = family(5, 60, 80, 0.12)
+    items = [*enumerate(texts), (30, "quite another text than that before"), (61, "quite another text than that before")]
+    docs = spark.createDataFrame(items, "doc_id long, text string")
+    sigs = near_dedup.staged(docs.mapInArrow(near_dedup._sign(2), "doc_id long, n long, da long, db long, sig binary"), "sigs")
+    pairs = [(min(30, i), max(30, i)) for i in range(62) if i != 30 and i != 60] + [(0, 1), (1, 2)]
+    pairs = spark.createDataFrame(pairs, "a long, b long")
+    dealt = near_dedup._dealt(pairs).collect()
+    assert len(dealt) == pairs.count() and {r.hub for r in dealt} == {30, 0, 1} and len({r.part for r in dealt if r.hub == 30}) == 8
+    got = {tuple(r) for r in near_dedup.confirmed(pairs, sigs.select("doc_id", "n", "sig"), docs, 2, 80).collect()}
+    sets = [(i, brute.shingles(t, 2)) for i, t in items]
+    alike = {(i, j) for i, a in sets for j, b in sets if i < j and 100 * len(a & b) >= 80 * len(a | b)}
+    assert got == alike & {tuple(r) for r in pairs.collect()} and (30, 61) in got
+
+
 def test_leftovers_are_compared_in_blocks(spark, monkeypatch):
     """Only the last pass is left to find the links beyond a bucket's first member."""
     monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 8)
