@@ -233,6 +233,13 @@ def components(edges: DataFrame) -> DataFrame:
     return staged(found, "roots") if len(maps) > 1 else found
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends lie in different components."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    found = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return staged(found.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "apart")
+
+
 def _members(star: DataFrame, roots: DataFrame) -> DataFrame:
     """(key, doc_id, n, comp) of all buckets with three members or more and two components or more."""
     large = star.groupBy("key").agg(F.count("*").alias("c"), F.first("leader").alias("leader"), F.first("leader_n").alias("n")).filter("c > 1")
@@ -357,7 +364,8 @@ def near_duplicates(
     Two documents are linked if their sets of `shingle_words`-word shingles (A-Z lower-cased; the whole sequence
     if there are fewer words) have a Jaccard similarity of `percent` or more. Equal sets are one node. Every pair of
     nodes whose signatures differ in at most RADIUS of PLACES places shares a bucket. Links are confirmed on the
-    full sets. Within a bucket each member is first confirmed against the bucket's first member, then against random
+    full sets. Each document is first confirmed against the first member of one of its buckets, then against those of the
+    others that lie in another component, then against random
     members of the largest component there; what then still lies in another component is compared with the rest in
     blocks. Pairs inside one component need no test, so groups of copies cost rows, not pairs.
 
@@ -385,7 +393,10 @@ def near_duplicates(
         return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     tried = staged(tidy("leader", "leader_n", star), "pairs")
-    links = confirmed(tried, reps, texts, shingle_words, percent)
+    # Most groups are one component after a single test for each member; of the other pairs only those between components are left.
+    first = staged(tried.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    links = confirmed(first, reps, texts, shingle_words, percent)
+    links = links.union(confirmed(_apart(tried.join(first, ["a", "b"], "left_anti"), components(links)), reps, texts, shingle_words, percent))
     roots = components(links)
     for full in (False, True):
         members = staged(_members(star, roots), "mixed")
