@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cargohold.llm.common import WORD, staged
+from cargohold.llm.common import WORD, broadcast_if, staged
 
 #: The share of all words that the mix holds; weights by place of the source, repeating; the most often a document is taken.
 RATIO, WEIGHTS, REPEATS = 1.5, (3, 1, 2), 2
@@ -15,6 +15,8 @@ RATIO, WEIGHTS, REPEATS = 1.5, (3, 1, 2), 2
 BUCKET_ROWS = 2000
 #: Bins of one look at the finish times, and the entries around the budget that may come to the driver.
 BINS, LAST_ENTRIES = 1024, 10_000
+#: Places in the mix that may be broadcast to the documents; with more the texts are shuffled to them.
+BROADCAST_PLACES = 1_000_000
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], total: float, repeats: int = REPEATS) -> list[float]:
@@ -128,5 +130,5 @@ def sequence(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", repeats: i
     """
     at = mix.filter("taken > 0").select(F.col("doc_id").alias("_id"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)).alias("_copy"), "finish", "source_size", "target")
     at = at.select("_id", (F.col("finish") + F.col("_copy") * F.col("source_size") / F.col("target")).alias("_finish"))
-    found = docs.join(at, F.col(id_col) == F.col("_id"))
+    found = docs.join(broadcast_if(staged(at, "places"), BROADCAST_PLACES), F.col(id_col) == F.col("_id"))
     return found.repartitionByRange("_finish").sortWithinPartitions("_finish").select(*[docs[c] for c in docs.columns])

@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cargohold.llm import decontaminate, language_id, mixing, near_dedup, orc_tokens
-from cargohold.llm.common import identified, read_table, staged
+from cargohold.llm.common import broadcast_if, identified, read_table, staged
 from cargohold.llm.queries import TOKENIZER
 from cargohold.session import scratch_dir, ship_package
 
 #: No SQL: the classifier, MinHash and the tokenizer have none. tests/llm holds the stages against plain versions.
 ORACLE_SQL = None
+#: Row ids to drop that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +37,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if given is not None:
         named = found.join(given, F.col("_n") == F.col("number"), "left")
         named = named.select("_n", "_c", F.when(F.col("number").isNull(), F.col("_n")).otherwise(F.col("id")).alias("_id"))
-    first = named.groupBy("_c").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_n").alias("n"))).alias("m"))
-    keep = staged(first.select(F.col("m.n").alias("_keep")), "near-kept")
-    return rows.join(keep, F.col(row) == F.col("_keep"), "left_semi").select(docs.columns)
+    least = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_n").alias("n")))
+    first = named.groupBy("_c").agg(least.alias("m"), F.count("*").alias("rows")).filter("rows > 1")
+    # Fewer rows go than stay: their ids are the smaller side.
+    gone = named.join(first, "_c").filter(F.col("_n") != F.col("m.n"))
+    gone = staged(gone.select(F.col("_n").alias("_gone")), "near-gone")
+    return rows.join(broadcast_if(gone, BROADCAST_ROWS), F.col(row) == F.col("_gone"), "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
