@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAMPLES_PER_SLICE = 100
+#: A key with very many slices is sampled more thinly: about this many rows in all, but LEAST_SAMPLES for each slice.
+SAMPLES_PER_KEY, LEAST_SAMPLES = 200_000, 8
+#: Cut points in one node of the search tree, which every row of a cut key carries while it is placed.
+FAN_OUT = 64
 
 
 @dataclass(frozen=True)
@@ -70,15 +74,16 @@ def _hot_keys(df: DataFrame, keys: list[str], policy: SkewPolicy) -> list:
     return counts.filter(F.col("_n") > policy.max_rows).collect()
 
 
-def _cut_points(df: DataFrame, keys: list[str], order_by: list[str], hot: list, max_rows: int):
-    """Sampled, evenly spaced order positions for every hot key: about rows / max_rows in all."""
+def _cut_points(df: DataFrame, keys: list[str], order_by: list[str], hot: list, max_rows: int) -> tuple[list, T.StructType]:
+    """Sampled, evenly spaced order positions for every hot key, about rows / max_rows in all; rows and their schema."""
     spark = df.sparkSession
     fields = [df.schema[k] for k in keys]
     fields += [T.StructField("_pieces", T.LongType()), T.StructField("_fraction", T.DoubleType())]
     rows = []
     for row in hot:
         pieces = max(2, -(-row["_n"] // max_rows))
-        rows.append((*[row[k] for k in keys], pieces, min(1.0, SAMPLES_PER_SLICE * pieces / row["_n"])))
+        wanted = max(LEAST_SAMPLES * pieces, min(SAMPLES_PER_SLICE * pieces, SAMPLES_PER_KEY))
+        rows.append((*[row[k] for k in keys], pieces, min(1.0, wanted / row["_n"])))
     wanted = spark.createDataFrame(rows, T.StructType(fields))
     narrow = df.select(*keys, F.struct(*order_by).alias("_at"))
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
@@ -88,7 +93,7 @@ def _cut_points(df: DataFrame, keys: list[str], order_by: list[str], hot: list,
     condition = same[0]
     for part in same[1:]:
         condition = condition & part
-    # About a hundred rows for every slice, whatever the size of the key.
+    # About a hundred rows for every slice, fewer for a key with thousands of them.
     sample = narrow.join(F.broadcast(renamed), condition).filter(F.rand(7) < F.col("_fraction"))
     by_key = Window.partitionBy(*keys)
     ranked = sample.select(
@@ -102,12 +107,40 @@ def _cut_points(df: DataFrame, keys: list[str], order_by: list[str], hot: list,
     before = F.floor((F.col("_rn") - 1) * F.col("_pieces") / F.col("_seen"))
     cuts = ranked.filter((step > before) & (F.col("_rn") < F.col("_seen")))
     grouped = cuts.groupBy(*keys).agg(F.array_sort(F.collect_set("_at")).alias("_cuts"))
-    return spark.createDataFrame(grouped.collect(), grouped.schema)
+    return grouped.collect(), grouped.schema
 
 
-def _slice_number(cuts: Column, value: Column, longest: int) -> Column:
-    """How many cut points are at or before `value`: binary search in a sorted array."""
-    steps = [1 << i for i in reversed(range(max(1, longest.bit_length())))]
+def _place(df: DataFrame, keys: list[str], at: Column, cuts: list, schema: T.StructType) -> DataFrame:
+    """Add `_slice`, how many cut points of the key are at or before `at`, and `_hot`.
+
+    A search tree over the sorted cut points: on each level a row meets one node of at most FAN_OUT of them, so what a row
+    carries does not grow with the number of slices. The n-th node of a level holds, from the level below, the first
+    cut point of every node but the leftmost.
+    """
+    kept = df.columns
+    node = T.StructType([*schema.fields[: len(keys)], T.StructField("_node", T.LongType()), schema["_cuts"]])
+    level = {tuple(row[k] for k in keys): row["_cuts"] for row in cuts}
+    levels = []
+    while level:
+        nodes = [(*key, i // FAN_OUT, at_key[i : i + FAN_OUT]) for key, at_key in level.items() for i in range(0, len(at_key), FAN_OUT)]
+        levels.append(df.sparkSession.createDataFrame(nodes, node))
+        level = {key: at_key[FAN_OUT::FAN_OUT] for key, at_key in level.items() if len(at_key) > FAN_OUT}
+    out = df.withColumn("_slice", F.lit(0).cast("bigint")).withColumn("_hot", F.lit(False))
+    for nodes in reversed(levels):
+        renamed = nodes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_node", "_cuts")
+        same = F.col("_slice") == F.col("_node")
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        # A key that has no node here has few cut points, all in the leftmost node below.
+        found = F.when(F.col("_cuts").isNull(), F.col("_slice")).otherwise(F.col("_slice") * FAN_OUT + _at_or_before(F.col("_cuts"), at))
+        joined = out.join(F.broadcast(renamed), same, "left")
+        out = joined.select(*kept, found.alias("_slice"), F.col("_cuts").isNotNull().alias("_hot"))
+    return out.withColumn("_slice", F.col("_slice").cast("int"))
+
+
+def _at_or_before(cuts: Column, value: Column) -> Column:
+    """How many of at most FAN_OUT sorted cut points are at or before `value`: binary search."""
+    steps = [1 << i for i in reversed(range(FAN_OUT.bit_length()))]
 
     def advance(found: Column, step: Column) -> Column:
         probe = found + step
@@ -130,17 +163,8 @@ def slice_hot_keys(
     hot = _hot_keys(df, keys, policy)
     if not hot:
         return Sliced(whole, keys, order_by, False)
-    cuts = _cut_points(df, keys, order_by, hot, policy.max_rows)
-    longest = cuts.agg(F.max(F.size("_cuts"))).first()[0] or 1
-    renamed = cuts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_cuts")
-    condition = F.lit(True)
-    for i, k in enumerate(keys):
-        condition = condition & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    joined = df.join(F.broadcast(renamed), condition, "left")
-    at = F.struct(*order_by)
-    number = F.when(F.col("_cuts").isNull(), 0).otherwise(_slice_number(F.col("_cuts"), at, longest))
-    sliced = joined.select(*df.columns, number.alias("_slice"), F.col("_cuts").isNotNull().alias("_hot"))
-    return Sliced(sliced, keys, order_by, True)
+    cuts, schema = _cut_points(df, keys, order_by, hot, policy.max_rows)
+    return Sliced(_place(df, keys, F.struct(*order_by), cuts, schema), keys, order_by, True)
 
 
 def running_sums(

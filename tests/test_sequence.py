@@ -266,3 +266,21 @@ def test_equal_positions_neither_lose_nor_double_rows(spark, limit):
     assert sorted(b"".join(bytes(r.b) for r in pieces)) == sorted("".join(r[3] for r in rows).encode())
     assert digest_chunks(df, ["k"], ["t"], "b", policy=policy).first().n_bytes == 60
     assert Q.capped_concat(df, ["k"], ["t"], "b", 37, policy).first().n_bytes == 37
+
+
+def test_a_row_meets_few_cut_points_whatever_the_number_of_slices(spark, monkeypatch):
+    rows = [("a", i * 7919 % 20_000) for i in range(20_000)] + [("b", i) for i in range(40)] + [(None, i) for i in range(300)] + [("c", 1)]
+    df = spark.createDataFrame(rows, "k string, t int").repartition(8)
+    joined, mark = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda d: joined.append(d) or mark(d))
+    s = slice_hot_keys(df, ["k"], ["t"], SkewPolicy(max_rows=3))
+    nodes = [d for d in joined if "_cuts" in d.columns]
+    assert len(nodes) > 1
+    assert all(d.agg(F.max(F.size("_cuts"))).first()[0] <= 64 for d in nodes)
+    got = s.df.collect()
+    assert sorted((r.k or "", r.t) for r in got) == sorted((k or "", t) for k, t in rows)
+    for key, least, hot in (("a", 4000, True), ("b", 8, True), (None, 60, True), ("c", 1, False)):
+        seq = sorted((r.t, r._slice) for r in got if r.k == key)
+        assert [n for _, n in seq] == sorted(n for _, n in seq) and len({n for _, n in seq}) >= least
+        assert {r._hot for r in got if r.k == key} == {hot}
+        assert max(len(list(g)) for _, g in itertools.groupby(n for _, n in seq)) <= 30
