@@ -5,15 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.dataset as ds
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cargohold.functions.digest import check_algorithm
 from cargohold.operators.skew import DEFAULT_POLICY, SkewPolicy, Sliced, slice_hot_keys
-from cargohold.session import scratch_dir, shuffle_partitions
-from cargohold.storage import new_hash, resolve
+from cargohold.session import shuffle_partitions
+from cargohold.storage import BLOCK, new_hash
 
 
 def digest_chunks(
@@ -27,8 +26,8 @@ def digest_chunks(
     """`keys`, `digest` (hex) and `n_bytes` of the ordered concatenation of each key's chunks.
 
     Partitions are sorted, so one pass with one running hash per task is enough; no payload is ever
-    assembled. A hash is serial within a key: for keys too large for one task the sort is spread over
-    slices that are stored in order, and the task that owns the key only streams them.
+    assembled. A hash is serial within a key: for keys too large for one task the chunks are sorted in slices and joined
+    to blocks of up to 1 MiB, and the task that owns the key only puts these in order.
     """
     check_algorithm(algorithm)
     narrow = df.select(*keys, *[c for c in order_by if c not in keys], F.col(col).cast("binary").alias("_b"))
@@ -81,43 +80,31 @@ def _rows(rows: list[tuple], kinds: list[pa.DataType], schema: T.StructType) ->
 
 
 def _digest_hot(s: Sliced, keys: list[str], order_by: list[str], algorithm: str) -> DataFrame:
-    spark = s.df.sparkSession
-    folder = scratch_dir(spark, "digest")
-    tag = F.concat(F.lit("t"), F.hex(F.xxhash64(*keys)))
-    hot = s.df.filter("_hot").withColumn("_tag", tag)
-    # One sorted file per (key, slice): the slice is the unit of the shuffle, never the key.
-    placed = hot.repartition(3 * shuffle_partitions(spark), *keys, "_slice")
-    ordered = placed.sortWithinPartitions("_tag", "_slice", *order_by)
-    ordered.select(*keys, "_b", "_tag", "_slice").write.partitionBy("_tag", "_slice").parquet(folder)
-    # At most one row per shuffle partition: the cut keys.
-    owners = spark.read.parquet(folder).groupBy(*keys, "_tag").agg(F.array_sort(F.collect_set("_slice")).alias("_slices"))
-    schema = _digest_schema(s.df, keys)
+    hot = s.df.filter("_hot")
+    schema = T.StructType([hot.schema[k] for k in keys] + [T.StructField("_slice", T.IntegerType()), T.StructField("_block", T.LongType()), T.StructField("_b", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, number, parts, held = None, 0, [], 0
         for batch in batches:
-            for i, row in enumerate(batch.to_pylist()):
-                state, size = new_hash(algorithm), 0
-                for number in row["_slices"]:
-                    for part in _slice_batches(f"{folder}/_tag={row['_tag']}/_slice={number}", keys, row):
-                        for value in part:
-                            if value is not None:
-                                state.update(value)
-                                size += len(value)
-                fixed = [batch.column(c).slice(i, 1) for c in range(len(keys))]
-                tail = [pa.array([state.hexdigest()]), pa.array([size], pa.int64())]
-                yield pa.RecordBatch.from_arrays(fixed + tail, names=schema.fieldNames())
-
-    return owners.repartition(shuffle_partitions(spark), *keys).mapInArrow(run, schema)
-
-
-def _slice_batches(folder: str, keys: list[str], row: dict) -> Iterator[list]:
-    filesystem, name = resolve(folder)
-    files = sorted(ds.dataset(name, filesystem=filesystem, format="parquet").files)
-    for path in files:
-        part = ds.dataset(path, filesystem=filesystem, format="parquet")
-        for batch in part.scanner(columns=[*keys, "_b"], use_threads=False, batch_size=256).to_batches():
-            same = [all(c[k] == row[k] for k in keys) for c in batch.select(keys).to_pylist()]
-            yield [v for v, ok in zip(batch.column(len(keys)).to_pylist(), same) if ok]
+            kinds = [batch.schema.field(k).type for k in keys] + [pa.int32(), pa.int64(), pa.binary()]
+            columns = [batch.column(i).to_pylist() for i in range(len(keys) + 1)]
+            for *at, value in zip(*columns, batch.column(batch.num_columns - 1).to_pylist()):
+                if at != current or held >= BLOCK:
+                    if current is not None:
+                        yield _rows([(*current, number, b"".join(parts))], kinds, schema)
+                    number = number + 1 if at == current else 0
+                    current, parts, held = at, [], 0
+                if value is not None:
+                    parts.append(value)
+                    held += len(value)
+        if current is not None:
+            yield _rows([(*current, number, b"".join(parts))], kinds, schema)
+
+    # One block at least for each (key, slice): the slice is the unit of this shuffle, never the key.
+    placed = hot.repartition(3 * shuffle_partitions(hot.sparkSession), *keys, "_slice")
+    ordered = placed.sortWithinPartitions(*keys, "_slice", *order_by)
+    blocks = ordered.select(*keys, "_slice", "_b").mapInArrow(run, schema)
+    return _digest_sorted(blocks, keys, ["_slice", "_block"], algorithm)
 
 
 def with_empty(keys_table: DataFrame, digests: DataFrame, keys: list[str], algorithm: str = "MD5") -> DataFrame:

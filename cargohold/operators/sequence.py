@@ -6,12 +6,19 @@ a result depends on that order, it follows the values that the operator looks at
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cargohold.operators.skew import DEFAULT_POLICY, SkewPolicy, running_sums, slice_hot_keys
 
 CHUNK = 8192
+#: Pieces of one Arrow batch; of CHUNK bytes they are 32 MiB, of larger ones there are fewer.
+PIECES = 4096
 
 
 def unique_consecutive(
@@ -95,13 +102,32 @@ def _pieces(payload: Column, first: Column, last: Column, offset: Column, n: int
 
 def chunk_binary(df: DataFrame, col: str, n: int = CHUNK) -> DataFrame:
     """Split one binary value per row into pieces of `n` bytes: adds `chunk_id`, replaces the value."""
-    zero = F.lit(0).cast("bigint")
-    last = F.expr(f"(octet_length({col}) - 1) div {n}")
-    # The pieces are cut before they are exploded, so the whole value is not copied for each of them.
-    cut = F.explode(_pieces(F.col(col), zero, last, zero, n)).alias("_piece")
     rest = [c for c in df.columns if c != col]
-    pieces = df.filter(F.octet_length(col) > 0).select(*rest, cut)
-    return pieces.select(*rest, F.col("_piece.chunk_id").alias("chunk_id"), F.col("_piece.bytes").alias(col))
+    kind = df.schema[col].dataType
+    fields = [df.schema[c] for c in rest] + [T.StructField("chunk_id", T.LongType()), T.StructField(col, T.BinaryType())]
+
+    per_batch = max(1, min(PIECES, PIECES * CHUNK // n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(batch.num_columns - 1).cast(pa.large_binary())
+            offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+            sizes = np.diff(offsets)
+            count = -(-sizes // n)
+            until = np.cumsum(count)
+            # The pieces lie behind each other in the batch as the values do: only offsets are made.
+            for first in range(0, int(until[-1]) if len(until) else 0, per_batch):
+                nth = np.arange(first, min(first + per_batch, int(until[-1])))
+                row = np.searchsorted(until, nth, "right")
+                chunk = nth - (until - count)[row]
+                edges = np.append(offsets[row] + chunk * n, min(offsets[row[-1]] + (chunk[-1] + 1) * n, offsets[row[-1] + 1]))
+                data = values.buffers()[2].slice(int(edges[0]), int(edges[-1] - edges[0]))
+                cut = pa.Array.from_buffers(pa.binary(), len(nth), [None, pa.py_buffer((edges - edges[0]).astype(np.int32)), data])
+                others = [batch.column(i).take(pa.array(row)) for i in range(len(rest))]
+                yield pa.RecordBatch.from_arrays([*others, pa.array(chunk), cut], names=[f.name for f in fields])
+
+    valued = df.filter(F.octet_length(col) > 0).select(*rest, F.col(col).cast("binary").alias(col))
+    return valued.mapInArrow(run, T.StructType(fields)).select(*rest, "chunk_id", F.col(col).cast(kind).alias(col))
 
 
 def rechunk(

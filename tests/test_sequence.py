@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 
@@ -284,3 +285,25 @@ def test_a_row_meets_few_cut_points_whatever_the_number_of_slices(spark, monkeyp
         assert [n for _, n in seq] == sorted(n for _, n in seq) and len({n for _, n in seq}) >= least
         assert {r._hot for r in got if r.k == key} == {hot}
         assert max(len(list(g)) for _, g in itertools.groupby(n for _, n in seq)) <= 30
+
+
+def test_digest_of_cut_keys_writes_no_files(spark, monkeypatch):
+    chunks = [(k, i, bytes([i % 251]) * (i % 5)) for k in range(30) for i in range(40)] + [(99, i, bytes(500_000)) for i in range(5)]
+    df = spark.createDataFrame(chunks, "k int, pos int, b binary").repartition(8)
+    monkeypatch.setattr("pyspark.sql.DataFrameWriter.parquet", lambda *_, **__: pytest.fail("a file for each slice"))
+    got = {r.k: (r.digest, r.n_bytes) for r in digest_chunks(df, ["k"], ["pos"], "b", policy=SkewPolicy(max_rows=2)).collect()}
+    whole = {k: b"".join(c[2] for c in g) for k, g in itertools.groupby(chunks, key=lambda c: c[0])}
+    assert got == {k: (hashlib.md5(b).hexdigest(), len(b)) for k, b in whole.items()}
+
+
+def test_chunk_binary_keeps_other_columns_and_all_bytes(spark):
+    values = [b"", None, b"x", bytes(range(256)) * 40, b"abcd" * 3, "ü€".encode() * 5000, b"1234"]
+    df = spark.createDataFrame([(i, [i, None], v, None) for i, v in enumerate(values)], "i int, a array<int>, b binary, s string").coalesce(1)
+    rows = Q.chunk_binary(df, "b", 4).collect()
+    assert Q.chunk_binary(df, "b", 4).columns == ["i", "a", "s", "chunk_id", "b"]
+    want = [(i, [i, None], None, at // 4, v[at : at + 4]) for i, v in enumerate(values) if v for at in range(0, len(v), 4)]
+    assert sorted((r.i, r.a, r.s, r.chunk_id, bytes(r.b)) for r in rows) == want
+    plan = Q.chunk_binary(df, "b", 4)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan  # cut in the batch, not by a lambda for each piece
+    text = Q.chunk_binary(df.select(F.lit("hello").alias("t")), "t", 2).select("t").distinct().collect()
+    assert sorted(r.t for r in text) == ["he", "ll", "o"]
