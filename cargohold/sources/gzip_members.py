@@ -11,12 +11,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargohold.session import shuffle_partitions
-from cargohold.storage import BLOCK, column_values, file_size, resolve
+from cargohold.sources.tar import OpenArchive
+from cargohold.storage import BLOCK, GROUP_BYTES, column_values, file_size, resolve
 
 WINDOW_BYTES = 64 * 1024 * 1024
 #: Fixed values of the format: two magic bytes, deflate, and the flags in use.
 MEMBER_HEAD = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]")
 HEAD_BYTES = 4
+#: The first read of a member, most of which are far shorter than BLOCK; each further one is twice as long, up to BLOCK.
+FIRST_READ = 4096
+#: Pieces and bytes of one Arrow batch.
+BATCH_PIECES = 1024
 _INFLATED = "path string, start bigint, end bigint, n_bytes bigint"
 
 
@@ -28,11 +33,12 @@ class Member:
 
     def __iter__(self) -> Iterator[bytes]:
         self.stream.seek(self.start)
-        state = zlib.decompressobj(31)
+        state, size = zlib.decompressobj(31), FIRST_READ
         while not state.eof:
-            block = self.stream.read(BLOCK)
+            block = self.stream.read(size)
             if not block:
                 raise EOFError("gzip stream ends early")
+            size = min(2 * size, BLOCK)
             while block and not state.eof:
                 if out := state.decompress(block, BLOCK):
                     yield out
@@ -46,7 +52,7 @@ def _heads(path: str, first: int, last: int) -> Iterator[int]:
     with filesystem.open_input_file(name) as stream:
         stream.seek(first)
         at, held = first, b""
-        while at - len(held) < last and (block := stream.read(BLOCK)):
+        while at - len(held) < last and (block := stream.read(min(BLOCK, last - at + HEAD_BYTES - 1))):
             data, base = held + block, at - len(held)
             at += len(block)
             # What begins in the last bytes is seen whole with the next block.
@@ -79,26 +85,26 @@ def member_index(files: DataFrame, source: str = "path", window: int = WINDOW_BY
                 yield pa.record_batch([pa.array([path] * len(starts), pa.string()), pa.array(starts, pa.int64())], names=["path", "start"])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = OpenArchive()
         for batch in batches:
             found = []
             for path, start in zip(column_values(batch, "path"), column_values(batch, "start")):
-                filesystem, name = resolve(path)
-                with filesystem.open_input_file(name) as stream:
-                    try:
-                        member = Member(stream, start)
-                        n_bytes = sum(map(len, member))
-                        found.append((path, start, member.end, n_bytes))
-                    except (zlib.error, EOFError):
-                        pass
+                try:
+                    member = Member(file.at(path, start), start)
+                    n_bytes = sum(map(len, member))
+                    found.append((path, start, member.end, n_bytes))
+                except (zlib.error, EOFError):
+                    pass
             cells = zip(*found) if found else [()] * 4
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(list(c), k) for c, k in zip(cells, kinds)], names=["path", "start", "end", "n_bytes"])
+        file.close()
 
     sized = paths.repartition(n, "path").mapInArrow(size, "path string, size bigint")
     last = F.greatest(F.lit(0), F.col("size") - 1)
     windows = sized.filter("size IS NOT NULL").select("path", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), last, F.lit(window).cast("bigint"))).alias("first"))
     begins = windows.repartition(n, "path", "first").mapInArrow(heads, "path string, start bigint")
-    members = begins.repartition(n, "path", "start").mapInArrow(measure, _INFLATED)
+    members = begins.repartition(n, "path", "start").sortWithinPartitions("path", "start").mapInArrow(measure, _INFLATED)
     return _chained(members, sized, window)
 
 
@@ -152,15 +158,20 @@ def read_members(index: DataFrame) -> DataFrame:
     sound = index.filter("error IS NULL").select("path", "member", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["path", "member", "pos", "bytes"]
+        names, kinds = ["path", "member", "pos", "bytes"], (pa.string(), pa.int64(), pa.int64(), pa.binary())
+        file, rows, held = OpenArchive(), [], 0
         for batch in batches:
             for path, member, start in zip(*[column_values(batch, c) for c in ("path", "member", "start")]):
-                filesystem, name = resolve(path)
-                with filesystem.open_input_file(name) as stream:
-                    for pos, data in enumerate(Member(stream, start)):
-                        cells = ([path], [member], [pos], [data])
-                        kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary())
-                        yield pa.record_batch([pa.array(c, k) for c, k in zip(cells, kinds)], names=names)
+                for pos, data in enumerate(Member(file.at(path, start), start)):
+                    rows.append((path, member, pos, data))
+                    held += len(data)
+                    if len(rows) == BATCH_PIECES or held >= GROUP_BYTES:
+                        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                        rows, held = [], 0
+        if rows:
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+        file.close()
 
     n = shuffle_partitions(index.sparkSession)
-    return sound.repartition(n, "path", "start").mapInArrow(run, "path string, member bigint, pos bigint, bytes binary")
+    placed = sound.repartition(n, "path", "start").sortWithinPartitions("path", "start")
+    return placed.mapInArrow(run, "path string, member bigint, pos bigint, bytes binary")

@@ -1,12 +1,13 @@
 """Gzip files of several members."""
 
 import gzip
+import io
 import os
 import zlib
 
 import pytest
 
-from cargohold.sources.gzip_members import member_index, read_members
+from cargohold.sources.gzip_members import Member, _heads, member_index, read_members
 
 
 def stored(data):
@@ -89,3 +90,23 @@ def test_damage_is_reported(spark, files):
 def test_no_files(spark):
     df = spark.createDataFrame([(None,)], "path string")
     assert member_index(df).collect() == [] and read_members(member_index(df)).collect() == []
+
+
+def test_a_short_member_is_read_by_few_bytes(files):
+    folder, made, _ = files
+    read = []
+
+    class Counted:
+        def __init__(self, stream):
+            self.seek, self.tell, self.stream = stream.seek, stream.tell, stream
+
+        def read(self, n):
+            read.append(len(got := self.stream.read(n)))
+            return got
+
+    behind = made["many.gz"] + bytes(5_000_000)
+    member = Member(Counted(io.BytesIO(behind)), 0)
+    assert b"".join(member) == b"" and member.end == len(gzip.compress(b"")) and sum(read) <= 4096
+    (folder / "wide.bin").write_bytes(behind)
+    assert sum(1 for _ in _heads(f"{folder}/wide.bin", 0, len(made["many.gz"]))) >= 30
+    assert list(_heads(f"{folder}/many.gz", 0, 1)) == [0]
