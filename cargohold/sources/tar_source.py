@@ -4,7 +4,8 @@
     spark.read.format("tar").option("path", folder).load().filter("entry_name LIKE 'train/%' AND entry_size < 1000000")
 
 Without more, each archive is one partition. `write_windows` finds, in a Spark job over the archives, where in each
-window of bytes the first entry begins; with its table as option `windows`, each window is a partition of its own.
+window of bytes the first entry begins; with its table as option `windows`, each window is a partition of its own, or
+with option `tasks` windows that follow each other share one, so that there are about that many.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from cargohold.storage import GROUP_BYTES, column_values, resolve
 
 #: Bytes of an archive that one partition reads.
 WINDOW_BYTES = 256 * 1024 * 1024
+#: Partitions of one read for each core, or shuffle partition if these are more, before windows share one.
+TASKS_PER_CORE = 16
 #: Beyond any archive; a cut one ends before its last entry does.
 END = 1 << 62
 WINDOWS = "archive string, begin bigint, ordinal bigint, size bigint"
@@ -94,6 +97,7 @@ class TarReader(D.DataSourceReader):
         if self.mode not in ("FAILFAST", "PERMISSIVE"):
             raise ValueError("mode must be FAILFAST or PERMISSIVE")
         self.max_bytes = int(options.get("maxbytes", CELL_BYTES))
+        self.tasks = int(options["tasks"]) if "tasks" in options else None
         self.names = schema.fieldNames()
         self.filters: list[D.Filter] = []
         #: Ranges of data that were opened and their bytes, for tests.
@@ -114,11 +118,19 @@ class TarReader(D.DataSourceReader):
         if self.windows:
             filesystem, name = resolve(self.windows)
             rows = ds.dataset(name, filesystem=filesystem, format="parquet").to_table().sort_by([("archive", "ascending"), ("begin", "ascending")]).to_pylist()
-            follow = [*rows[1:], None]
+            rows = [r for r in rows if self._wanted(r["archive"])]
+            # Neighbours in an archive share a partition: as many as leave about `tasks` of them, and about WINDOW_BYTES at most.
+            most = -(-len(rows) // self.tasks) if self.tasks else 1
+            heads, held = [], 0
+            for r in rows:
+                if heads and heads[-1]["archive"] == r["archive"] and held < most and r["begin"] - heads[-1]["begin"] < WINDOW_BYTES:
+                    held += 1
+                else:
+                    heads.append(r)
+                    held = 1
             return [
                 Window(r["archive"], r["begin"], r["ordinal"], n["begin"] if n and n["archive"] == r["archive"] else END, r["size"])
-                for r, n in zip(rows, follow)
-                if self._wanted(r["archive"])
+                for r, n in zip(heads, [*heads[1:], None])
             ] or [Window("", 0, 0, 0, -1)]
         return [Window(path, 0, 0, END, size) for path, size in archives_under(self.path) if self._wanted(path)] or [Window("", 0, 0, 0, -1)]
 
@@ -173,7 +185,7 @@ def archives_under(path: str) -> Iterator[tuple[str, int]]:
 
 
 class TarDataSource(D.DataSource):
-    """Options: `path` (a file or folder) or `windows`; `bytes` (false: headers only), `mode`, `maxBytes`."""
+    """Options: `path` (a file or folder) or `windows` (and `tasks`); `bytes` (false: headers only), `mode`, `maxBytes`."""
 
     @classmethod
     def name(cls) -> str:
@@ -221,11 +233,13 @@ def write_windows(spark: SparkSession, path: str | list[str], out: str, window_b
 
 
 def read_archives(spark: SparkSession, path: str | list[str], window_bytes: int = WINDOW_BYTES, **options: str) -> DataFrame:
-    """Entries of all archives under `path` through the source, with a partition for every window."""
+    """Entries of all archives under `path` through the source, with a partition for every window or, where these are
+    far more than the cluster's cores, for a few that follow each other."""
     register(spark)
     table = qualify(spark, scratch_dir(spark, "windows"))
     write_windows(spark, path, table, window_bytes)
-    return spark.read.format("tar").options(windows=table, **options).load()
+    tasks = TASKS_PER_CORE * max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark))
+    return spark.read.format("tar").options(**{"windows": table, "tasks": str(tasks), **options}).load()
 
 
 def stream_archives(spark: SparkSession, path: str, glob: str = "*.tar", per_trigger: int = 100) -> DataFrame:

@@ -220,3 +220,18 @@ def test_a_broken_pass_is_repeated(spark, tmp_path):
     assert ledger.attempts(df, folder).collect() == []
     assert ledger.fetch_due(df, "url", Flaky(5), folder, datetime(2024, 1, 1), total=2) == 1
     assert ledger.answers(df, "url", folder).first().status == 200
+
+
+def test_small_windows_share_partitions(spark, archives):
+    table = f"{archives}/../shared-windows"
+    S.write_windows(spark, archives, table, 2048)
+    schema = S.TarDataSource({"windows": table}).schema()
+    alone = S.TarReader({"windows": table}, schema).partitions()
+    few = S.TarReader({"windows": table, "tasks": "5"}, schema)
+    parts = few.partitions()
+    files = len({w.archive for w in alone})
+    assert len(alone) > 20 and files <= len(parts) <= 5 + files
+    assert {(w.archive, w.begin, w.ordinal) for w in parts} < {(w.archive, w.begin, w.ordinal) for w in alone}
+    reader = S.TarReader({"windows": table}, schema)
+    entries = lambda r, ws: [e for w in ws for b in r.read(w) for e in b.to_pylist()]
+    assert entries(few, parts) == entries(reader, alone)
