@@ -93,7 +93,8 @@ def _read_quoted(
     if only is not None:
         raw = raw.join(only.select(F.col("path").alias("_csv_filename")), "_csv_filename", "left_semi")
     lines = spool(raw.withColumn("_out", _ends_inside(F.col("value"), False)).withColumn("_in", _ends_inside(F.col("value"), True)), scratch_dir(spark, "lines"))
-    s = slice_hot_keys(lines, ["_csv_filename"], ["_block", "_row"], policy)
+    # The text stays out of the sums; it meets the number of its record once.
+    s = slice_hot_keys(lines.drop("value"), ["_csv_filename"], ["_block", "_row"], policy)
     fixed = (F.col("_out") == F.col("_in")).cast("bigint")
     swaps = (F.col("_out") & ~F.col("_in")).cast("bigint")
     before = running_sums(s, s.df, {"_fixed": fixed, "_swaps": swaps}, inclusive=False)
@@ -111,7 +112,8 @@ def _read_quoted(
         raise ValueError(f"{ends['_csv_filename']} ends inside a quoted field")
     numbered = running_sums(s, states, {"_record": F.when(F.col("_inside"), 0).otherwise(1), "_at": F.lit(1)})
     text = F.expr("listagg(value, '\n') WITHIN GROUP (ORDER BY _at)")
-    records = numbered.groupBy("_csv_filename", "_record").agg(text.alias("_text"))
+    placed = lines.select("_row", "value").join(numbered.select("_row", "_csv_filename", "_record", "_at"), "_row")
+    records = placed.groupBy("_csv_filename", "_record").agg(text.alias("_text"))
     body = records.filter("_record > 1").withColumn("_text", F.regexp_replace("_text", "\r$", ""))
     schema = ", ".join(f"`{c}` string" for c in columns)
     parsed = F.from_csv("_text", schema, CSV_OPTIONS).alias("_fields")

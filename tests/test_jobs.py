@@ -25,6 +25,7 @@ from cargohold.session import scratch_dir
 from cargohold.sinks.files import cached_stage
 from cargohold.sinks.results import write_results
 from cargohold.sources.fetch import FileFetcher
+from cargohold.sources import image_list
 from cargohold.sources.image_list import header_ok, read_image_list
 from cargohold.streaming import ops as streaming
 from cargohold.streaming.ops import stream_counts, unique_consecutive_stream
@@ -525,3 +526,13 @@ def test_stream_with_watermark_orders_across_batches(spark, folder, monkeypatch,
     assert [r.pos for r in out if r.k == "k"] == list(range(0, 40, 4))
     with pytest.raises(ValueError, match="begin"):
         unique_consecutive_stream(spark.createDataFrame([], "k int, ts timestamp"), "k", ["k"], ["k"], ("ts", "1 day"))
+
+
+def test_line_texts_stay_out_of_the_sums(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text(",".join(IMAGE_LIST_COLUMNS) + "\n" + "".join(f'i{i},train,,,,,,"line {i}\nsecond, ""{i}""",,,\n' for i in range(50)))
+    seen, cut = [], image_list.slice_hot_keys
+    monkeypatch.setattr(image_list, "slice_hot_keys", lambda df, *rest: seen.append(df.columns) or cut(df, *rest))
+    for limit in (1000, 7):
+        rows = image_list.read_image_list(spark, str(tmp_path), policy=SkewPolicy(max_rows=limit)).collect()
+        assert {(r.ImageID, r[7]) for r in rows} == {(f"i{i}", f'line {i}\nsecond, "{i}"') for i in range(50)}
+    assert seen and all("value" not in columns for columns in seen)
