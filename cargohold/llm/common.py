@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -11,15 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargohold.session import scratch_dir
+from cargohold.session import scratch_dir, small_batches
 
 #: Java pattern of a word; its separators are the bytes of SEPARATORS.
 WORD = r"[^\x20\x09-\x0D]+"
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text that one vectorised step handles; longer texts are cut at separators.
 STEP_BYTES = 512 << 10
-#: Bytes of an Arrow batch on its way to a Python worker, which holds a few times as much.
-BATCH_BYTES = 4 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SEPARATORS)] = True
@@ -28,18 +25,6 @@ _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Bound Arrow batches by bytes while a job runs, so that rows with long texts don't fill a worker's memory."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, BATCH_BYTES)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, and the table survives lost executors."""
     path = scratch_dir(df.sparkSession, label)

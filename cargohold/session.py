@@ -6,6 +6,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +25,10 @@ SETTINGS = {
 }
 
 
+#: Bytes of an Arrow batch on its way to a Python worker, which holds a few times as much.
+BATCH_BYTES = 4 << 20
+
+
 def build_session(app_name: str, master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -84,3 +90,15 @@ def clear_scratch(spark: SparkSession) -> None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bound Arrow batches by bytes while a job runs, so that rows with long payloads don't fill a worker's memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cargohold.session import small_batches
 from cargohold.sources.tar import OpenArchive, by_window
 from cargohold.storage import (
     BLOCK,
@@ -53,8 +54,9 @@ def write_files(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = {size_name: pa.int64(), error_name: pa.string()}
         for batch in batches:
-            pairs = zip(column_values(batch, path), column_values(batch, col))
-            yield from payload_batches(batch.select(kept), fields, (save(*pair) for pair in pairs))
+            # One payload at a time leaves the batch.
+            pairs = zip(column_values(batch, path), batch.column(batch.schema.get_field_index(col)))
+            yield from payload_batches(batch.select(kept), fields, (save(target, value.as_py()) for target, value in pairs))
 
     return df.select(*dict.fromkeys([*kept, path, col])).mapInArrow(run, schema)
 
@@ -151,7 +153,8 @@ def spool(df: DataFrame, path: str | None = None) -> DataFrame:
     """A stage boundary: kept as Parquet at `path`, or on executor disks until unpersisted."""
     if path is None:
         return df.persist(StorageLevel.DISK_ONLY)
-    df.write.mode("overwrite").parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -9,6 +9,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ from cargohold.operators.pipe import convert_command, pipe_through
 from cargohold.operators.route import if_then_else, tee
 from cargohold.operators.skew import SkewPolicy
 from cargohold.schemas import IMAGE_LIST_COLUMNS
+from cargohold.sinks.files import spool
 from cargohold.sources import fetch as FT
 from cargohold.sources.manifest import manifest, top_dir
 from cargohold.storage import in_parallel, resolve
@@ -422,3 +424,13 @@ def test_resize_payloads_without_the_command(spark):
     assert out[1].resize_error.startswith("resize failed") and out[2].resize_error is None
     done = {r.k: r for r in images.resize_payloads(df, "b", "FillCrop", 8, resizer=lambda b: b + b"!").collect()}
     assert bytes(done[1].resized) == b"x!" and done[2].resized is None
+
+
+def test_stored_stages_bound_the_batches_of_their_workers(spark, tmp_path):
+    df = spark.range(0, 2000, 1, 1).select(F.expr("repeat(cast(id % 10 as string), 20000)").alias("s"))
+    sizes = df.mapInArrow(lambda batches: (pa.record_batch([pa.array([b.nbytes])], ["n"]) for b in batches), "n long")
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    found = [r.n for r in spool(sizes, f"{tmp_path}/sizes").collect()]
+    assert sum(found) > 39_000_000 and max(found) < 9_000_000
+    assert spark.conf.get(name) == before
