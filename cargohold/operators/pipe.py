@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from cargohold.config import RESIZE_MODES
-from cargohold.storage import append_columns, column_values, with_columns
+from cargohold.storage import payload_batches, with_columns
 
 STDERR_CAP = 1024 * 1024
 
@@ -49,21 +49,18 @@ def pipe_through(
         T.StructField("stderr", T.StringType()),
     )
 
+    fields = {out: pa.binary(), "exit_code": pa.int32(), "stderr": pa.string()}
+
+    def cells(column: pa.Array) -> Iterator[tuple]:
+        for cell in column:
+            value = cell.as_py()
+            payload = value.encode() if isinstance(value, str) else value
+            yield (None, None, None) if payload is None else run_command(command, payload, stderr_cap, timeout)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            results = []
-            for value in column_values(batch, col):
-                payload = value.encode() if isinstance(value, str) else value
-                results.append((None, None, None) if payload is None else run_command(command, payload, stderr_cap, timeout))
-            outs, codes, errors = zip(*results) if results else ((), (), ())
-            yield append_columns(
-                batch,
-                {
-                    out: pa.array(outs, pa.binary()),
-                    "exit_code": pa.array(codes, pa.int32()),
-                    "stderr": pa.array(errors, pa.string()),
-                },
-            )
+            # One payload at a time; outputs leave in groups, not with the last row of the batch.
+            yield from payload_batches(batch, fields, cells(batch.column(batch.schema.get_field_index(col))))
 
     return df.mapInArrow(run, schema)
 

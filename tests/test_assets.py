@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cargohold.config import JobConfig
 from cargohold.functions import digest as D
@@ -426,6 +427,21 @@ def test_resize_payloads_without_the_command(spark):
     assert bytes(done[1].resized) == b"x!" and done[2].resized is None
 
 
+def test_pipe_outputs_leave_in_groups():
+    class Frame:
+        schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("s", T.StringType())])
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    batch = pa.record_batch([pa.array(range(12)), pa.array([None if i == 3 else "x" * 3_000_000 for i in range(12)])], names=["k", "s"])
+    found = list(pipe_through(Frame(), "s", "cat")(iter([batch])))
+    assert len(found) >= 4 and max(b.column("out").nbytes for b in found) < 16_000_000
+    cells = [r for b in found for r in b.to_pylist()]
+    assert [r["k"] for r in cells] == list(range(12))
+    assert [r["out"] and len(r["out"]) for r in cells] == [None if i == 3 else 3_000_000 for i in range(12)]
+
+
 def test_stored_stages_bound_the_batches_of_their_workers(spark, tmp_path):
     df = spark.range(0, 2000, 1, 1).select(F.expr("repeat(cast(id % 10 as string), 20000)").alias("s"))
     sizes = df.mapInArrow(lambda batches: (pa.record_batch([pa.array([b.nbytes])], ["n"]) for b in batches), "n long")
