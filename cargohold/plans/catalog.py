@@ -33,7 +33,7 @@ from cargohold.plans.assets import ingest_images, report
 from cargohold.plans.assets import packed_store as packed_store_of
 from cargohold.plans.metadata import image_list_from_archive
 from cargohold.schemas import FAILURE_COLUMNS, FAILURE_DETAILS, IMAGE_LIST_COLUMNS, SUBSETS
-from cargohold.session import scratch_dir
+from cargohold.session import scratch_dir, shuffle_partitions
 from cargohold.sinks import packs
 from cargohold.sinks.files import cached_stage, extract_tar, spool, write_files
 from cargohold.sinks.results import CSV_WRITE_OPTIONS, failure_rows, repair_headers, result_line, success_rows, write_results
@@ -843,11 +843,17 @@ def _resize(mode: str) -> Query:
         )
         spread = sized.repartition(spark.sparkContext.defaultParallelism, "path")
         log = scratch_dir(spark, "images-log")
-        A.assert_no_failures(spool(write_files(gray_images(spread), "path", "png"), f"{log}/in"))
-        resized = images.resize_images(images.decode_images(spark, f"{folder}/in"), mode, 64)
+
+        def stored(rows: DataFrame, name: str) -> DataFrame:
+            """The pixels of each file that `rows` made, decoded in tasks whose number doesn't depend on that of the files."""
+            made = spool(rows, f"{log}/{name}")
+            A.assert_no_failures(made)
+            n = max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark))
+            return images.decode_files(made.filter("bytes_written is not null").select("path").repartition(n, "path").distinct())
+
+        resized = images.resize_images(stored(write_files(gray_images(spread), "path", "png"), "in"), mode, 64)
         resized = resized.withColumn("path", F.replace("path", F.lit("/in/"), F.lit("/out/")))
-        A.assert_no_failures(spool(write_files(resized, "path", "resized"), f"{log}/out"))
-        found = images.decode_images(spark, f"{folder}/out")
+        found = stored(write_files(resized, "path", "resized"), "out")
         page_id = F.regexp_extract("path", "([0-9]+)\\.png$", 1).cast("bigint").alias("page_id")
         return found.select(page_id, "width", "height", F.md5("pixels").alias("pixel_md5"))
 

@@ -24,6 +24,7 @@ from cargohold.operators.digests import digest_chunks, with_empty
 from cargohold.operators.pipe import convert_command, pipe_through
 from cargohold.operators.route import if_then_else, tee
 from cargohold.operators.skew import SkewPolicy
+from cargohold.plans import catalog
 from cargohold.schemas import IMAGE_LIST_COLUMNS
 from cargohold.sinks.files import spool
 from cargohold.sources import fetch as FT
@@ -370,6 +371,48 @@ def test_resize_images(spark):
         images.resize_images(decoded, "FillCrop", 16, "jpg")
 
 
+def test_decode_files_gives_what_the_image_source_gives(spark):
+    folder = tempfile.mkdtemp(prefix="cargohold-test-")
+    rng = np.random.default_rng(5)
+    good = [images.encode_png(rng.integers(0, 256, shape, dtype=np.uint8)) for shape in [(40, 60, 3), (64, 32, 1), (1, 1, 1), (30, 31, 4)]]
+    text = good[0][:-12] + b"\0\0\0\1tEXtx" + zlib.crc32(b"tEXtx").to_bytes(4, "big") + good[0][-12:]
+    bad = [b"", b"no image", good[0][:100], good[1][:-20] + b"\1" * 20, text]
+    for i, data in enumerate(good + bad):
+        with open(f"{folder}/{i}.png", "wb") as f:
+            f.write(data)
+    named = spark.createDataFrame([(f"{folder}/{i}.png",) for i in range(len(good + bad))] + [(f"{folder}/none.png",), (None,)], "path string")
+    decoded = images.decode_files(named)
+    assert decoded.columns == images.decode_images(spark, folder).columns
+    found = {r.path: r for r in decoded.collect()}
+    assert len(found) == len(good + bad) + 2
+    listed = {r.path: r for r in images.decode_images(spark, folder).collect()}
+    for i in range(len(good)):
+        assert found[f"{folder}/{i}.png"] == listed[f"{folder}/{i}.png"]
+    for path in set(found) - {f"{folder}/{i}.png" for i in range(len(good))}:
+        assert found[path].error.startswith("cannot decode image") and found[path].width == -1
+    assert all(r.resized is None for r in images.resize_images(decoded.filter("error is not null"), "FillCrop", 16).collect())
+
+
+@pytest.mark.parametrize("name", ["resize_images_shrink", "resize_images_crop", "resize_images_distort"])
+def test_resizing_takes_as_many_tasks_for_many_files_as_for_few(spark, tmp_path, name):
+    rows = [(i, "x" * i) for i in range(1, 131)] + [(7, "y")]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    jobs, context = name, spark.sparkContext
+    context.setJobGroup(jobs, name)
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    try:
+        spark.conf.set(size, "8m")  # two files to a task of the image source
+        got = catalog.all_queries()[name](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set(size, before)
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(r.page_id for r in got) == list(range(1, 131))
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(jobs) for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) <= 2 * context.defaultParallelism
+
+
 def test_area_average_against_brute_force():
     rng = np.random.default_rng(5)
     a = rng.random((13, 1))
