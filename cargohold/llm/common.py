@@ -1,8 +1,11 @@
-"""Staging, and vectorised words and shingles over Arrow text columns."""
+"""Staging, what workers keep between tasks, and vectorised words and shingles over Arrow text columns."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Hashable, Iterator
+from contextlib import suppress
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,30 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict[Hashable, Any] = {}
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """`make()`, which this worker keeps for its next tasks until a task of another operator calls `let_go`."""
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Arrow's pool and the C library keep it for this worker otherwise."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not the GNU C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def let_go() -> None:
+    """At the start of a task: drop what tasks of other operators kept. Spark hands a worker on from stage to stage and
+    from job to job, so it would hold that beside what this task needs."""
+    _KEPT.clear()
+    give_back()
+
+
 #: Numbers given to rows lie below this; ids there are numbered too.
 NUMBERS_BELOW = -(1 << 62)
 

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cargohold.llm.common import let_go
+
 #: Hashed n-grams; labelled rows of each language that a classifier is fitted on (about, chosen by hash of the id).
 BUCKETS = 1 << 15
 TRAIN_ROWS = 2000
@@ -108,6 +110,7 @@ def _count(languages: tuple[str, ...]):
     place = {x: i for i, x in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         total = np.zeros((len(languages), BUCKETS), np.int64)
         for batch in batches:
             langs = np.array([place[x] for x in batch.column("lang").to_pylist()], np.int64)
@@ -123,6 +126,7 @@ def _score_bits(languages: tuple[str, ...], table: np.ndarray, code: np.ndarray)
     place = {x: i for i, x in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         hits = np.zeros(code.shape, np.int64)
         for batch in batches:
             margins, counts = _margins(batch.column("text").to_pylist(), table)
@@ -179,6 +183,7 @@ def predicted(model: Model, text: Column, spark) -> Column:
 
     @F.arrow_udf("struct<lang:string,score:double,ambiguous:boolean>")
     def predict(column: pa.Array) -> pa.Array:
+        let_go()
         m = shared.value
         names, scores, doubts = [NONE] * len(column), np.zeros(len(column)), np.zeros(len(column), bool)
         for begin in range(0, len(column), 256) if m.languages else ():

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cargohold.llm.common import broadcast_if, mix, shingle_sets, slices, staged
+from cargohold.llm.common import broadcast_if, let_go, mix, shingle_sets, slices, staged
 
 #: A signature has CHUNKS chunks of CHUNK 16-bit MinHash values. Two signatures that differ in at most RADIUS places
 #: differ in at most one place of some chunk (pigeonhole), so they agree on that chunk with one place left out.
@@ -54,6 +54,7 @@ def bucket_keys(sigs: np.ndarray) -> np.ndarray:
 
 def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for whole in batches:
             for batch in slices(whole, "text"):
                 ns, a, b, sigs = [], [], [], []
@@ -81,6 +82,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    let_go()
     for whole in batches:
         for at in range(0, whole.num_rows, 2048):
             batch = whole.slice(at, 2048)
@@ -96,6 +98,7 @@ def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key and id: each member of a bucket beside its first one, which alone is remembered."""
+    let_go()
     last = None
     for batch in batches:
         if not batch.num_rows:
@@ -130,6 +133,7 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, tuple[int, int]]]:
 
 def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by hub, part and role: the partners whose signature is within RADIUS of one of their hub's."""
+    let_go()
     at, hubs = None, np.zeros((0, PLACES), np.uint16)
     for batch in batches:
         if not batch.num_rows:
@@ -150,6 +154,7 @@ def _confirm(k: int, percent: int):
     """Rows sorted by hub, part and role: the partners whose full set reaches the similarity with one of their hub's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         at, hubs = None, []
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -284,6 +289,7 @@ def _near_in_block(percent: int):
     """For each probe of a block its near home rows as one list, and a row for each home row that is in one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for t in _groups(batches):
             doc, comp, n, probe = (t.column(c).to_numpy() for c in ("doc_id", "comp", "n", "probe"))
             sigs, top = _matrix(t.column("sig")), t.column("top")[0].as_py()
@@ -307,6 +313,7 @@ def _links_in_block(k: int, percent: int):
     """The pairs of a block's lists whose full sets reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for t in _groups(batches):
             sets, docs, lists, sizes = [], t.column("doc_id").to_pylist(), t.column("near").to_pylist(), []
             for batch in t.select(["text"]).to_batches():

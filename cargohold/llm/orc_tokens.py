@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cargohold.llm.common import mix, slices, small_batches, staged, utf8
+from cargohold.llm.common import give_back, kept, mix, slices, small_batches, staged, utf8
 
 #: Written after every document.
 END_ID = 2
@@ -302,9 +302,8 @@ class Encoder:
         return out, ends
 
 
-@cache
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 def _encode(path: str):
@@ -323,6 +322,7 @@ def _encode(path: str):
                     }
                 )
                 row += n
+        give_back()
 
     return run
 

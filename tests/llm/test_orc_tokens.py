@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cargohold.llm import orc_tokens
+from cargohold.llm import language_id, near_dedup, orc_tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["", " ", "\n", "a", "don't we'll it's", "two  blanks", "tab\there", "end ", " start", "line\n\nline", "x\r\ny", "<|endoftext|> here",
@@ -109,3 +109,15 @@ def test_a_read_by_id_skips_row_groups(spark, tmp_path):
         read = sum(leaf.metrics().apply("numOutputRows").value() for leaf in (plan.collectLeaves().apply(i) for i in range(plan.collectLeaves().size())))
         # Statistics leave one row group; its Bloom filter rules out ids that lie between those it holds.
         assert read <= (orc_tokens.ROWS_PER_INDEX if found else 0)
+
+
+def test_a_worker_lets_the_encoder_go_when_it_gets_another_operators_task():
+    held = orc_tokens.encoder(PATH)
+    list(orc_tokens._sums(iter([])))
+    assert orc_tokens.encoder(PATH) is held
+    empty = iter([])
+    tasks = [near_dedup._sign(5), near_dedup._emit_keys, near_dedup._stars, near_dedup._within, near_dedup._confirm(5, 80), near_dedup._near_in_block(80), near_dedup._links_in_block(5, 80), language_id._count(("en",))]
+    for task in tasks:
+        held = orc_tokens.encoder(PATH)
+        list(task(empty))
+        assert orc_tokens.encoder(PATH) is not held
