@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargohold.llm.common import broadcast_if, let_go, mix, shingle_sets, slices, staged
@@ -22,7 +23,8 @@ BLOCK_ROWS = 1024
 BROADCAST_IDS, BROADCAST_ROLES = 1_000_000, 300_000
 #: Partners of one document that one task compares with it (about).
 PART_PAIRS = 256
-#: Members of a bucket's largest component, chosen at random, that others are tested against before the full comparison.
+#: Members of a bucket's largest component, chosen at random, and of those of all its buckets with that component the ones
+#: that a document outside is tested against before the full comparison.
 RANDOM_MEMBERS = 3
 
 _A = (mix(np.arange(1, PLACES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -263,6 +265,24 @@ def _majority(members: DataFrame) -> DataFrame:
     return by_comp.groupBy("key").agg(top).select("key", F.col("m.comp").alias("top"), F.col("m.reps").alias("reps"))
 
 
+def _fits(percent: int):
+    return F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and a <> b")
+
+
+def _tests(rest: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of each member outside of a largest component, once for all the buckets where it meets that one, with
+    the RANDOM_MEMBERS members that most of them chose. Pairs in `tried` don't count."""
+    reps = F.array_distinct(F.transform("reps", lambda r: F.struct(r["doc_id"].alias("doc_id"), r["n"].alias("n"))))
+    met = rest.filter("comp <> top").select("top", "doc_id", "n", F.explode(reps).alias("r"))
+    met = met.groupBy("top", "doc_id", "n", "r").agg(F.count("*").alias("buckets"))
+    met = met.select("top", F.col("doc_id").alias("a"), F.col("r.doc_id").alias("b"), F.col("n").alias("na"), F.col("r.n").alias("nb"), "buckets").filter(_fits(percent))
+    known = tried.select(F.col("a").alias("x"), F.col("b").alias("y"))
+    met = met.join(known, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
+    place = Window.partitionBy("top", "a", "na").orderBy(F.desc("buckets"), F.xxhash64("b", "a"), "b", "nb")
+    best = met.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= RANDOM_MEMBERS)
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 _PLACE = ["top", "hb", "pb"]
 
 
@@ -310,30 +330,30 @@ def _near_in_block(percent: int):
 
 
 def _links_in_block(k: int, percent: int):
-    """The pairs of a block's lists whose full sets reach the similarity."""
+    """The pairs of a block's lists whose full sets reach the similarity; each document's text stands in a row of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for t in _groups(batches):
-            sets, docs, lists, sizes = [], t.column("doc_id").to_pylist(), t.column("near").to_pylist(), []
-            for batch in t.select(["text"]).to_batches():
+            listed, sets, found = pc.is_valid(t.column("near")), {}, []
+            for batch in t.filter(pc.invert(listed)).select(["doc_id", "text"]).to_batches():
                 for part in slices(batch, "text"):
-                    sets += list(shingle_sets(part.column("text"), k))
-            home = [i for i, x in enumerate(lists) if x is None]
-            sizes = np.array([len(sets[i]) for i in home], np.int64)
-            all_of, begin = np.concatenate([sets[i] for i in home]), np.cumsum(sizes) - sizes
+                    sets |= zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"), k), strict=True)
+            probes = t.filter(listed)
+            lists = list(zip(probes.column("doc_id").to_pylist(), probes.column("near").to_pylist(), strict=True))
+            home = sorted({d for _, near in lists for d in near})
+            sizes = np.array([len(sets[d]) for d in home], np.int64)
+            all_of, begin = np.concatenate([sets[d] for d in home]), np.cumsum(sizes) - sizes
             known, number = np.unique(all_of, return_inverse=True)
-            at, found = {docs[i]: j for j, i in enumerate(home)}, []
-            for i, near in enumerate(lists):
-                if near is None:
-                    continue
-                mine, mark = sets[i], np.zeros(len(known), np.int64)
+            at = {d: j for j, d in enumerate(home)}
+            for doc, near in lists:
+                mine, mark = sets[doc], np.zeros(len(known), np.int64)
                 place = np.minimum(np.searchsorted(known, mine), len(known) - 1)
                 mark[place[known[place] == mine]] = 1
                 both = np.add.reduceat(mark[number], begin)
                 where = np.array([at[d] for d in near])
                 alike = 100 * both[where] >= percent * (len(mine) + sizes[where] - both[where])
-                found += [(min(docs[i], d), max(docs[i], d)) for d, ok in zip(near, alike, strict=True) if ok]
+                found += [(min(doc, d), max(doc, d)) for d, ok in zip(near, alike, strict=True) if ok]
             yield pa.record_batch({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
     return run
@@ -350,16 +370,21 @@ def _remaining(rest: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percen
     sizes = members.groupBy("top").agg(F.count("*").alias("h"), F.count_if(F.col("comp") != F.col("top")).alias("p"))
     blocks = lambda c: F.ceil(F.col(c) / BLOCK_ROWS).cast("int")
     sizes = staged(sizes.select("top", blocks("h").alias("nh"), blocks("p").alias("np")), "sizes")
-    rows = members.join(sizes, "top")
+    # Each member meets its signature once and is dealt over blocks with it.
+    rows = members.join(sizes, "top").join(reps.select("doc_id", "sig"), "doc_id")
     own = lambda c: F.pmod(F.xxhash64("doc_id"), F.col(c)).cast("int")
-    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    homes = rows.select("top", own("nh").alias("hb"), each("np").alias("pb"), "doc_id", "comp", "n", F.lit(0).alias("probe"))
-    probes = rows.filter("comp <> top").select("top", each("nh").alias("hb"), own("np").alias("pb"), "doc_id", "comp", "n", F.lit(1).alias("probe"))
-    signed = homes.union(probes).join(reps.select("doc_id", "sig"), "doc_id").select(*_PLACE, "doc_id", "comp", "n", "probe", "sig")
+    place = lambda hb, pb, probe: F.struct(hb.alias("hb"), pb.alias("pb"), F.lit(probe).alias("probe"))
+    homes = F.transform(F.sequence(F.lit(0), F.col("np") - 1), lambda i: place(own("nh"), i, 0))
+    probes = F.transform(F.sequence(F.lit(0), F.col("nh") - 1), lambda i: place(i, own("np"), 1))
+    places = F.when(F.col("comp") != F.col("top"), F.concat(homes, probes)).otherwise(homes)
+    signed = rows.select("top", "doc_id", "comp", "n", "sig", F.explode(places).alias("at")).select("top", "at.*", "doc_id", "comp", "n", "sig")
     near = signed.repartition(*_PLACE).sortWithinPartitions(*_PLACE).mapInArrow(_near_in_block(percent), "top long, hb int, pb int, doc_id long, near array<long>")
     near = staged(near, "near-lists")
     text = docs.join(broadcast_if(near.select("doc_id").distinct(), BROADCAST_IDS), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
-    full = near.join(text, "doc_id").select(*_PLACE, "doc_id", "near", "text")
+    # Each text meets its blocks once as well; the lists, which are long in large groups, go straight to theirs.
+    places = near.groupBy("doc_id").agg(F.collect_set(F.struct(*_PLACE)).alias("places"))
+    full = text.join(places, "doc_id").select("doc_id", "text", F.explode("places").alias("at")).select("at.*", "doc_id", F.lit(None).cast("array<long>").alias("near"), "text")
+    full = full.union(near.filter("near is not null").select(*_PLACE, "doc_id", "near", F.lit(None).cast("string").alias("text")))
     return staged(full.repartition(*_PLACE).sortWithinPartitions(*_PLACE).mapInArrow(_links_in_block(k, percent), "a long, b long"), "links").distinct()
 
 
@@ -393,13 +418,8 @@ def near_duplicates(
         keys.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_stars, "key long, leader long, leader_n long, doc_id long, n long"),
         "stars",
     )
-    fits = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and a <> b")
-
-    def tidy(a: str, na: str, rows: DataFrame) -> DataFrame:
-        rows = rows.select(F.col(a).alias("a"), F.col("doc_id").alias("b"), F.col(na).alias("na"), F.col("n").alias("nb")).filter(fits)
-        return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    tried = staged(tidy("leader", "leader_n", star), "pairs")
+    tried = star.select(F.col("leader").alias("a"), F.col("doc_id").alias("b"), F.col("leader_n").alias("na"), F.col("n").alias("nb")).filter(_fits(percent))
+    tried = staged(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     # Most groups are one component after a single test for each member; of the other pairs only those between components are left.
     first = staged(tried.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
     links = confirmed(first, reps, texts, shingle_words, percent)
@@ -413,10 +433,7 @@ def near_duplicates(
         if full:
             links = links.union(_remaining(rest, reps, texts, shingle_words, percent))
         else:
-            tests = rest.filter("comp <> top").select("doc_id", "n", F.explode("reps").alias("r"))
-            pairs = tidy("rep", "rep_n", tests.select("doc_id", "n", F.col("r.doc_id").alias("rep"), F.col("r.n").alias("rep_n")))
-            pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-            links = links.union(confirmed(pairs, reps, texts, shingle_words, percent))
+            links = links.union(confirmed(staged(_tests(rest, tried, percent), "pairs"), reps, texts, shingle_words, percent))
         roots = components(links)
 
     least = roots.groupBy("root").agg(F.min("node").alias("component_id"))
