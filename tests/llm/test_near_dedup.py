@@ -75,6 +75,20 @@ def test_leftovers_are_compared_in_blocks(spark, monkeypatch):
     assert sorted(groups.values()) == sorted(want.values())
 
 
+def test_a_member_is_tested_once_for_all_the_buckets_it_shares_with_a_component(spark, monkeypatch):
+    """Members that share tens of buckets with the largest component without a link to it cost a few tests, not some for each bucket."""
+    texts, asked, confirmed = family(11, 250, 120, 0.1), [], near_dedup.confirmed
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return confirmed(pairs, *rest)
+
+    monkeypatch.setattr(near_dedup, "confirmed", counted)
+    got = found(near_dedup.near_duplicates(frame(spark, texts), shingle_words=5))
+    assert got == brute.near_duplicates(list(enumerate(texts)), 5)
+    assert len(asked) == 3 and 0 < asked[2] <= 2 * near_dedup.RANDOM_MEMBERS * len(texts), asked
+
+
 def test_components_of_chains_stars_and_cliques(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(200 + i, 200 + j) for i in range(9) for j in range(i)]
     got = near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()
