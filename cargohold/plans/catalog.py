@@ -635,8 +635,8 @@ def gunzip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = spool(member_index(packed.select("path").distinct(), window=64 * 1024), scratch_dir(spark, "members-index"))
     pieces = read_members(index)
     digested = digests.digest_chunks(pieces, ["path", "member"], ["pos"], "bytes")
-    # A member without bytes has no piece.
-    held = index.join(digested.drop("n_bytes"), ["path", "member"], "left")
+    # A member without bytes has no piece. The index is far smaller as a file than its rows are on the driver.
+    held = index.join(digested.drop("n_bytes").hint("merge"), ["path", "member"], "left")
     digest = F.coalesce("digest", F.md5(F.lit(b"")))
     return packed.join(held, ["path", "start"], "left").select("doc_id", "n_bytes", digest.alias("digest"), "error")
 

@@ -109,7 +109,11 @@ def member_index(files: DataFrame, source: str = "path", window: int = WINDOW_BY
 
 
 def _chained(members: DataFrame, sized: DataFrame, window: int) -> DataFrame:
-    """Members that lie in no other, with their number and whether they join. Ordered within windows, then over windows."""
+    """Members that lie in no other, with their number and whether they join. Ordered within windows, then over windows.
+
+    Spark takes the members for as few as the files, so that unhinted joins would broadcast them all. They meet their
+    window's row, never their file's, and what is known of the file comes with that.
+    """
     part = F.floor(F.col("start") / window)
     inner = Window.partitionBy("path", "part").orderBy("start")
     outer = Window.partitionBy("path").orderBy("part")
@@ -118,16 +122,17 @@ def _chained(members: DataFrame, sized: DataFrame, window: int) -> DataFrame:
     reach = parted.groupBy("path", "part").agg(F.max("end").alias("reach"))
     reach = reach.select("path", "part", F.max("reach").over(outer.rowsBetween(upto, -1)).alias("before"))
     own = F.max("end").over(inner.rowsBetween(upto, -1))
-    placed = parted.withColumn("own", own).join(reach, ["path", "part"])
+    placed = parted.withColumn("own", own).join(reach.hint("merge"), ["path", "part"])
     placed = placed.withColumn("reached", F.coalesce(F.greatest("own", "before"), F.lit(0))).filter("start >= reached")
     counts = placed.groupBy("path", "part").agg(F.count(F.lit(1)).alias("n"), F.max("end").alias("to"))
     over = outer.rowsBetween(upto, -1)
     whole = Window.partitionBy("path")
     counts = counts.select("path", "part", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("behind"), F.max("to").over(whole).alias("to"))
-    numbered = placed.withColumn("nth", F.row_number().over(inner) - 1).join(counts, ["path", "part"])
-    tail = numbered.select("path", "to").distinct()
-    ended = sized.join(tail, "path", "left").mapInArrow(_tails, "path string, size bigint, to bigint, trailing boolean")
-    joined = ended.join(numbered.drop("to", "part"), "path", "left")
+    tail = counts.select("path", "to").distinct()
+    ended = sized.join(tail.hint("merge"), "path", "left").mapInArrow(_tails, "path string, size bigint, to bigint, trailing boolean")
+    parts = ended.join(counts.drop("to").hint("merge"), "path", "left")
+    numbered = placed.withColumn("nth", F.row_number().over(inner) - 1)
+    joined = parts.join(numbered.hint("merge"), ["path", "part"], "left")
     error = F.when(F.col("size").isNull(), "NotFound").when(F.col("to").isNull(), "no gzip member")
     error = error.when(F.col("start") > F.col("reached"), F.concat(F.lit("no member at byte "), F.col("reached").cast("string")))
     error = error.when((F.col("end") == F.col("to")) & F.col("trailing"), F.concat(F.lit("no member at byte "), F.col("to").cast("string")))

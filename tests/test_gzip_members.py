@@ -1,12 +1,15 @@
 """Gzip files of several members."""
 
 import gzip
+import hashlib
 import io
 import os
+import re
 import zlib
 
 import pytest
 
+from cargohold.plans import catalog
 from cargohold.sources.gzip_members import Member, _heads, member_index, read_members
 
 
@@ -110,3 +113,22 @@ def test_a_short_member_is_read_by_few_bytes(files):
     (folder / "wide.bin").write_bytes(behind)
     assert sum(1 for _ in _heads(f"{folder}/wide.bin", 0, len(made["many.gz"]))) >= 30
     assert list(_heads(f"{folder}/many.gz", 0, 1)) == [0]
+
+
+def test_members_meet_their_windows_without_a_broadcast(spark, files):
+    folder, _, _ = files
+    found = index(spark, folder, ["many.gz", "one.gz", "absent.gz"], 50)
+    assert len(found.collect()) == 32
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_the_query_joins_digests_to_the_index_without_a_broadcast(spark, tmp_path):
+    texts = ["x" * (i % 3) for i in range(20)]
+    rows = [(i, text, "en", "web", len(text)) for i, text in enumerate(texts)]
+    made = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int")
+    made.write.parquet(f"{tmp_path}/documents.parquet")
+    done = catalog.all_queries()["gunzip_members"](spark, str(tmp_path))
+    expected = [(i, len(text), hashlib.md5(text.encode()).hexdigest(), None) for i, text in enumerate(texts)]
+    assert sorted(map(tuple, done.collect())) == expected
+    assert re.search(r"SortMergeJoin \[path#\d+, member#\d+L\]", done._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
